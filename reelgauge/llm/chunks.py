@@ -1,0 +1,25 @@
+"""A bounded two-generation cache for what depends on one chunk of text only."""
+
+from __future__ import annotations
+
+
+class ChunkCache(dict):
+    """chunk -> value. ``cache[chunk]`` computes what is missing by ``make(chunk)``.
+
+    At ``limit`` entries the cache becomes the old generation and a new one starts; chunks still in
+    use move over when they are next asked for, so memory stays below two generations.
+    """
+
+    def __init__(self, make, limit: int = 200_000):
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, chunk):
+        value = self.old.get(chunk)
+        if value is None:
+            value = self.make(chunk)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[chunk] = value
+        return value
