@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import quality_rules as rules
-from . import sentence_pieces, source_mix, token_counts, token_files
+from . import quality_classifier, sentence_pieces, source_mix, token_counts, token_files, toxicity
 from .common import table
 
 
@@ -15,6 +15,11 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels))
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -23,6 +28,11 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digests(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=2, by_chunk=True)
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_classifier.score_quality(docs, quality_classifier.fit_quality(docs, labels))
+
+
 def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.piece_digests(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
@@ -35,6 +45,17 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op4_token_files, op6_sentence_pieces, op7_token_counts, op9_quality_rules)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity,
+        op2_source_mix,
+        op4_token_files,
+        op5_quality_classifier,
+        op6_sentence_pieces,
+        op7_token_counts,
+        op9_quality_rules,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
