@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import quality_rules as rules
-from . import quality_classifier, sentence_pieces, source_mix, token_counts, token_files, toxicity
+from . import embedding_dedup, jaccard_join, quality_classifier, sentence_pieces, source_mix, token_counts, token_files, toxicity
 from .common import table
 
 
@@ -41,10 +41,18 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -54,7 +62,9 @@ QUERIES = {
         op5_quality_classifier,
         op6_sentence_pieces,
         op7_token_counts,
+        op8_jaccard_join,
         op9_quality_rules,
+        op10_embedding_dedup,
     )
 }
 
