@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import quality_rules as rules
-from . import embedding_dedup, jaccard_join, quality_classifier, sentence_pieces, source_mix, token_counts, token_files, toxicity
+from . import embedding_dedup, jaccard_join, quality_classifier, sentence_pieces, source_mix, suffix_dedup, token_counts, token_files, toxicity
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digests(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=2, by_chunk=True)
 
@@ -58,6 +62,7 @@ QUERIES = {
     for f in (
         op1_toxicity,
         op2_source_mix,
+        op3_suffix_dedup,
         op4_token_files,
         op5_quality_classifier,
         op6_sentence_pieces,
