@@ -281,3 +281,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     joined = connected_components(links.unionByName(copies), "jaccard-components")
     out = sets.join(joined, sets["doc_id"] == joined["node"], "left")
     return out.select(sets["doc_id"], "n_shingles", F.coalesce("component", sets["doc_id"]).alias("component_id"))
+
+
+def keep_one_per_group(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs without those that reach a smaller doc_id by links; of rows that share an id the smallest text stays. A null id stays."""
+    joined = jaccard_components(docs, k, num, den, text, doc_id)
+    gone = joined.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
+    named = docs.filter(F.col(doc_id).isNotNull())
+    left = named.join(gone, named[doc_id] == gone["__gone"], "left_anti")
+    left = left.withColumn("__nth", F.row_number().over(Window.partitionBy(doc_id).orderBy(text))).filter("__nth = 1").drop("__nth")
+    return left.unionByName(docs.filter(F.col(doc_id).isNull()))

@@ -136,13 +136,23 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, la
     return model
 
 
-def score_quality(docs: DataFrame, model: QualityModel, keep_at: float = KEEP_AT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, held_out, score, predicted."""
+def quality_score(model: QualityModel):
+    """A vectorised function of a text column."""
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(model.score([t or "" for t in texts]), dtype="float64")
 
-    scored = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), score(F.col(text)).alias("score"))
+    return score
+
+
+def score_quality(docs: DataFrame, model: QualityModel, keep_at: float = KEEP_AT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    scored = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), quality_score(model)(F.col(text)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= keep_at).cast("int"))
+
+
+def keep_good(docs: DataFrame, model: QualityModel, keep_at: float = KEEP_AT, text: str = "text") -> DataFrame:
+    """The rows of docs that are predicted 1, unchanged."""
+    return docs.withColumn("__score", quality_score(model)(F.col(text))).filter(F.col("__score") >= keep_at).select(*docs.columns)

@@ -140,3 +140,11 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT,
     out = rounded.join(per_source, F.col("grp").eqNullSafe(F.col("source")))
     copies = F.col("whole") + F.col("p").cast("long")
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "source")
+
+
+def take_mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
+    """docs, each row as many times as the mix takes it; rows that share an id take the same number."""
+    mixed = mix_sources(docs, weights, max_repeat, text, source, doc_id)
+    copies = mixed.groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").cast("int").alias("__copies")).filter("__copies > 0")
+    met = docs.join(copies, docs[doc_id].eqNullSafe(copies["__id"]))
+    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
