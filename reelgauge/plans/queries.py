@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import values as V
-from ..operators import audit, extraction, governance, metrics, runs, sampling, splits
+from ..operators import audit, extraction, governance, media, metrics, runs, sampling, splits
 from ..sources import artifacts, scans
+from ..sources.scratch import scratch_dir
+from ..streaming import bad_media
 from .bindings import Bound
 from .registry import Query
 
@@ -334,6 +336,10 @@ def _of(t: Bound, dtype: str):
     return _records(t).filter(F.col("dtype") == dtype)
 
 
+def _event_records(t: Bound):
+    return t.events.select(F.col("event_id").cast("string").alias("path"), F.col("event_type").alias("dataset"), F.col("user_id").alias("identity"))
+
+
 def _contents(t: Bound):
     split = splits.split_combined(_records(t)).select("path", "split")
     return t.media.join(t.named.select("doc_id", F.md5("text").alias("digest")), "doc_id").select("path", "digest").join(split, "path")
@@ -356,8 +362,8 @@ _SPLITS = [
         "split_summary", lambda t: governance.split_summary(splits.split_video(_of(t, "video"))),
         f"""SELECT split, dataset, label, count(*) AS n, count(DISTINCT identity) AS identities, 100.0 * count(*) / sum(count(*)) OVER (PARTITION BY split) AS percent FROM ({_SPLIT_VIDEO}) s GROUP BY split, dataset, label""", "percent",
     ),
-    Query("leak_identity", lambda t: governance.leak_identity(splits.split_random(_of(t, "video"), 0.7, ["dataset"])), f"""SELECT dataset, identity, count(DISTINCT split) AS splits FROM (
-        SELECT *, CASE WHEN rn <= floor(CAST(n AS DOUBLE) * CAST(0.7 AS DOUBLE)) THEN 'train' ELSE 'val' END AS split FROM ({_rank_sql(_VIDEO_RECORDS, 'dataset', 'path')}) x) y GROUP BY dataset, identity HAVING count(DISTINCT split) > 1"""),
+    Query("leak_identity", lambda t: governance.leak_identity(splits.split_random(_event_records(t), 0.7, ["dataset"])), f"""SELECT dataset, identity, count(DISTINCT split) AS splits FROM (
+        SELECT *, CASE WHEN rn <= floor(CAST(n AS DOUBLE) * CAST(0.7 AS DOUBLE)) THEN 'train' ELSE 'val' END AS split FROM ({_rank_sql("SELECT CAST(event_id AS VARCHAR) AS path, event_type AS dataset, user_id AS identity FROM {events}", 'dataset', 'path')}) x) y GROUP BY dataset, identity HAVING count(DISTINCT split) > 1"""),
     Query("leak_content", lambda t: governance.leak_content(_contents(t)), f"""SELECT digest, count(DISTINCT split) AS splits, count(*) AS n FROM (SELECT m.path, md5(d.text) AS digest, s.split FROM {{media}} m JOIN {{documents}} d ON d.doc_id = m.doc_id JOIN ({_SPLIT_COMBINED}) s ON s.path = m.path) x
         GROUP BY digest HAVING count(DISTINCT split) > 1"""),
     Query("balance_audit", lambda t: governance.balance_audit(splits.prepare_records(_records(t), "video")), f"""SELECT split, count(*) AS n, count(DISTINCT path) AS paths, count(*) - count(DISTINCT path) AS repeats, split = 'train' OR count(*) = count(DISTINCT path) AS ok FROM ({_balanced_sql(_SPLIT_VIDEO)}) b GROUP BY split"""),
@@ -540,5 +546,83 @@ _RUNS = [
     Query("bad_media_log", lambda t: artifacts.first_bad_media(t.bad_media).select("path", "ts", "stage", "event_id"), "SELECT path, ts, stage, event_id FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts, event_id) AS rn FROM {bad_media}) x WHERE rn = 1"),
 ]
 
-ALL = [*_SCANS, *_SCALARS, *_AUDIT, *_METRICS, *_SPLITS, *_FRAMES, *_RUNS]
+# ---------------------------------------------------------------- files: readability, exports, the stream
+
+
+def _bytes(hexed: str):
+    return F.unhex(F.lit(hexed))
+
+
+def _long(n):
+    """Four bytes, largest first."""
+    return F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0"))
+
+
+def _box(kind: str, body):
+    return F.concat(_long(F.octet_length(body) + 8), F.lit(kind).cast("binary"), body)
+
+
+def _media_bytes(t: Bound):
+    """Files made of the documents: PNGs with the text as a chunk, MP4 boxes with it as data; some are cut short, some lack an index."""
+    text = F.col("text").cast("binary")
+    chunk = F.concat(F.lit("tEXt").cast("binary"), text)
+    end = F.concat(_bytes("00000000"), F.lit("IEND").cast("binary"), _bytes("AE426082"))
+    png = F.concat(_bytes("89504E470D0A1A0A"), _long(F.octet_length(text)), chunk, _long(F.crc32(chunk)), end)
+    sizes = F.concat(F.lit("stsz").cast("binary"), _bytes("00000000" * 2), _long(F.when(F.col("doc_id") % 13 == 0, 0).otherwise(F.col("n_chars"))))
+    index = F.when(F.col("doc_id") % 17 == 0, _box("free", sizes)).otherwise(_box("moov", sizes))
+    mp4 = F.concat(_box("ftyp", F.lit("isom").cast("binary")), index, _box("mdat", text))
+    png = F.when(F.col("doc_id") % 31 == 0, F.substring(png, 1, 30)).otherwise(png)
+    files = t.named.join(t.media.select("doc_id", "path"), "doc_id")
+    return files.select("doc_id", "path", "label", "dtype", F.when(F.col("dtype") == "image", png).when(F.col("dtype") == "video", mp4).otherwise(text).alias("content"))
+
+
+_IMAGE_CHECK = "SELECT path, label, dtype, doc_id % 31 <> 0 AS ok, CASE WHEN doc_id % 31 = 0 THEN 'OSError: image file is truncated' END AS error FROM {media} WHERE dtype = 'image'"
+_VIDEO_CHECK = """SELECT path, label, dtype, doc_id % 17 <> 0 AND doc_id % 13 <> 0 AS ok, CASE WHEN doc_id % 17 = 0 THEN 'VideoOpenError: could not open file'
+  WHEN doc_id % 13 = 0 THEN 'VideoMetadataError: invalid frame count' END AS error FROM {media} WHERE dtype = 'video'"""
+
+
+def _validated(dtype: str | None):
+    return lambda t: media.validate(_media_bytes(t).filter(F.col("dtype") == dtype) if dtype else _media_bytes(t))
+
+
+def _folder_files(t: Bound):
+    pictures = _media_bytes(t).filter("dtype = 'image'")
+    return pictures.select(F.concat(F.lit("folder-"), F.floor(F.col("doc_id") / 8).cast("string")).alias("folder"), F.lit(0).alias("label"), F.concat(F.lit("f/"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("path"), "content")
+
+
+def _exported(t: Bound):
+    path = scratch_dir(t.spark, "predictions")
+    artifacts.write_predictions(t.predictions.select("path", "run", "label", "pred_label", "prob_real"), path)
+    return artifacts.read_predictions(t.spark, path)
+
+
+def _exported_report(t: Bound):
+    path = scratch_dir(t.spark, "evaluation")
+    report = metrics.evaluation_report(t.predictions, ["dataset"])
+    artifacts.write_evaluation(report, path)
+    return artifacts.read_evaluation(t.spark, path, report.schema)
+
+
+def _streamed(t: Bound):
+    events = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
+    paths = events.select(F.col("ts").cast("timestamp").alias("ts"), F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("path"))
+    folder = scratch_dir(t.spark, "bad-media")
+    return bad_media.run_to_table(bad_media.deduplicated(paths), "bad_media", f"{folder}/state", f"{folder}/out").select("path").distinct()
+
+
+_FILES = [
+    Query("validate_images", _validated("image"), _IMAGE_CHECK),
+    Query("validate_videos", _validated("video"), _VIDEO_CHECK),
+    Query("validate_all", _validated(None), f"{_IMAGE_CHECK} UNION ALL {_VIDEO_CHECK} UNION ALL SELECT path, label, dtype, false, 'ValueError: Unsupported dtype: frame' FROM {{media}} WHERE dtype = 'frame'"),
+    Query(
+        "validate_frame_dirs", lambda t: media.validate_frame_dirs(_folder_files(t)).select("folder", "ok"),
+        """SELECT 'folder-' || CAST(doc_id // 8 AS VARCHAR) AS folder, bool_and(doc_id % 31 <> 0) AS ok FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id // 8 ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY doc_id // 8) AS n
+        FROM {media} WHERE dtype = 'image') x WHERE i = 0 OR i = n // 2 OR i = n - 1 GROUP BY 1""",
+    ),
+    Query("export_predictions", _exported, "SELECT path, run, label, pred_label, prob_real FROM {predictions}", "prob_real"),
+    Query("export_evaluation", _exported_report, _report_sql("dataset"), _REPORT_DOUBLES),
+    Query("stream_bad_media", _streamed, "SELECT DISTINCT path FROM {bad_media}"),
+]
+
+ALL = [*_FILES, *_SCANS, *_SCALARS, *_AUDIT, *_METRICS, *_SPLITS, *_FRAMES, *_RUNS]
 QUERIES = {q.name: q for q in ALL}
