@@ -72,10 +72,10 @@ def _unit(vector) -> np.ndarray | None:
 
 def _classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        units = [_unit(v) if l is not None and l == l else None for v, l in zip(batch["embedding"], batch["label"])]
+        units = [_unit(v) if isinstance(l, str) else None for v, l in zip(batch["embedding"], batch["label"])]
         raw = [None if u is None else np.asarray(v, "float64").tobytes() for u, v in zip(units, batch["embedding"])]
-        keys = [None if r is None else hashlib.blake2b(r + str(l).encode(), digest_size=16).digest() for r, l in zip(raw, batch["label"])]
-        yield pd.DataFrame({"vec_id": batch["vec_id"].array, "grp": [None if k is None else str(l) for k, l in zip(keys, batch["label"])], "key": keys, "unit": [None if u is None else u.tobytes() for u in units]})
+        keys = [None if r is None else hashlib.blake2b(r + l.encode(), digest_size=16).digest() for r, l in zip(raw, batch["label"])]
+        yield pd.DataFrame({"vec_id": batch["vec_id"].array, "grp": [None if k is None else l for k, l in zip(keys, batch["label"])], "key": keys, "unit": [None if u is None else u.tobytes() for u in units]})
 
 
 def block_links(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
@@ -112,7 +112,7 @@ def block_links(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
     """vec_id, n_links, component_id, kept; vectors: vec_id, embedding, label."""
-    given = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].alias("embedding"), vectors["label"].alias("label"))
+    given = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].alias("embedding"), vectors["label"].cast("string").alias("label"))  # a string in every batch, null or not
     keyed = materialize(given.mapInPandas(_classes, "vec_id long, grp string, key binary, unit binary"), "vectors")
     valid = keyed.filter("key is not null and vec_id is not null")
     classes = materialize(
