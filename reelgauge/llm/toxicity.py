@@ -2,7 +2,8 @@
 
 The kernel of two words sums over their common subsequences of ``ORDER`` letters, gaps allowed,
 each weighted by DECAY to the power of the stretches it spans, and is normed to 1 for equal words; an
-inserted or dropped character thus lowers it only a little; the normed value is squared. A sentence compares with a landmark by
+inserted or dropped character thus lowers it only a little; the normed value is squared, and 0 for words that
+share few letter pairs. A sentence compares with a landmark by
 its best unit: its words (lower case, punctuation off), and letters set apart by blanks put
 together. Landmarks are words that mark toxic training documents, unlike one another. Multiplied by K_ZZ^-1/2 the comparisons are the Nystroem features of a sentence, on which a
 linear machine (squared hinge loss) is trained: against the sentences of clean documents stands
@@ -21,6 +22,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,8 +33,9 @@ from .labelled import held_out, training_rows
 
 ORDER = 3
 DECAY = 0.9
-LANDMARKS = 32
-UNLIKE = 0.4  # a landmark's kernel with those chosen before it stays below this
+LANDMARKS = 48
+RARE = 0.015  # share of the toxic documents that a landmark must be in
+UNLIKE = 0.7  # a landmark's kernel with those chosen before it stays below this
 CLEAN_LANDMARKS = 0
 POWER = 2  # an integer power of a kernel is a kernel; it sets near words further off from chance likeness
 FIT_ROWS = 1000
@@ -50,9 +53,14 @@ def unit_form(token: str) -> str:
     return MARKS.sub("", token.lower())
 
 
+LETTERS_APART = re.compile(r"(?:^|\s)\S\s+\S\s+\S(?:\s|$)")
+
+
 def sentence_units(sentence: str) -> list[str]:
     """Tokens, and each run of three or more one-letter tokens as one unit more."""
     tokens = sentence.split()
+    if not LETTERS_APART.search(sentence):
+        return tokens
     out, run = list(tokens), []
     for t in [*tokens, "  "]:
         if len(t) == 1:
@@ -72,83 +80,92 @@ def windows(form: str) -> list[str]:
 
 
 def _codes(words: list[str]) -> np.ndarray:
+    """Code points, padded by -1; the words hold no NUL."""
     width = max(map(len, words))
-    return np.array([[*map(ord, w), *[-1] * (width - len(w))] for w in words], "int32")
+    flat = np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le"), "<i4").reshape(len(words), width)
+    return np.where(flat == 0, -1, flat)
 
 
 def _kernel(s: np.ndarray, t: np.ndarray, order: int, decay: float) -> np.ndarray:
-    """Unnormed kernels of all rows of s (padded by -1) with all rows of t (padded by -2), by the usual recursion over prefixes."""
-    rows, cols, n, m = len(s), len(t), s.shape[1], t.shape[1]
-    before = [[np.ones((m + 1, rows, cols), "float32") if i == 0 else np.zeros((m + 1, rows, cols), "float32")] for i in range(order)]
-    prefix = [b[0] for b in before]
-    total = np.zeros((rows, cols), "float32")
-    square = np.float32(decay * decay)
-    for a in range(n):
-        same = [(s[:, a][:, None] == t[:, b][None, :]) for b in range(m)]
-        nxt = [prefix[0]]
-        for i in range(1, order):
-            run = np.zeros((rows, cols), "float32")
-            now = np.empty_like(prefix[i])
-            now[0] = 0
-            for b in range(m):
-                run = run * np.float32(decay) + same[b] * (square * prefix[i - 1][b])
-                now[b + 1] = prefix[i][b + 1] * np.float32(decay) + run
-            nxt.append(now)
-        for b in range(m):
-            total += same[b] * (square * prefix[order - 1][b])
-        prefix = nxt
-    return total
+    """Unnormed kernels of words s (rows, n; padded by -1) with t (padded by -2): all of (landmarks, m), or each row with its own of (rows, 1, m).
+
+    The usual recursion over prefixes, one letter of s at a time; along t the decaying sums are one product with a triangle of powers.
+    """
+    m = t.shape[-1]
+    t = t if t.ndim == 3 else t[None]
+    gap = np.arange(m)[None, :] - np.arange(m)[:, None]
+    triangle = np.where(gap >= 0, np.float32(decay) ** np.maximum(gap, 0), 0).astype("float32") * np.float32(decay * decay)
+    prefix = [None] + [np.zeros((len(s), t.shape[1], m), "float32") for _ in range(order - 1)]  # without the empty prefix of t
+    total = np.zeros((len(s), t.shape[1], m), "float32")
+    for a in range(s.shape[1]):
+        same = (s[:, a][:, None, None] == t).astype("float32")
+        total[..., 1:] += same[..., 1:] * prefix[order - 1][..., :-1]
+        for i in range(order - 1, 0, -1):
+            step = same
+            if i > 1:
+                step = np.zeros_like(same)
+                np.multiply(same[..., 1:], prefix[i - 1][..., :-1], out=step[..., 1:])
+            prefix[i] *= np.float32(decay)
+            prefix[i] += step @ triangle
+    return total.sum(2) * np.float32(decay * decay)
 
 
 class WordKernel:
-    """Normed kernels of words with fixed landmarks; landmarks are grouped by length to keep the padding small."""
+    """Normed kernels of words with fixed landmarks.
 
-    def __init__(self, landmarks: list[str], order: int = ORDER, decay: float = DECAY):
+    A kernel is computed where the word has SHARED of the landmark's letter pairs (at distance one or two); elsewhere it counts as 0.
+    """
+
+    def __init__(self, landmarks: list[str], order: int = ORDER, decay: float = DECAY, shared: float = 0.4):
         self.landmarks, self.order, self.decay = landmarks, order, decay
-        self.groups = []
-        for least, most in ((0, 7), (8, 12), (13, WINDOW)):
-            if at := [i for i, z in enumerate(landmarks) if least <= len(z) <= most]:
-                codes = _codes([landmarks[i] for i in at])
-                codes[codes == -1] = -2
-                self.groups.append((at, codes))
-        self.own = np.array([self.self_kernel([z])[0] for z in landmarks], "float32") if landmarks else np.empty(0, "float32")
+        if not landmarks:
+            return
+        self.codes = np.where((codes := _codes(landmarks)) == -1, -2, codes)
+        self.own = self.self_kernel(landmarks)
+        self.alphabet = np.unique(self.codes[self.codes > 0])
+        k = len(self.alphabet) + 1
+        self.pairs = np.zeros((k * k, len(landmarks)), "int16")
+        letters = self._letters(self.codes)
+        for i, z in enumerate(letters):
+            z = z[: len(landmarks[i])]
+            for step in (1, 2):
+                self.pairs[z[:-step] * k + z[step:], i] = 1
+        self.pairs[0] = 0
+        self.pairs[:k] = 0
+        self.pairs[::k] = 0  # pairs with a letter of no landmark
+        self.least = shared * self.pairs.sum(0)
+
+    def _letters(self, codes: np.ndarray) -> np.ndarray:
+        """Places in the alphabet from 1; 0 for other letters."""
+        at = np.minimum(np.searchsorted(self.alphabet, codes), len(self.alphabet) - 1)
+        return np.where(self.alphabet[at] == codes, at + 1, 0)
 
     def self_kernel(self, words: list[str]) -> np.ndarray:
-        """k(w, w): the diagonal, one row at a time against itself."""
+        """k(w, w) of each word."""
         s = _codes(words)
-        rows, n = s.shape
-        t = s.copy()
-        t[t == -1] = -2
-        prefix = [np.ones((n + 1, rows), "float32")] + [np.zeros((n + 1, rows), "float32") for _ in range(self.order - 1)]
-        total, square, decay = np.zeros(rows, "float32"), np.float32(self.decay**2), np.float32(self.decay)
-        for a in range(n):
-            same = s[:, a][None, :] == t.T
-            nxt = [prefix[0]]
-            for i in range(1, self.order):
-                run, now = np.zeros(rows, "float32"), np.zeros_like(prefix[i])
-                for b in range(n):
-                    run = run * decay + same[b] * (square * prefix[i - 1][b])
-                    now[b + 1] = prefix[i][b + 1] * decay + run
-                nxt.append(now)
-            total += (same * prefix[self.order - 1][:-1]).sum(0) * square
-            prefix = nxt
-        return total
+        return _kernel(s, np.where(s == -1, -2, s)[:, None, :], self.order, self.decay)[:, 0]
 
     def rows(self, words: list[str]) -> np.ndarray:
-        """(len(words), landmarks); words by length, so that a block needs no padding."""
+        """(len(words), landmarks); words by length, so that a block needs little padding."""
         out = np.zeros((len(words), len(self.landmarks)), "float32")
         by_length: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             if len(w) >= self.order:
-                by_length.setdefault(len(w), []).append(i)
+                by_length.setdefault((len(w) + 1) // 2, []).append(i)
+        k = len(self.alphabet) + 1 if self.landmarks else 1
         for at in by_length.values():
             for a in range(0, len(at), 1024):
-                own = at[a : a + 1024]
-                block = [words[i] for i in own]
-                s = _codes(block)
-                norm = np.sqrt(self.self_kernel(block))[:, None]
-                for cols, t in self.groups:
-                    out[np.ix_(own, cols)] = (_kernel(s, t, self.order, self.decay) / np.maximum(norm * np.sqrt(self.own[cols])[None, :], 1e-12)) ** POWER
+                own = np.array(at[a : a + 1024])
+                codes = _codes([words[i] for i in own])
+                letters = self._letters(codes)
+                common = sum(self.pairs[letters[:, :-step] * k + letters[:, step:]].sum(1) for step in (1, 2))
+                word, mark = np.nonzero(common >= self.least)
+                if not len(word):
+                    continue
+                alike, back = np.unique(word, return_inverse=True)
+                norm = self.self_kernel([words[i] for i in own[alike]])[back] * self.own[mark]
+                found = np.concatenate([_kernel(codes[word[c : c + 1024]], self.codes[mark[c : c + 1024]][:, None, :], self.order, self.decay)[:, 0] for c in range(0, len(word), 1024)])
+                out[own[word], mark] = (found / np.sqrt(np.maximum(norm, 1e-24))) ** POWER
         return out
 
 
@@ -200,7 +217,7 @@ class ToxicityModel:
             if not sentences:
                 out.append(np.zeros((0, len(self.landmarks)), "float32"))
                 continue
-            at = np.fromiter((self.tokens[u] for s in sentences for u in s), "int64")
+            at = np.fromiter(map(self.tokens.__getitem__, chain.from_iterable(sentences)), "int64")
             starts = np.r_[0, np.cumsum([len(s) for s in sentences])[:-1]]
             parts = []
             for a in range(0, len(starts), 512):  # a very long text goes in runs of sentences
@@ -217,7 +234,7 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.shift, -30, 30)))
 
 
-def _slices(texts: list[str], most: int = 500_000) -> Iterator[list[str]]:
+def _slices(texts: list[str], most: int = 3_000_000) -> Iterator[list[str]]:
     out, size = [], 0
     for t in texts:
         out.append(t)
@@ -235,7 +252,7 @@ def choose_landmarks(texts: list[str], y: np.ndarray, n_toxic: int = LANDMARKS,
     for t, label in zip(texts, y):
         seen[int(label)].update({unit_form(u) for u in sentence_units(t)})
     n0, n1 = max(1, (y == 0).sum()), max(1, (y == 1).sum())
-    gain = {w: c / n1 - 8 * seen[0][w] / n0 for w, c in seen[1].items() if c >= 2 and ORDER <= len(w) <= WINDOW}
+    gain = {w: c / n1 - 8 * seen[0][w] / n0 for w, c in seen[1].items() if c >= max(2, RARE * n1) and ORDER <= len(w) <= WINDOW}
     toxic = [w for w in sorted(gain, key=lambda w: (-gain[w], w)) if gain[w] > 0][: 12 * n_toxic]
     clean = [w for w, _ in sorted(seen[0].items(), key=lambda x: (-x[1], x[0])) if ORDER <= len(w) <= WINDOW][: 12 * n_clean]
     chosen: list[str] = []
