@@ -15,7 +15,7 @@ RECORD = ("path", "label", "dtype", "dataset", "source_split", "identity")
 
 
 def file_listing(spark: SparkSession, root: str) -> DataFrame:
-    """path, length, modificationTime of every file below root; the content column is never read."""
+    """path, length, modificationTime of every file below root; the content column is never read. Spark leaves hidden files and folders out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return files.select("path", "length", "modificationTime")
 
