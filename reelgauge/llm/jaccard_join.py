@@ -10,7 +10,9 @@ least. So every set emits one 64-bit signature per segment (for its size class,
 where a larger partner could lie there), and sets that share a signature are searched together, in
 a group with the smallest id among them. A signature of an empty segment says nothing; spare
 segments make up for a few empty ones, and a set with more of them than spares emits those also. No
-link is lost, and unrelated texts hardly ever share a signature, even if they share a passage.
+link is lost. Texts that share a passage can share a signature too, so before any text is fetched
+the groups are sifted by sketches: counts of a set's hashes in a few cells, which show how many
+shingles two sets differ in at least. What could link under that bound stays together; the rest goes.
 
 Groups are dealt into blocks of about BLOCK documents, and each pair of blocks is one task: a
 large group spreads over many tasks. A task returns a spanning forest of its links, never all
@@ -37,7 +39,7 @@ from .common import materialize, shuffle_partitions
 from .components import connected_components
 
 BLOCK = 1000
-RATIO = 1.6  # of the size classes
+RATIO = 1.6  # of the size classes, at least
 MERGE_BY_HEAP = 4096  # list entries; beyond, the same merge is done by one sort
 MU = 0.0085  # DivideSkip's cost ratio of a probe to a merge step
 
@@ -72,6 +74,7 @@ class SizeClasses:
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
+        self.ratio = max(RATIO, 1.01 * den / num)  # partners lie in the same or the next class
         self.bounds = [1, 2]
         self.segments: list[tuple[int, int]] = []
 
@@ -82,7 +85,7 @@ class SizeClasses:
                 spare = 1 + differ // 16
                 self.segments.append((differ + 1 + spare, spare) if differ else (0, 0))
             else:
-                self.bounds.append(max(self.bounds[-1] + 1, int(self.bounds[-1] * RATIO)))
+                self.bounds.append(max(self.bounds[-1] + 1, -int(-self.bounds[-1] * self.ratio // 1)))
 
     def of(self, size: int) -> list[int]:
         self.reach(2 * size + 2)
@@ -106,6 +109,16 @@ class SizeClasses:
         return np.concatenate(out) if out else np.empty(0, "uint64")
 
 
+    def sketches(self, hashes: np.ndarray) -> list[dict]:
+        """Per class of the set: how many of its hashes fall into each of the class's cells (255 at most)."""
+        out = []
+        for c in self.of(len(hashes)):
+            cells = 16 if self.bounds[c + 1] <= 64 else 1 << (int(self.bounds[c + 1] - 1).bit_length() - 2)
+            counts = np.bincount((hashes >> np.uint64(44)).astype("int64") & (cells - 1), minlength=cells)
+            out.append({"cls": c, "cells": np.minimum(counts, 255).astype("u1").tobytes()})
+        return out
+
+
 def _linked(both: int, a: int, b: int, num: int, den: int) -> bool:
     return den * both >= num * (a + b - both)
 
@@ -184,6 +197,45 @@ def divide_skip_links(sets: list[np.ndarray], index: list[int], queries: list[in
     return found
 
 
+STEP_FLOATS = 4_000_000
+STEPS = 4  # counts of a cell up to this are compared one by one, the rest in sum
+
+
+def _steps(cells: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ones where a cell's count reaches 1, 2 ... STEPS, and each row's counts beyond; the product of two rows sums the smaller counts."""
+    counts = np.frombuffer(b"".join(cells), "u1").reshape(len(cells), -1)
+    rows = np.concatenate([counts >= t for t in range(1, STEPS + 1)], axis=1).astype("float32")
+    return rows, np.maximum(counts.astype("int64") - STEPS, 0).sum(1)
+
+
+def sifted(held: dict[int, bytes], sizes: np.ndarray, index: list[int], queries: list[int], num: int, den: int, label: np.ndarray, chunk: int = 64) -> None:
+    """Give one label to documents that could link, judged by sketches of one class: two sets share at most the sum of the smaller counts of their cells.
+
+    A cell that counts 255 may hold more; its set is then compared with every other. Blocks of the index keep the memory bounded.
+    """
+    asked = np.array(sorted(queries, key=lambda i: sizes[i]))
+    ordered = np.array(sorted(index, key=lambda i: sizes[i]))
+    block = max(64, STEP_FLOATS // (STEPS * len(held[index[0]])))
+    for b in range(0, len(ordered), block):
+        place = ordered[b : b + block]
+        n = sizes[place]
+        rows, beyond = _steps([held[i] for i in place])
+        full = np.array([255 in held[i] for i in place])
+        for a in range(0, len(asked), chunk):
+            own = asked[a : a + chunk]
+            lo, hi = np.searchsorted(n * den, sizes[own[0]] * num), np.searchsorted(n * num, sizes[own[-1]] * den, "right")
+            if hi <= lo:
+                continue
+            mine, over = _steps([held[i] for i in own])
+            most = mine @ rows[lo:hi].T + np.minimum(over[:, None], beyond[None, lo:hi])
+            could = den * most >= num * (sizes[own][:, None] + n[None, lo:hi] - most)
+            could |= full[None, lo:hi] | np.array([255 in held[i] for i in own])[:, None]
+            for q, hits in zip(own, could):
+                labels = np.unique(np.r_[label[q], label[place[lo:hi][hits]]])
+                if len(labels) > 1:
+                    label[np.isin(label, labels)] = labels[0]
+
+
 def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Whole groups of a partition sorted by keys, whatever the batches."""
     held: list[pd.DataFrame] = []
@@ -207,7 +259,7 @@ def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Dat
 
 
 def shingle_rows(docs: DataFrame, k: int, num: int, den: int, signatures: bool, text: str, doc_id: str) -> DataFrame:
-    """doc_id, and n_shingles with the set's digest, or the set's signatures (once for equal sets of a task)."""
+    """doc_id, and n_shingles with the set's digest and sketches, or the set's signatures (once for equal sets of a task)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -228,12 +280,19 @@ def shingle_rows(docs: DataFrame, k: int, num: int, den: int, signatures: bool,
                 yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="int64"), "sigs": pd.Series(rows, dtype=object)})
             else:
                 sets = [shingle_set(t, k) for t in batch["text"]]
-                yield pd.DataFrame({"doc_id": batch["doc_id"].array, "n_shingles": [len(s) for s in sets], "digest": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]})
+                yield pd.DataFrame(
+                    {
+                        "doc_id": batch["doc_id"].array,
+                        "n_shingles": [len(s) for s in sets],
+                        "digest": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
+                        "sketches": [classes.sketches(s) if len(s) else [] for s in sets],
+                    }
+                )
 
     given = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
     if signatures:
         return given.filter("doc_id is not null and text is not null").mapInPandas(run, "doc_id long, sigs array<long>")
-    return given.mapInPandas(run, "doc_id long, n_shingles long, digest binary")
+    return given.mapInPandas(run, "doc_id long, n_shingles long, digest binary, sketches array<struct<cls: int, cells: binary>>")
 
 
 def _search(k: int, num: int, den: int):
@@ -257,13 +316,30 @@ def _search(k: int, num: int, den: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id of links with Jaccard similarity >= num / den."""
-    spark = docs.sparkSession
-    sets = materialize(shingle_rows(docs, k, num, den, False, text, doc_id), "shingle-sets")
-    signed = shingle_rows(docs, k, num, den, True, text, doc_id).select("doc_id", F.explode("sigs").alias("sig"))
-    leaders = signed.select("doc_id", F.min("doc_id").over(Window.partitionBy("sig")).alias("leader")).filter("doc_id <> leader")
-    members = materialize(leaders.distinct(), "jaccard-groups")
+def _sift(num: int, den: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _groups(batches, ["leader", "x", "y"]):
+            ids, sizes, side = group["doc_id"].to_numpy(), group["n_shingles"].to_numpy("int64"), group["block"].to_numpy()
+            x, y = int(group["x"].iloc[0]), int(group["y"].iloc[0])
+            label = np.arange(len(ids))
+            by_class: dict[int, dict[int, bytes]] = {}
+            for i, sketches in enumerate(group["sketches"]):
+                for sketch in sketches:
+                    by_class.setdefault(sketch["cls"], {})[i] = sketch["cells"]
+            for held in by_class.values():
+                index = [i for i in held if side[i] == x]
+                queries = index if x == y else [i for i in held if side[i] == y]
+                if index and queries:
+                    sifted(held, sizes, index, queries, num, den, label)
+            least = pd.Series(ids).groupby(label).transform("min").to_numpy()
+            other = least != ids
+            yield pd.DataFrame({"leader": least[other], "doc_id": ids[other]})
+
+    return run
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """(doc_id, leader) with each leader's own row, dealt to all pairs of its group's blocks: doc_id, leader, block, x, y."""
     members = members.unionByName(members.select(F.col("leader").alias("doc_id"), "leader").distinct())
     blocks = members.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("doc_id", F.lit("block")), F.col("blocks")).cast("int")
@@ -271,16 +347,30 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda o: F.struct(F.least(o, F.col("block")).cast("int").alias("x"), F.greatest(o, F.col("block")).cast("int").alias("y")),
     )
-    dealt = members.join(blocks, "leader").withColumn("block", block).select("doc_id", "leader", "block", F.explode(pairs).alias("p")).select("doc_id", "leader", "block", "p.x", "p.y")
+    return members.join(blocks, "leader").withColumn("block", block).select("doc_id", "leader", "block", F.explode(pairs).alias("p")).select("doc_id", "leader", "block", "p.x", "p.y")
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, n_shingles, component_id of links with Jaccard similarity >= num / den."""
+    parts = shuffle_partitions(docs.sparkSession)
+    together = lambda df: df.repartition(parts, "leader", "x", "y").sortWithinPartitions("leader", "x", "y", "doc_id")
+    sets = materialize(shingle_rows(docs, k, num, den, False, text, doc_id), "shingle-sets")
+    signed = shingle_rows(docs, k, num, den, True, text, doc_id).select("doc_id", F.explode("sigs").alias("sig"))
+    leaders = signed.select("doc_id", F.min("doc_id").over(Window.partitionBy("sig")).alias("leader")).filter("doc_id <> leader")
+    leaders = materialize(leaders.distinct(), "jaccard-groups")
+    sketched = sets.filter("digest is not null and doc_id is not null").select("doc_id", "n_shingles", "sketches")
+    near = together(_dealt(leaders).join(sketched, "doc_id")).mapInPandas(_sift(num, den), "leader long, doc_id long")
+    near = materialize(near.distinct(), "jaccard-near")
     texts = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).filter("doc_id is not null and text is not null")
-    met = dealt.join(texts, "doc_id").repartition(shuffle_partitions(spark), "leader", "x", "y").sortWithinPartitions("leader", "x", "y", "doc_id", "text")
+    met = together(_dealt(near).join(texts, "doc_id"))
     links = met.select("leader", "x", "y", "doc_id", "block", "text").mapInPandas(_search(k, num, den), "a long, b long")
-    equal = sets.filter("digest is not null and doc_id is not null")
+    equal = sets.filter("digest is not null and doc_id is not null").select("doc_id", "digest")
     first = equal.groupBy("digest").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     copies = equal.join(first, "digest").select(F.col("doc_id").alias("a"), "b").filter("a <> b")
     joined = connected_components(links.unionByName(copies), "jaccard-components")
-    out = sets.join(joined, sets["doc_id"] == joined["node"], "left")
-    return out.select(sets["doc_id"], "n_shingles", F.coalesce("component", sets["doc_id"]).alias("component_id"))
+    counted = sets.select("doc_id", "n_shingles")
+    out = counted.join(joined, counted["doc_id"] == joined["node"], "left")
+    return out.select(counted["doc_id"], "n_shingles", F.coalesce("component", counted["doc_id"]).alias("component_id"))
 
 
 def keep_one_per_group(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
