@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 MARK = "▁"
-CACHE = 200_000
+CACHE = 120_000
 
 
 class PieceEncoder:
