@@ -6,6 +6,8 @@ from __future__ import annotations
 class ChunkCache(dict):
     """chunk -> value. ``cache[chunk]`` computes what is missing by ``make(chunk)``.
 
+    Where ``make`` takes a list and gives a list, ``fill`` computes all that is missing in one call.
+
     At ``limit`` entries the cache becomes the old generation and a new one starts; chunks still in
     use move over when they are next asked for, so memory stays below two generations.
     """
@@ -23,3 +25,13 @@ class ChunkCache(dict):
             self.clear()
         self[chunk] = value
         return value
+
+    def fill(self, chunks: set) -> None:
+        """Have all of these at hand until the next fill."""
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        missing = chunks - self.keys()
+        self.update((c, self.old[c]) for c in missing if c in self.old)
+        todo = list(missing - self.old.keys())
+        self.update(zip(todo, self.make(todo)))
