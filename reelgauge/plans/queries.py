@@ -496,9 +496,14 @@ def _history_rows(t: Bound):
     return artifacts.with_history_columns(t.history.filter("epoch <= 20").withColumnRenamed("run", "run_dir"))
 
 
+def _all_history_rows(t: Bound):
+    return artifacts.with_history_columns(t.history.withColumnRenamed("run", "run_dir"))
+
+
 _RUNS = [
     Query("load_runs", _loaded, _LOADED_SQL, "test_acc test_f1"),
     Query("load_history", lambda t: _history_rows(t).select("run_dir", "epoch", "val_f1", "lr", "train_loss"), "SELECT run AS run_dir, epoch, val_f1, CAST(NULL AS DOUBLE) AS lr, CAST(NULL AS DOUBLE) AS train_loss FROM {history} WHERE epoch <= 20", "val_f1"),
+    Query("load_history_all", lambda t: _all_history_rows(t).select("run_dir", "epoch", "val_f1", "lr", "train_loss"), "SELECT run AS run_dir, epoch, val_f1, CAST(NULL AS DOUBLE) AS lr, CAST(NULL AS DOUBLE) AS train_loss FROM {history}", "val_f1"),
     Query("load_predictions", lambda t: artifacts.usable_predictions(t.predictions).select("path", "run", "label", "pred_label"), "SELECT path, run, label, pred_label FROM {predictions}"),
     Query("run_manifest", lambda t: t.manifest.orderBy(*runs.MANIFEST_ORDER), "SELECT * FROM {manifest} ORDER BY protocol, category, family, experiment_no, run_name", "test_f1 best_val_f1 test_acc best_val_acc"),
     Query("generalization_gap", lambda t: runs.generalization_gap(t.manifest).select("run_name", "gap").orderBy(F.desc("gap"), "run_name"), "SELECT run_name, best_val_f1 - test_f1 AS gap FROM {manifest} WHERE best_val_f1 IS NOT NULL AND test_f1 IS NOT NULL", "gap"),
