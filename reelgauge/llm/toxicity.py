@@ -4,14 +4,17 @@ The kernel of two words sums over their common subsequences of ``ORDER`` letters
 each weighted by DECAY to the power of the stretches it spans, and is normed to 1 for equal words; an
 inserted or dropped character thus lowers it only a little; the normed value is squared, and 0 for words that
 share few letter pairs. A sentence compares with a landmark by
-its best unit: its words (lower case, punctuation off), and letters set apart by blanks put
-together. Landmarks are words that mark toxic training documents, unlike one another. Multiplied by K_ZZ^-1/2 the comparisons are the Nystroem features of a sentence, on which a
+its best unit: its words (lower case, punctuation off) and the heads of words, and letters set apart by blanks put
+together. Landmarks are heads that a family of words shares and words that mark toxic training documents, by
+presence or by use twice or more in one document, unlike one another. Multiplied by K_ZZ^-1/2 the comparisons are the Nystroem features of a sentence, on which a
 linear machine (squared hinge loss) is trained: against the sentences of clean documents stands
 from each toxic document the sentence that the machine finds worst, re-picked in each round, and
-clean sentences with a landmark put in that has a strange or a doubled letter. A document scores as its worst sentence, mapped to 0..1 by a logistic fit.
+clean sentences with a landmark put in that has a strange or a doubled letter (landmarks that clean documents hold too are not). A document has two
+scores, each mapped to 0..1 by a logistic fit: its worst sentence, and the sum of the best kernels of all its units, so that
+words which clean documents hold now and then count by their repetition. The larger one is its score.
 
-The fit takes at most FIT_ROWS labelled rows of each class, picked by hash; it is the only bounded
-step. Every whole text is scored; labels, lang, source and doc_id are no inputs. Null and empty
+The fit takes at most FIT_ROWS labelled rows of each class, picked by hash; of their clean sentences at most FIT_SENTENCES,
+drawn at random, stand against the toxic ones in the sentence machine (the worst sentence of every clean document stands there in any case). Nothing else is bounded. Every whole text is scored; labels, lang, source and doc_id are no inputs. Null and empty
 texts have no sentence and score as one without any likeness. Without rows of both classes to
 learn from, every score is 0. A null doc_id, repeated rows and extra columns make no difference:
 one row out for each row in.
@@ -23,6 +26,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -34,7 +38,11 @@ from .labelled import held_out, training_rows
 ORDER = 3
 DECAY = 0.9
 LANDMARKS = 48
-RARE = 0.015  # share of the toxic documents that a landmark must be in
+HEADS = range(3, 9)  # lengths of the heads of words that are counted as families
+SURE = 9.0  # least log likelihood gain of a landmark over the share of toxic documents
+COPIES = 8  # documents with the same least hash of words of this many letters count once for the choice
+OFTENER = 4.0  # and how much oftener toxic documents hold it than clean ones
+HIT = 0.6  # kernels from here on add to a document's sum
 UNLIKE = 0.7  # a landmark's kernel with those chosen before it stays below this
 CLEAN_LANDMARKS = 0
 POWER = 2  # an integer power of a kernel is a kernel; it sets near words further off from chance likeness
@@ -170,15 +178,18 @@ class WordKernel:
 
 
 class ToxicityModel:
-    def __init__(self, landmarks: list[str], whiten: np.ndarray, weights: np.ndarray, bias: float, slope: float, shift: float):
+    """slope and shift map the worst sentence, sum_slope and sum_shift the log of the sum of best kernels."""
+
+    def __init__(self, landmarks: list[str], whiten: np.ndarray, weights: np.ndarray, bias: float, slope: float, shift: float, sum_slope: float = 0.0, sum_shift: float = -30.0):
         self.landmarks, self.weights, self.bias, self.slope, self.shift = landmarks, whiten @ weights, bias, slope, shift
+        self.sum_slope, self.sum_shift = sum_slope, sum_shift
         self._reset()
 
     def _reset(self):
         self.kernel, self.tokens, self.forms, self.matrix, self.used = None, {}, {}, None, 0
 
     def __getstate__(self):
-        return {k: getattr(self, k) for k in ("landmarks", "weights", "bias", "slope", "shift")}
+        return {k: getattr(self, k) for k in ("landmarks", "weights", "bias", "slope", "shift", "sum_slope", "sum_shift")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -189,6 +200,7 @@ class ToxicityModel:
         if self.kernel is None:
             self.kernel = WordKernel(self.landmarks)
             self.matrix = np.zeros((1024, len(self.landmarks)), "float32")
+            self.heads = sorted({len(z) for z in self.landmarks if len(z) in HEADS})
         if self.used > CACHED_UNITS or len(self.tokens) > 2 * CACHED_UNITS:
             self.tokens, self.forms, self.used = {}, {}, 0
         new = list(set().union(*token_sets) - self.tokens.keys()) if token_sets else []
@@ -196,10 +208,11 @@ class ToxicityModel:
             return
         forms = [unit_form(t) for t in new]
         todo = list(set(forms) - self.forms.keys())
-        pieces = [w for f in todo for w in windows(f)]
-        rows = self.kernel.rows(pieces)
-        counts = [len(windows(f)) for f in todo]
+        cut = [[*windows(f), *(f[:n] for n in self.heads if n < len(f))] for f in todo]
+        counts = [len(c) for c in cut]
         if todo:
+            at = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(cut)))}
+            rows = self.kernel.rows(list(at))[np.fromiter(map(at.__getitem__, chain.from_iterable(cut)), "int64")]
             best = np.maximum.reduceat(rows, np.r_[0, np.cumsum(counts)[:-1]])
             while self.used + len(todo) > len(self.matrix):
                 self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
@@ -208,16 +221,19 @@ class ToxicityModel:
             self.used += len(todo)
         self.tokens.update((t, self.forms[f]) for t, f in zip(new, forms))
 
-    def sentence_rows(self, texts: list[str]) -> list[np.ndarray]:
-        """Per text, the best kernels of each of its sentences: (sentences, landmarks)."""
+    def sentence_rows(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+        """Per text, the best kernels of each of its sentences: (sentences, landmarks); and the sum of the best kernels of its units."""
         cut = [[u for u in (sentence_units(s) for s in SENTENCE.split(t)) if u] for t in texts]
         self.likeness([u for sentences in cut for u in sentences])
-        out = []
-        for sentences in cut:
+        best = self.matrix[: self.used].max(1)
+        best[best < HIT] = 0
+        out, sums = [], np.zeros(len(texts))
+        for i, sentences in enumerate(cut):
             if not sentences:
                 out.append(np.zeros((0, len(self.landmarks)), "float32"))
                 continue
             at = np.fromiter(map(self.tokens.__getitem__, chain.from_iterable(sentences)), "int64")
+            sums[i] = best[at].sum(dtype=float)
             starts = np.r_[0, np.cumsum([len(s) for s in sentences])[:-1]]
             parts = []
             for a in range(0, len(starts), 512):  # a very long text goes in runs of sentences
@@ -225,13 +241,15 @@ class ToxicityModel:
                 hi = starts[a + 512] if a + 512 < len(starts) else len(at)
                 parts.append(np.maximum.reduceat(self.matrix[at[lo:hi]], starts[a : a + 512] - lo))
             out.append(np.concatenate(parts))
-        return out
+        return out, sums
 
     def score(self, texts: list[str]) -> np.ndarray:
         if not self.landmarks:
             return np.zeros(len(texts))
-        worst = np.array([(r @ self.weights).max(initial=0.0 if not len(r) else -np.inf) + self.bias for r in self.sentence_rows(texts)], float)
-        return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.shift, -30, 30)))
+        rows, sums = self.sentence_rows(texts)
+        worst = np.array([(r @ self.weights).max(initial=0.0 if not len(r) else -np.inf) + self.bias for r in rows], float)
+        either = np.maximum(self.slope * worst + self.shift, self.sum_slope * np.log1p(sums) + self.sum_shift)
+        return 1 / (1 + np.exp(-np.clip(either, -30, 30)))
 
 
 def _slices(texts: list[str], most: int = 3_000_000) -> Iterator[list[str]]:
@@ -246,15 +264,37 @@ def _slices(texts: list[str], most: int = 3_000_000) -> Iterator[list[str]]:
         yield out
 
 
-def choose_landmarks(texts: list[str], y: np.ndarray, n_toxic: int = LANDMARKS, n_clean: int = CLEAN_LANDMARKS) -> list[str]:
-    """Words found in toxic documents and hardly in clean ones, most frequent first and unlike those chosen already; then common clean words."""
-    seen = [Counter(), Counter()]
+def choose_landmarks(texts: list[str], y: np.ndarray, n_toxic: int = LANDMARKS, n_clean: int = CLEAN_LANDMARKS) -> tuple[list[str], list[str]]:
+    """Words, and heads that words share, which toxic documents hold, or hold twice, oftener than clean ones: by their log likelihood gain
+    and unlike those chosen already; then common clean words. Beside them those of the toxic ones that clean documents hardly hold."""
+    once, twice, seen = [Counter(), Counter()], [Counter(), Counter()], Counter()
+    sizes, known = [0, 0], set()
     for t, label in zip(texts, y):
-        seen[int(label)].update({unit_form(u) for u in sentence_units(t)})
-    n0, n1 = max(1, (y == 0).sum()), max(1, (y == 1).sum())
-    gain = {w: c / n1 - 8 * seen[0][w] / n0 for w, c in seen[1].items() if c >= max(2, RARE * n1) and ORDER <= len(w) <= WINDOW}
-    toxic = [w for w in sorted(gain, key=lambda w: (-gain[w], w)) if gain[w] > 0][: 12 * n_toxic]
-    clean = [w for w, _ in sorted(seen[0].items(), key=lambda x: (-x[1], x[0])) if ORDER <= len(w) <= WINDOW][: 12 * n_clean]
+        words = Counter(map(unit_form, sentence_units(t)))
+        copy = int(label), min((crc32(w.encode()) for w in words if len(w) >= COPIES), default=t)
+        if copy in known:
+            continue
+        known.add(copy)
+        sizes[int(label)] += 1
+        held = Counter()
+        for w, n in words.items():
+            for k in {*(k for k in HEADS if k < len(w)), len(w)}:
+                if ORDER <= k <= WINDOW:
+                    held[w[:k]] += n
+        once[int(label)].update(held.keys())
+        twice[int(label)].update(w for w, n in held.items() if n > 1)
+        if label == 0 and n_clean:
+            seen.update(words.keys())
+    n0, n1 = (max(1, n) for n in sizes)
+    gain: dict[str, float] = {}
+    for count in (once, twice):
+        for w, a in count[1].items():
+            b = count[0][w]
+            if a > 1 and a / n1 >= OFTENER * b / n0:
+                g = a * np.log(a / (a + b) * (n0 + n1) / n1) + (b * np.log(b / (a + b) * (n0 + n1) / n0) if b else 0.0)
+                gain[w] = max(gain.get(w, 0.0), round(float(g), 6))
+    toxic = [w for w in sorted(gain, key=lambda w: (-gain[w], -len(w), w)) if gain[w] >= SURE][: 12 * n_toxic]
+    clean = [w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if ORDER <= len(w) <= WINDOW][: 12 * n_clean]
     chosen: list[str] = []
     for words, n in ((toxic, n_toxic), (clean, n_clean)):
         if not words:
@@ -265,9 +305,11 @@ def choose_landmarks(texts: list[str], y: np.ndarray, n_toxic: int = LANDMARKS,
             free = np.flatnonzero(best < UNLIKE)
             if not len(free):
                 break
-            chosen.append(words[free[0]])
-            best = np.maximum(best, likeness[:, free[0]])
-    return list(dict.fromkeys(chosen))
+            chosen.append(z := words[free[0]])
+            akin = np.array([w.startswith(z) or z.startswith(w) for w in words])  # of one family
+            best = np.maximum(best, np.where(akin, 1.0, likeness[:, free[0]]))
+    chosen = list(dict.fromkeys(chosen))
+    return chosen, [z for z in chosen if z in gain and once[1][z] / n1 > 20 * once[0][z] / n0]
 
 
 def disguised(word: str) -> list[str]:
@@ -304,23 +346,27 @@ def _logistic(f: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, fl
 
 
 def fit_rows(texts: list[str], y: np.ndarray, rounds: int = 4) -> ToxicityModel:
-    landmarks = choose_landmarks(texts, y) if len(set(y)) == 2 else []
+    landmarks, marked = choose_landmarks(texts, y) if len(set(y)) == 2 else ([], [])
     if not landmarks:
         return ToxicityModel([], np.zeros((0, 0)), np.zeros(0), 0.0, 1.0, 0.0)
-    kzz = WordKernel(landmarks).rows(landmarks).astype(float)
+    alone = np.array([z in marked or not marked for z in landmarks])  # one use says much; the others count by the sum only
+    kzz = WordKernel(landmarks).rows(landmarks).astype(float)[np.ix_(alone, alone)]
     values, vectors = np.linalg.eigh((kzz + kzz.T) / 2)
     keep = values > 1e-6
-    whiten = vectors[:, keep] / np.sqrt(values[keep])
+    whiten = np.zeros((len(landmarks), keep.sum()))
+    whiten[alone] = vectors[:, keep] / np.sqrt(values[keep])
     probe = ToxicityModel(landmarks, whiten, np.zeros(keep.sum()), 0.0, 1.0, 0.0)
-    rows = [r for part in _slices(texts) for r in probe.sentence_rows(part)]
+    parts = [probe.sentence_rows(part) for part in _slices(texts)]
+    rows = [r for part, _ in parts for r in part]
+    sums = np.log1p(np.concatenate([s for _, s in parts]))
     features = [r @ whiten for r in rows]
     toxic = [f for f, label in zip(features, y) if label == 1 and len(f)]
-    start = [r[:, : max(1, len(landmarks) - CLEAN_LANDMARKS)] for r, label in zip(rows, y) if label == 1 and len(r)]
+    start = [r[:, alone] for r, label in zip(rows, y) if label == 1 and len(r)]
     clean = np.concatenate([f for f, label in zip(features, y) if label == 0 and len(f)] or [np.zeros((1, whiten.shape[1]))])
     if len(clean) > FIT_SENTENCES:
         clean = clean[np.random.default_rng(3).permutation(len(clean))[:FIT_SENTENCES]]
     picks = [int(r.max(1).argmax()) for r in start]
-    gapped = WordKernel(landmarks).rows([w for z in landmarks for w in disguised(z)])
+    gapped = WordKernel(landmarks).rows([w for z, own in zip(landmarks, alone) if own for w in disguised(z)])
     plain = np.concatenate([r for r, label in zip(rows, y) if label == 0 and len(r)] or [np.zeros((1, len(landmarks)), "float32")])
     around = plain[np.random.default_rng(5).integers(0, len(plain), len(gapped))]
     gapped = np.maximum(gapped, around) @ whiten  # each disguised landmark inside a clean sentence
@@ -336,7 +382,7 @@ def fit_rows(texts: list[str], y: np.ndarray, rounds: int = 4) -> ToxicityModel:
         hard = np.stack([f[int((f @ w).argmax())] for f in spared]) if spared else hard
     worst = np.array([(f @ w).max(initial=0.0 if not len(f) else -np.inf) + b for f in features])
     slope, shift = _logistic(worst, y)
-    return ToxicityModel(landmarks, whiten, w, b, slope, shift)
+    return ToxicityModel(landmarks, whiten, w, b, slope, shift, *_logistic(sums, y))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = FIT_ROWS, label: str = "toxic") -> ToxicityModel:
