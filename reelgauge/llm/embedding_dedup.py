@@ -5,9 +5,9 @@
    link with nothing: each is a group of its own.
 2. Centres are fitted by spherical k-means on a sample bounded by SAMPLE_ROWS and SAMPLE_FLOATS,
    picked by hash; the number of cells follows the number of classes up to MAX_CELLS. Every class is indexed
-   in its nearest cell. It also visits each cell that a partner at the threshold could lie in: a pair
-   at cosine t is sqrt(2 - 2t) apart, of which the line between two centres sees a share of about
-   1/sqrt(d); cells within MARGIN times that are visited. Recall is measured in the tests (1.0 on the given tables).
+   in its nearest cell. It also visits each cell that a partner at the threshold could lie in: vectors
+   within the angle acos(t) of x reach the side of another centre only where x is at most sin(acos(t)) from the plane
+   between that centre and its own. No pair is lost, whatever way the vectors spread.
 3. A cell's residents and its guests (residents and visitors) are dealt into blocks of about
    BLOCK_ROWS; each pair of blocks is one task with one matrix product in double precision. It hands back per guest
    the number of links and the smallest id of its local component, never the pairs.
@@ -36,7 +36,6 @@ SAMPLE_FLOATS = 4_000_000
 CELL_ROWS = 256
 MAX_CELLS = 1024
 BLOCK_ROWS = 1024
-MARGIN = 2.5
 
 
 def spherical_kmeans(unit: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -110,7 +109,7 @@ def block_links(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return out[(out["links"] > 0) | (out["local"] != out["rep"])]
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept; vectors: vec_id, embedding, label."""
     given = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].alias("embedding"), vectors["label"].cast("string").alias("label"))  # a string in every batch, null or not
     keyed = materialize(given.mapInPandas(_classes, "vec_id long, grp string, key binary, unit binary"), "vectors")
@@ -124,7 +123,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, margin: fl
     sample = classes.filter(F.octet_length("unit") == (width or 0)).orderBy(F.xxhash64("rep"), "rep").select("unit").limit(max(1, rows)).collect()
     points = np.array([np.frombuffer(r[0], "float64") for r in sample]) if sample else np.ones((1, 1))
     centres = spherical_kmeans(points, min(k, len(points)))
-    reach = margin * np.sqrt(2 - 2 * threshold) / np.sqrt(centres.shape[1])
+    reach = (np.sqrt(max(0.0, 1 - threshold * threshold)) if threshold > 0 else 1.0) + 1e-9  # with room for rounding
     apart = np.linalg.norm(centres[:, None, :] - centres[None, :, :], axis=2) if len(centres) <= 256 else None
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
