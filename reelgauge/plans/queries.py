@@ -609,7 +609,7 @@ def _exported_report(t: Bound):
 
 
 def _streamed(t: Bound):
-    events = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
+    events = t.spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/[e]vents.parquet")  # a pattern may name one file or a folder of parts; a plain path of a stream must be a folder
     paths = events.select(F.col("ts").cast("timestamp").alias("ts"), F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("path"))
     folder = scratch_dir(t.spark, "bad-media")
     return bad_media.run_to_table(bad_media.deduplicated(paths), "bad_media", f"{folder}/state", f"{folder}/out").select("path").distinct()
