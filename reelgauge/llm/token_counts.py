@@ -1,31 +1,38 @@
-"""Token counts by heap-and-linked-list byte-pair merging; no ids are made.
+"""Token counts by heap-and-linked-list byte-pair merging; no ids of texts are made.
 
 ``MergeCounter`` reads the merge ranks of a byte-level BPE file. A word is a linked list of symbols
-and a heap of its adjacent pairs by (rank, position): the lowest is popped again and again, stale
-entries are skipped, its symbols merge and the two new pairs enter. The count is the initial
+and a heap of its adjacent pairs by (rank, position), merged as in ``merges``. The count is the initial
 symbols minus the merges.
 
-White space never reaches a token of these vocabularies, so a text falls into chunks at ASCII blanks that are
-counted one by one and kept in a bounded cache. Special strings inside a chunk count as one token
-each, as the library's default has it. Null and empty texts have 0 tokens; a null doc_id, repeated
-rows and extra columns make no difference: one row out for each row in.
+White space never reaches a token of these vocabularies, case is folded and letters are parted from
+punctuation (probed when the file is read; another vocabulary is refused). So the texts of an Arrow
+batch are cut into words and closing marks (``units``), each distinct one of a slice is
+counted once, with a bounded cache over slices, and the counts are gathered and summed
+by document. Special strings inside a text count as one token each, as the library's default has it.
+
+Null and empty texts have 0 tokens; a null doc_id, repeated rows and extra columns make no difference: one
+row out for each row in, none for an empty table. A text of any length is counted whole; it takes about
+ten times its bytes in memory.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ChunkCache
-from .common import WORD_RE
+from .merges import PairMerger
+from .units import Texts, UnitCache, text_slices, word_units
 
 LIMIT = 2048
+CACHE = 240_000
+#: A word of small letters, or marks: one pre-tokenized word, which the normalizer leaves as it is.
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+|[.,;:!?]+").fullmatch
 
 
 def byte_symbols() -> dict[int, str]:
@@ -35,68 +42,84 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+def word_tokenizer(path: str):
+    """The library's tokenizer and its special strings; refuses a vocabulary whose texts don't fall into word units."""
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    specials = [t["content"] for t in added]
+    if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
+        raise ValueError("added tokens must match raw text plainly")
+    if any(re.search(r"\s|[A-Za-zÀ-ÿ][.,;:!?]", t) for t in specials):
+        raise ValueError("an added token would cross units")
+    ids = lambda t: lib.encode(t, add_special_tokens=False).ids
+    probes = [("\t a \n", "a"), ("a b\r\nc", "a", "b", "c"), ("word.,;:!?", "word", ".,;:!?"), ("é, ß!?x", "é", ",", "ß", "!?x"), ("AZÀÖØÞ", "azàöøþ"), ("Don't. stop", "don't", ".", "stop")]
+    if any(ids(whole) != [i for p in parts for i in ids(p)] for whole, *parts in probes):
+        raise ValueError("the vocabulary keeps white space or case, or joins letters and marks")
+    return lib, specials
+
+
 class MergeCounter:
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model = spec["model"]
+            model = json.load(f)["model"]
         if model["type"] != "BPE" or model.get("unk_token") or model.get("continuing_subword_prefix") or model.get("byte_fallback") or model.get("ignore_merges"):
             raise ValueError("a plain byte-level BPE file is needed")
-        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ", 1)) for m in model["merges"]]
-        self.ranks = {p: i for i, p in enumerate(pairs)}
-        self.vocab = set(model["vocab"])
-        self.suffix = model.get("end_of_word_suffix") or ""
-        tokenizer = Tokenizer.from_file(path)
-        self.normalizer, self.pre_tokenizer = tokenizer.normalizer, tokenizer.pre_tokenizer
-        if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
-            raise ValueError("added tokens must match raw text plainly")
-        specials = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
-        if any(re.search(r"\s", t) for t in specials):
-            raise ValueError("an added token with white space would cross chunks")
-        self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
-        self.words = ChunkCache(self.merged_length, 100_000)
-        self.chunks = ChunkCache(self.chunk_tokens, 200_000)
-
-    def merged_length(self, word: str) -> int:
-        """Symbols of a pre-tokenized word that are left when nothing more merges."""
-        symbols: list = [*word[:-1], word[-1] + self.suffix]
-        symbols = [s for s in symbols if s in self.vocab]
-        n, ranks = len(symbols), self.ranks
-        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        heap = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := ranks.get((symbols[i], symbols[i + 1]))) is not None]
-        heapq.heapify(heap)
-        merges = 0
-        while heap:
-            _, i, left, right = heapq.heappop(heap)
-            j = after[i]
-            if symbols[i] != left or j < 0 or symbols[j] != right:
+        lib, specials = word_tokenizer(path)
+        self.normalizer, self.pre_tokenizer = lib.normalizer, lib.pre_tokenizer
+        vocab, suffix, shown = model["vocab"], model.get("end_of_word_suffix") or "", byte_symbols()
+        if any(s + e not in vocab for s in shown.values() for e in ("", suffix)):
+            raise ValueError("a byte has no symbol")
+        self.number = np.array([[vocab[shown[b] + e] for b in range(256)] for e in ("", suffix)], "int64")
+        self.bytes = {s: b for b, s in shown.items()}
+        pairs = [m if isinstance(m, list) else m.split(" ", 1) for m in model["merges"]]
+        ranked = ((vocab[a], vocab[b], i) for i, (a, b) in enumerate(pairs))
+        self.merger = PairMerger(max(vocab.values()) + 1, ranked, list(range(len(pairs))), [vocab[a + b] for a, b in pairs])
+        self.merger.initial(self.number.ravel().tolist())
+        self.specials = [s.encode() for s in specials]
+        self.special = re.compile("|".join(map(re.escape, sorted(specials, key=len, reverse=True)))) if specials else None
+        self.counts = UnitCache(self.unit_tokens, CACHE)
+
+    def merged_lengths(self, words: list[bytes]) -> list[int]:
+        """Symbols that are left of each pre-tokenized word, none of them empty, when nothing more merges."""
+        raw = np.frombuffer(b"".join(words), "u1")
+        sizes = np.fromiter(map(len, words), "int64", len(words))
+        symbols = self.number[0][raw]
+        final = np.cumsum(sizes) - 1
+        symbols[final] = self.number[1][raw[final]]
+        return [n - merges for n, (merges, _) in zip(sizes.tolist(), self.merger.merge(symbols, sizes))]
+
+    def words(self, text: str) -> list[bytes]:
+        words = self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(text)) if text else []
+        return [bytes(map(self.bytes.__getitem__, w)) for w, _ in words if w]
+
+    def unit_tokens(self, units: list[bytes]) -> list[int]:
+        """Tokens of each unit: of its words, which are the unit itself if it is plain, and of its special strings."""
+        counts, words, owners = np.zeros(len(units), "int64"), [], []
+        for i, unit in enumerate(units):
+            if PLAIN(unit):
+                words.append(unit)
+                owners.append(i)
                 continue
-            symbols[i], symbols[j] = left + right, None
-            merges += 1
-            k = after[i] = after[j]
-            if k >= 0:
-                before[k] = i
-                if (r := ranks.get((symbols[i], symbols[k]))) is not None:
-                    heapq.heappush(heap, (r, i, symbols[i], symbols[k]))
-            h = before[i]
-            if h >= 0 and (r := ranks.get((symbols[h], symbols[i]))) is not None:
-                heapq.heappush(heap, (r, h, symbols[h], symbols[i]))
-        return n - merges
-
-    def plain_tokens(self, text: str) -> int:
-        if not text:
-            return 0
-        return sum(self.words[w] for w, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(text)) if w)
-
-    def chunk_tokens(self, chunk: str) -> int:
-        if self.special is None or not self.special.search(chunk):
-            return self.plain_tokens(chunk)
-        return len(self.special.findall(chunk)) + sum(map(self.plain_tokens, self.special.split(chunk)))
-
-    def count(self, text: str) -> int:
-        return sum(map(self.chunks.__getitem__, WORD_RE.findall(text)))
+            text = unit.decode()
+            parts = [text]
+            if self.special is not None and self.special.search(text):
+                parts = self.special.split(text)
+                counts[i] = len(parts) - 1
+            own = [w for p in parts for w in self.words(p)]
+            words += own
+            owners += [i] * len(own)
+        np.add.at(counts, owners, self.merged_lengths(words))
+        return counts.tolist()
+
+    def count(self, texts: Texts) -> np.ndarray:
+        """Tokens of each text."""
+        units = word_units(texts, self.specials)
+        each = np.array(self.counts.values(units.distinct), "int64")
+        before = np.r_[0, np.cumsum(each[units.codes])]
+        return np.diff(before[units.first])
 
 
 _COUNTERS: dict[str, MergeCounter] = {}
@@ -112,12 +135,14 @@ def counter(path: str) -> MergeCounter:
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit; path: a vocabulary file present on every node."""
 
-    @F.pandas_udf("long")
-    def n_tokens(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
-        for batch in texts:
-            yield pd.Series([c.count(t) if t else 0 for t in batch], dtype="int64")
-
-    body = F.col(text)
-    counted = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.octet_length(body), F.lit(0)).cast("long").alias("n_bytes"), n_tokens(body).alias("n_tokens"))
+        for batch in batches:
+            counts = [c.count(t) for t in text_slices(batch.column("text"))]
+            counts = np.concatenate(counts) if counts else np.empty(0, "int64")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+
+    body = docs[text]
+    given = docs.select(docs[doc_id].alias("doc_id"), F.coalesce(F.octet_length(body), F.lit(0)).cast("long").alias("n_bytes"), body.alias("text"))
+    counted = given.mapInArrow(run, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
