@@ -1,30 +1,34 @@
 """SentencePiece encoding and decoding for merge-type (BPE) vocabularies.
 
 ``PieceEncoder`` keeps an agenda of adjacent symbol pairs ordered by piece score, leftmost first
-among equals; the best pair merges, its new neighbours enter, stale entries are skipped. Symbols outside the
-vocabulary become byte pieces. A normalized text is cut where no piece of the vocabulary can span
-(in front of a run of word marks, and around characters that occur in no longer piece, such as a line break); the segments are
-encoded one by one and kept in a bounded cache. Every segment that is computed is also encoded by
-the sentencepiece library, one call for all new segments of an Arrow batch; a difference stops the
+among equals; the best pair merges, its new neighbours enter, stale entries are skipped (``merges``). Symbols
+outside the vocabulary become byte pieces. A normalized text is cut where no piece of the vocabulary can span: in
+front of a run of word marks, around line breaks and tabs that occur in no longer piece, and between a letter and
+closing marks if no piece holds both. Each distinct unit of a slice of an Arrow batch is encoded once, with a
+bounded cache over slices. All units that are computed for a slice are also put together into one text, kept apart by
+line breaks where they would touch otherwise, and encoded by the sentencepiece library; a difference stops the
 job. Decoding is the library's.
 
 Null and empty texts: no pieces between the begin and end ids, decoded as the empty text. A null
-doc_id, repeated rows and extra columns make no difference: one row out for each row in.
+doc_id, repeated rows and extra columns make no difference: one row out for each row in, none for an empty table. A
+text of any length is encoded whole, at about twenty times its bytes in memory.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
-import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .merges import PairMerger
+from .units import CLASSES, Texts, UnitCache, closing_marks, cut_units, gathered, text_slices
+
 MARK = "▁"
-CACHE = 120_000
+CACHE = 240_000
+LETTERS = {chr(c) for c in (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x100)) if c not in (0xD7, 0xF7)}
 
 
 class PieceEncoder:
@@ -34,79 +38,97 @@ class PieceEncoder:
         self.lib = sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.vocab_size()
         pieces = [sp.id_to_piece(i) for i in range(n)]
-        plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i) or sp.is_unused(i))]
         if any(sp.is_unused(i) for i in range(n)):
             raise ValueError("unused pieces need resegmentation, which is not built")
-        self.ids = {pieces[i]: i for i in plain}
-        self.scores = {pieces[i]: sp.get_score(i) for i in plain}
-        self.bytes = {int(pieces[i][1:-1], 16): i for i in range(n) if sp.is_byte(i)}
-        self.unk, self.bos, self.eos = sp.unk_id(), sp.bos_id(), sp.eos_id()
-        if any(MARK in p.lstrip(MARK) for p in self.ids):
-            raise ValueError("a piece spans words; segments can't be cut at word marks")
-        joined = {c for p in self.ids if len(p) > 1 for c in p}
-        alone = "".join(re.escape(c) for c in "\n\t\r" if c not in joined) or "\x00"
-        self.segments = re.compile(f"[{alone}]|{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+").findall
-        self.new, self.old = {}, {}
-        self.anchor = "." if "." in self.ids and not any("." in p[:-1] for p in self.ids) else "\n"
-        self.before = len(sp.encode(self.anchor))
-
-    def agenda(self, segment: str) -> list[int]:
-        symbols: list = list(segment)
-        n, scores = len(symbols), self.scores
-        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        heap = [(-s, i, a + b) for i in range(n - 1) if (s := scores.get((a := symbols[i]) + (b := symbols[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, piece = heapq.heappop(heap)
-            j = after[i]
-            if symbols[i] is None or j < 0 or len(symbols[i]) + len(symbols[j]) != len(piece) or symbols[i] + symbols[j] != piece:
-                continue
-            symbols[i], symbols[j] = piece, None
-            k = after[i] = after[j]
-            if k >= 0:
-                before[k] = i
-                if (s := scores.get(piece + symbols[k])) is not None:
-                    heapq.heappush(heap, (-s, i, piece + symbols[k]))
-            h = before[i]
-            if h >= 0 and (s := scores.get(symbols[h] + piece)) is not None:
-                heapq.heappush(heap, (-s, h, symbols[h] + piece))
-        out: list[int] = []
-        for s in symbols:
-            if s is None:
-                continue
-            i = self.ids.get(s)
-            if i is not None:
-                out.append(i)
-            elif self.bytes:
-                out.extend(self.bytes[b] for b in s.encode())
-            else:
-                out.append(self.unk)
+        plain = {pieces[i]: i for i in range(n) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i))}
+        self.bos, self.eos = sp.bos_id(), sp.eos_id()
+        if any(MARK in p.lstrip(MARK) for p in plain):
+            raise ValueError("a piece spans words; texts can't be cut at word marks")
+        joined = {c for p in plain if len(p) > 1 for c in p}
+        if "\n" in joined:
+            raise ValueError("a line break merges; checked units can't be kept apart")
+        self.alone = np.zeros(256, bool)
+        self.alone[[ord(c) for c in "\n\t\r" if c not in joined]] = True
+        self.marks_apart = not any(a in LETTERS and b in ".,;:!?" for p in plain for a, b in zip(p, p[1:]))
+        # Symbols: ids of pieces, then characters that only longer pieces hold, then all others under one number without pairs.
+        number = plain | {c: n + i for i, c in enumerate(sorted(joined - plain.keys()))}
+        self.other = n + len(joined - plain.keys())
+        scores = {s: i for i, s in enumerate(sorted({sp.get_score(i) for i in plain.values()}, reverse=True))}
+        order = [scores.get(sp.get_score(i), 0) for i in range(n)]
+        pairs = ((number[a], number[b], i) for p, i in plain.items() for cut in range(1, len(p)) if (a := p[:cut]) in number and (b := p[cut:]) in number)
+        self.merger = PairMerger(self.other + 1, pairs, order, list(range(n)))
+        single = {c: i for c, i in number.items() if len(c) == 1}
+        self.merger.initial(single.values())
+        self.codes = np.array(sorted(map(ord, single)), "int64")
+        self.code_number = np.array([single[chr(c)] for c in self.codes], "int64")
+        bytes_of = {int(pieces[i][1:-1], 16): i for i in range(n) if sp.is_byte(i)}
+        self.unknown = (lambda c: [bytes_of[b] for b in c.encode()]) if bytes_of else (lambda c: [sp.unk_id()])
+        self.n, self.head, self.gap = n, sp.encode("\n"), sp.encode("a\n")[len(sp.encode("a")) :]
+        self.cache = UnitCache(self.unit_ids, CACHE)
+
+    def agenda(self, units: list[str]) -> list[list[int]]:
+        sizes = np.fromiter(map(len, units), "int64", len(units))
+        codes = np.frombuffer("".join(units).encode("utf-32-le"), "<u4").astype("int64")
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        symbols = np.where(self.codes[at] == codes, self.code_number[at], self.other)
+        out, n = [], self.n
+        for unit, (merges, own) in zip(units, self.merger.merge(symbols, sizes)):
+            ids = [s for s in own if s >= 0] if merges else own
+            if max(ids) >= n:  # a symbol without a piece is a character that has not merged, at its own place
+                ids = [i for c, s in zip(unit, own) if s >= 0 for i in (self.unknown(c) if s >= n else (s,))]
+            out.append(ids)
         return out
 
-    def check(self, segments: list[str], found: list[list[int]]) -> None:
-        """The library must give the same ids; its word mark in front of every text is what the segment begins with, or an anchor takes it."""
-        marked = [s.startswith(MARK) for s in segments]
-        given = self.lib.encode([s[1:] if m else self.anchor + s for s, m in zip(segments, marked)], num_threads=1)
-        for s, m, mine, lib in zip(segments, marked, found, given):
-            if (lib if m else lib[self.before :]) != mine and s != MARK:
-                raise AssertionError(f"segment {s!r}: {mine} is not the library's {lib}")
-
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+    def check(self, units: list[str], found: list[list[int]]) -> None:
+        """The library must give the same ids for all units in one text; it puts a word mark in front of that."""
+        text, mine = ["\n"], [*self.head]
+        for u, ids in zip(units, found):
+            if u[0] != MARK:
+                text.append("\n")
+                mine += self.gap
+            text.append(u)
+            mine += ids
+            if u[-1] == MARK:
+                text.append("\n")
+                mine += self.gap
+        if self.lib.encode("".join(text).replace(MARK, " ")) == mine:
+            return
+        for u, ids in zip(units, found):
+            lib = self.lib.encode("\n" + u.replace(MARK, " "))[len(self.head) :]
+            if lib != ids:
+                raise AssertionError(f"unit {u!r}: {ids} is not the library's {lib}")
+        raise AssertionError("units put together are not the library's encoding of their text")
+
+    def unit_ids(self, units: list[bytes]) -> list[bytes]:
+        texts = [u.decode() for u in units]
+        found = self.agenda(texts)
+        self.check(texts, found)
+        sizes = np.fromiter(map(len, found), "int64", len(found))
+        flat = np.fromiter((i for ids in found for i in ids), "<u4", int(sizes.sum())).tobytes()
+        ends = (4 * np.cumsum(sizes)).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+    def encode(self, texts: Texts) -> list[np.ndarray]:
         """Ids of each text, with begin and end."""
-        cut = [self.segments(n) if n else [] for n in self.lib.normalize(texts)] if texts else []
-        if len(self.new) > CACHE:
-            self.old, self.new = self.new, {}
-        wanted = set().union(*cut) - self.new.keys() if cut else set()
-        for s in [s for s in wanted if s in self.old]:
-            self.new[s] = self.old[s]
-            wanted.discard(s)
-        todo = list(wanted)
-        found = [self.agenda(s) for s in todo]
-        if todo:
-            self.check(todo, found)
-        self.new.update((s, np.array(ids, "<u4").tobytes()) for s, ids in zip(todo, found))
-        begin, end = np.array([self.bos], "<u4").tobytes(), np.array([self.eos], "<u4").tobytes()
-        return [np.frombuffer(begin + b"".join(map(self.new.__getitem__, c)) + end, "<u4") for c in cut]
+        raw = texts.data.tobytes()
+        normal = [t.encode() for t in self.lib.normalize([raw[a:b].decode() for a, b in zip(texts.offsets[:-1], texts.offsets[1:])])]
+        data = np.frombuffer(b"".join(normal), "u1")
+        offsets = np.r_[0, np.cumsum([len(t) for t in normal], dtype="int64")]
+        begins = np.zeros(len(data), bool)
+        mark = np.flatnonzero(data == 0xE2)
+        mark = mark[mark + 2 < len(data)]
+        mark = mark[(data[mark + 1] == 0x96) & (data[mark + 2] == 0x81)]
+        if len(mark):
+            begins[mark[np.r_[True, np.diff(mark) != 3]]] = True
+        alone = self.alone[data]
+        begins |= alone
+        begins[1:] |= alone[:-1]
+        if self.marks_apart:
+            begins |= closing_marks(CLASSES[data])
+        units = cut_units(data, offsets, begins)
+        ids, bounds = gathered(self.cache.values(units.distinct), "<u4", units)
+        begin, end = np.array([self.bos], "<u4"), np.array([self.eos], "<u4")
+        return [np.concatenate([begin, ids[a:b], end]) for a, b in zip(bounds[:-1], bounds[1:])]
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -119,47 +141,31 @@ def encoder(path: str) -> PieceEncoder:
     return _ENCODERS[path]
 
 
-def _slices(texts: list[str], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
-    """Runs of rows with about ``most`` characters, so that a batch of long texts stays small in memory."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= most:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
-def encode_pieces(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, ids array<int> with begin and end ids, decoded string (the library's decode of the ids)."""
+def _encoded(docs: DataFrame, path: str, text: str, doc_id: str, columns: dict[str, tuple[str, pa.DataType]], row) -> DataFrame:
+    """doc_id and what ``row`` makes of a text's ids and their decoded text, slice by slice."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for batch in batches:
-            texts = [t or "" for t in batch["text"]]
-            for a, b in _slices(texts):
-                ids = e.encode_batch(texts[a:b])
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[a:b].array, "ids": [i.astype("int32") for i in ids], "decoded": [e.lib.decode(i.tolist()) for i in ids]})
+            at = 0
+            for texts in text_slices(batch.column("text")):
+                ids = e.encode(texts)
+                rows = [row(i, e.lib.decode(i.tolist())) for i in ids]
+                made = [pa.array(values, kind) for values, (_, kind) in zip(zip(*rows), columns.values())]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(ids)), *made], ["doc_id", *columns])
+                at += len(ids)
 
     given = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
-    return given.mapInPandas(run, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
+    return given.mapInArrow(run, ", ".join([f"doc_id {given.schema['doc_id'].dataType.simpleString()}", *(f"{c} {kind}" for c, (kind, _) in columns.items())]))
 
 
-def piece_digests(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of ``encode_pieces``, hashed where they are made."""
+def encode_pieces(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, ids array<int> with begin and end ids, decoded string (the library's decode of the ids)."""
+    columns = {"ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string())}
+    return _encoded(docs, path, text, doc_id, columns, lambda ids, decoded: (ids.astype("int32"), decoded))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e = encoder(path)
-        for batch in batches:
-            texts = [t or "" for t in batch["text"]]
-            rows = []
-            for a, b in _slices(texts):
-                for ids in e.encode_batch(texts[a:b]):
-                    decoded = e.lib.decode(ids.tolist())
-                    rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
-            n, i, d = zip(*rows) if rows else ((), (), ())
-            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "n_tokens": n, "ids_sha256": i, "decoded_sha256": d})
 
-    given = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
-    return given.mapInPandas(run, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def piece_digests(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of ``encode_pieces``, hashed where they are made."""
+    columns = {"n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
+    return _encoded(docs, path, text, doc_id, columns, lambda ids, decoded: (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
