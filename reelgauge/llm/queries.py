@@ -29,7 +29,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.token_file_digests(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=2, by_chunk=True)
+    return token_files.token_file_digests(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=2, by_word=True)
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

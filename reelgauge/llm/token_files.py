@@ -9,98 +9,83 @@ lists complete files. Prefix sums over it give each partition's base, and with
 it every document's place in the whole corpus. The folder must be one that all executors share and
 that pyarrow can open (file, hdfs, s3, gs).
 
-Null and empty texts are one end id. Repeated rows are written each. No rows: no files and no rows.
+Null and empty texts are one end id. Repeated rows are written each; extra columns are ignored. A text of any
+length is encoded whole, at about ten times its bytes in memory. No rows: no files and no rows.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import ChunkCache
-from .common import WORD_RE, scratch_dir, shuffle_partitions
-from .token_counts import byte_symbols
+from .common import scratch_dir, shuffle_partitions
+from .token_counts import PLAIN, byte_symbols, word_tokenizer
+from .units import Texts, UnitCache, gathered, text_slices, word_units
 
 MANIFEST = "part int, file string, n_docs long, n_null long, n_tokens long"
-CACHE = 200_000
-LETTERS_AND_MARKS = re.compile("([a-zß-öø-ÿ]+)([.,;:!?]*)".encode("latin-1")).fullmatch
-
-
-def _chunks(text: str) -> list[str] | list[bytes]:
-    """Chunks between ASCII blanks; of a Latin-1 text without a special string in small letters, as bytes, which are quicker."""
-    if "<|" not in text:
-        try:
-            return text.lower().encode("latin-1").split()
-        except UnicodeEncodeError:
-            pass
-    return WORD_RE.findall(text)
-
-
-SLICE_CHARS = 1_000_000
+CACHE = 240_000
 
 
 class LibraryEncoder:
     """ids of texts by the tokenizers library.
 
-    by_chunk: for vocabularies that drop white space, fold case and part letters from punctuation. There a
-    text's ids are those of its chunks between ASCII blanks put together, and a chunk of Latin-1 letters with closing
-    marks has the ids of its small letters and of the marks. So each distinct chunk, or its letters, goes
-    through the library once and is kept in a bounded two-generation cache.
+    by_word: for vocabularies that drop white space, fold case and part letters from punctuation (others are refused). There a
+    text's ids are those of its words and marks put together, so each distinct one of a slice goes through the
+    library once and is kept in a bounded cache.
     """
 
-    def __init__(self, path: str, dtype: str, end_id: int | None, by_chunk: bool):
+    def __init__(self, path: str, dtype: str, end_id: int | None, by_word: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.lib, self.dtype, self.by_chunk = Tokenizer.from_file(path), dtype, by_chunk
-        self.end = np.array([] if end_id is None else [end_id], dtype).tobytes()
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.letters = ChunkCache(self.words, CACHE)
-        self.symbols = {b: "".join(shown[x] for x in bytes([b]).decode("latin-1").encode()) for shown in [byte_symbols()] for b in range(256)} if by_chunk else {}
+        self.dtype, self.end_id, self.by_word, self.specials = dtype, end_id, by_word, []
+        if by_word:
+            self.lib, specials = word_tokenizer(path)
+            self.specials = [s.encode() for s in specials]
+        else:
+            self.lib = Tokenizer.from_file(path)
+        self.symbols = {b: "".join(shown[x] for x in chr(b).encode()) for shown in [byte_symbols()] for b in range(256)}
+        self.cache = UnitCache(self.unit_ids, CACHE)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def words(self, parts: list[bytes]) -> list[bytes]:
-        """Ids of small letters, or of marks: one pre-tokenized word each, which the library's model takes as it is."""
-        tokenize = self.lib.model.tokenize
-        shown = (p.decode() if p.isascii() else p.decode("latin-1").translate(self.symbols) for p in parts)
-        return [np.array([t.id for t in tokenize(w)], self.dtype).tobytes() for w in shown]
-
-    def pieces(self, chunks: list[str | bytes]) -> list[bytes]:
-        return self.whole([c.decode("latin-1") if type(c) is bytes else c for c in chunks])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_chunk:
-            return [b + self.end for b in self.whole(texts)]
-        cut = [_chunks(t) for t in texts]
-        if len(self.new) > CACHE:
-            self.old, self.new = self.new, {}
-        todo = list(set().union(*cut) - self.new.keys()) if cut else []
-        kept = [c for c in todo if c in self.old]
-        self.new.update((c, self.old[c]) for c in kept)
-        plain, other = [], []
-        for c in todo:
-            if c not in self.old:
-                parts = LETTERS_AND_MARKS(c) if type(c) is bytes else None
-                if parts:
-                    plain.append((c, *parts.groups()))
-                else:
-                    other.append(c)
-        self.new.update(zip(other, self.pieces(other)))
-        self.letters.fill({x for _, *both in plain for x in both if x})
-        self.new.update((c, self.letters[a] + (self.letters[b] if b else b"")) for c, a, b in plain)
-        return [b"".join(map(self.new.__getitem__, c)) + self.end for c in cut]
+    def unit_ids(self, units: list[bytes]) -> list[bytes]:
+        """A plain unit is one pre-tokenized word, which the library's model takes as it is."""
+        tokenize, dtype, symbols = self.lib.model.tokenize, self.dtype, self.symbols
+        found: dict[bytes, bytes] = {}
+        other = []
+        for u in units:
+            if PLAIN(u):
+                shown = u.decode() if u.isascii() else u.decode().translate(symbols)
+                found[u] = np.array([t.id for t in tokenize(shown)], dtype).tobytes()
+            else:
+                other.append(u)
+        found.update(zip(other, self.whole([u.decode() for u in other])))
+        return list(map(found.__getitem__, units))
+
+    def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id, and where each text's end."""
+        n = len(texts.offsets) - 1
+        if self.by_word:
+            units = word_units(texts, self.specials)
+            ids, bounds = gathered(self.cache.values(units.distinct), self.dtype, units)
+        else:
+            raw = texts.data.tobytes()
+            each = self.whole([raw[a:b].decode() for a, b in zip(texts.offsets[:-1], texts.offsets[1:])])
+            ids, bounds = np.frombuffer(b"".join(each), self.dtype), np.r_[0, np.cumsum([len(e) for e in each], dtype="int64") // np.dtype(self.dtype).itemsize]
+        if self.end_id is None:
+            return ids, bounds[1:]
+        return np.insert(ids, bounds[1:], self.end_id), bounds[1:] + np.arange(1, n + 1)
 
 
 _ENCODERS: dict[tuple, LibraryEncoder] = {}
@@ -112,19 +97,6 @@ def _encoder(*key) -> LibraryEncoder:
     return _ENCODERS[key]
 
 
-def text_slices(texts: list[str], most: int = SLICE_CHARS) -> Iterator[list[str]]:
-    out: list[str] = []
-    size = 0
-    for t in texts:
-        out.append(t)
-        size += len(t)
-        if size >= most:
-            yield out
-            out, size = [], 0
-    if out:
-        yield out
-
-
 def _open_folder(uri: str):
     from pyarrow import fs
 
@@ -132,42 +104,44 @@ def _open_folder(uri: str):
 
 
 def write_token_files(
-    docs: DataFrame, path: str, folder: str, end_id: int | None, dtype: str = "<u4", by_chunk: bool = False, parts: int | None = None, text: str = "text", doc_id: str = "doc_id"
+    docs: DataFrame, path: str, folder: str, end_id: int | None, dtype: str = "<u4", by_word: bool = False, parts: int | None = None, text: str = "text", doc_id: str = "doc_id"
 ) -> DataFrame:
     """Encode and write (an action); returns the manifest: MANIFEST with first_doc and first_token, the bases."""
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e = _encoder(path, dtype, end_id, by_chunk)
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = _encoder(path, dtype, end_id, by_word)
         store = None
-        starts, ids, n_null, total, width = [np.zeros(1, "<i8")], [], 0, 0, np.dtype(dtype).itemsize
+        starts, ids, n_null, total = [np.zeros(1, "<i8")], [], 0, 0
         part = TaskContext.get().partitionId()
         for batch in batches:
+            if not len(batch):
+                continue
             if store is None:
                 filesystem, root = _open_folder(folder)
                 filesystem.create_dir(root, recursive=True)
                 name = f"{root}/part-{part:05d}-{uuid.uuid4().hex}"
                 store = filesystem.open_output_stream(f"{name}.ids")
-            n_null += int(batch["doc_id"].isna().sum())
-            ids.append(batch["doc_id"].fillna(0).to_numpy("int64").astype("<i8"))
-            for texts in text_slices([t or "" for t in batch["text"]]):
-                found = e.encode(texts)
-                ends = total + np.cumsum([len(b) // width for b in found], dtype="<i8")
-                total = int(ends[-1])
-                starts.append(ends)
-                store.write(b"".join(found))
+            n_null += batch.column("doc_id").null_count
+            ids.append(batch.column("doc_id").fill_null(0).to_numpy().astype("<i8"))
+            for texts in text_slices(batch.column("text")):
+                found, ends = e.encode(texts)
+                starts.append(total + ends.astype("<i8"))
+                total += len(found)
+                store.write(found.tobytes())
         if store is not None:
             store.close()
             for kind, arrays in (("offsets", starts), ("docs", ids)):
                 with filesystem.open_output_stream(f"{name}.{kind}") as f:
                     f.write(np.concatenate(arrays).tobytes())
             n_docs = sum(map(len, ids))
-            yield pd.DataFrame({"part": [part], "file": [name.rpartition("/")[2]], "n_docs": [n_docs], "n_null": [n_null], "n_tokens": [total]})
+            row = {"part": part, "file": name.rpartition("/")[2], "n_docs": n_docs, "n_null": n_null, "n_tokens": total}
+            yield pa.RecordBatch.from_pylist([row], pa.schema({"part": pa.int32(), "file": pa.string(), "n_docs": pa.int64(), "n_null": pa.int64(), "n_tokens": pa.int64()}))
 
     spark = docs.sparkSession
     parts = parts or shuffle_partitions(spark)
     given = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
     ordered = given.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    ordered.mapInPandas(write, MANIFEST).write.parquet(f"{folder}/manifest")
+    ordered.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     return manifest.select(
@@ -216,6 +190,6 @@ def read_token_files(manifest: DataFrame, folder: str, dtype: str = "<u4", with_
     return manifest.repartitionByRange(parts, "part").mapInPandas(read, schema)
 
 
-def token_file_digests(docs: DataFrame, path: str, end_id: int | None, dtype: str = "<u2", by_chunk: bool = False, folder: str | None = None, **columns) -> DataFrame:
+def token_file_digests(docs: DataFrame, path: str, end_id: int | None, dtype: str = "<u2", by_word: bool = False, folder: str | None = None, **columns) -> DataFrame:
     folder = folder or scratch_dir(docs.sparkSession, "token-files")
-    return read_token_files(write_token_files(docs, path, folder, end_id, dtype, by_chunk, **columns), folder, dtype)
+    return read_token_files(write_token_files(docs, path, folder, end_id, dtype, by_word, **columns), folder, dtype)

@@ -8,11 +8,13 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from reelgauge.llm import jaccard_join, queries, source_mix, suffix_dedup, toxicity
 from reelgauge.llm.token_counts import MergeCounter
 from reelgauge.llm.token_files import LibraryEncoder
+from reelgauge.llm.units import text_slices
 
 
 @pytest.fixture(scope="module")
@@ -159,14 +161,36 @@ def test_tokens_of_odd_texts():
 
     rng = random.Random(1)
     odd = ["", "<|endoftext|>x<|startoftext|> <|ENDOFTEXT|>", "İstanbul Σας ΣΑΣ", "don't WE'LL 'S's", "▁▁a ▁", "x" * 3000, "it's\x85ok　z", "É. é ́x", "Ünlü, ÀÉ!! ªº"]
-    odd += ["".join(rng.choice("ab C'\n\t\x0b\x1c.é́ßΣ<|>endoftxs 12▁日ÀÿÆ,!? ") for _ in range(rng.randint(1, 80))) for _ in range(1500)]
+    odd += ["".join(rng.choice("ab CHh'\n\t\x0b\x1c.é́\u0331ßΣ<|>endoftxs 12▁日ÀÿÆ,!?×÷ ") for _ in range(rng.randint(1, 80))) for _ in range(1500)]
     path = queries._vocabulary("word_bpe_49k.json")
     lib = tokenizers.Tokenizer.from_file(path).encode_batch(odd, add_special_tokens=False)
-    counter, encoder = MergeCounter(path), LibraryEncoder(path, "<u2", None, True)
-    assert [counter.count(t) for t in odd] == [len(e.ids) for e in lib]
-    assert encoder.encode(odd) == [np.array(e.ids, "<u2").tobytes() for e in lib]
+    counter, encoder, pieces = MergeCounter(path), LibraryEncoder(path, "<u2", None, True), PieceEncoder(queries._vocabulary("piece_bpe_32k.model"))
+    column, counts, ids, encoded = pa.array([*odd, None]), [], [], []
+    for texts in text_slices(column, 5000):
+        counts += counter.count(texts).tolist()
+        flat, ends = encoder.encode(texts)
+        ids += [x.tolist() for x in np.split(flat, ends)[:-1]]
+        encoded += [x.tolist() for x in pieces.encode(texts)]
+    assert counts == [len(e.ids) for e in lib] + [0]
+    assert ids == [e.ids for e in lib] + [[]]
+    assert encoded == pieces.lib.encode([*odd, ""], add_bos=True, add_eos=True)
+
+
+def test_vocabularies_that_keep_white_space_are_refused():
+    with pytest.raises(ValueError):
+        MergeCounter(queries._vocabulary("byte_bpe_50k.json"))
+    with pytest.raises(ValueError):
+        LibraryEncoder(queries._vocabulary("byte_bpe_50k.json"), "<u2", None, True)
+
+
+def test_a_difference_from_the_library_stops_the_encoder():
+    from reelgauge.llm.sentence_pieces import PieceEncoder
+
     pieces = PieceEncoder(queries._vocabulary("piece_bpe_32k.model"))
-    assert [x.tolist() for x in pieces.encode_batch(odd)] == pieces.lib.encode(odd, add_bos=True, add_eos=True)
+    units = ["▁word", "▁", ",", "\n", "▁▁▁x"]
+    pieces.check(units, pieces.agenda(units))
+    with pytest.raises(AssertionError):
+        pieces.check(units, [*pieces.agenda(units)[:-1], [5]])
 
 
 def test_targets_by_resharing(spark):

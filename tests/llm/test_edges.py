@@ -45,7 +45,7 @@ def fitted(spark, module, docs, labels):
 
 OPERATORS = {
     "rules": lambda d: quality_rules.quality_rules(d), "mix": lambda d: source_mix.mix_sources(d), "counts": lambda d: token_counts.token_counts(d, WORDS),
-    "files": lambda d: token_files.token_file_digests(d, WORDS, 2, by_chunk=True), "whole": lambda d: token_files.token_file_digests(d, WORDS, 2, dtype="<u4"), "pieces": lambda d: sentence_pieces.piece_digests(d, PIECES),
+    "files": lambda d: token_files.token_file_digests(d, WORDS, 2, by_word=True), "whole": lambda d: token_files.token_file_digests(d, WORDS, 2, dtype="<u4"), "pieces": lambda d: sentence_pieces.piece_digests(d, PIECES),
     "jaccard": lambda d: jaccard_join.jaccard_components(d, 4, 85, 100), "suffix": lambda d: suffix_dedup.suffix_dedup(d),
 }
 
