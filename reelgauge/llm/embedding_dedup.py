@@ -4,17 +4,20 @@
    later. Vectors that are null, zero or hold null or non-finite components, or have a null label,
    link with nothing: each is a group of its own.
 2. Centres are fitted by spherical k-means on a sample bounded by SAMPLE_ROWS and SAMPLE_FLOATS,
-   picked by hash; the number of cells follows the number of classes up to MAX_CELLS. Every class is indexed
-   in its nearest cell. It also visits each cell that a partner at the threshold could lie in: vectors
-   within the angle acos(t) of x reach the side of another centre only where x is at most sin(acos(t)) from the plane
-   between that centre and its own. No pair is lost, whatever way the vectors spread.
+   picked by hash; the number of cells follows the largest label's number of classes up to MAX_CELLS, beyond which
+   cells grow. Every class is indexed in its nearest cell, and visits other cells whose side a partner may lie on. Vectors
+   within the angle acos(t) of x can lie beyond the plane between x's centre and another only if x is at most sin(acos(t)) from it.
+   ``exact`` visits all of those: no pair is lost, but in many dimensions that is nearly every cell. Else the difference of a pair is
+   taken to spread over as many dimensions as the points of a cell do, so that only MARGIN / sqrt(dimensions) of it points along the
+   line between two centres; where that is 1 or more, the search is exact.
 3. A cell's residents and its guests (residents and visitors) are dealt into blocks of about
    BLOCK_ROWS; each pair of blocks is one task with one matrix product in double precision. It hands back per guest
    the number of links and the smallest id of its local component, never the pairs.
 4. Local components are joined by distributed connected components.
 
-Rows with the same vec_id count as vectors of their own; the result has one row for each row in. A
-row with a null vec_id links with nothing, and is kept with a null component_id.
+Rows with the same vec_id count as vectors of their own, each with its own links (kept says no more than that the row's id
+is its component's); the result has one row for each row in, none for an empty table. A row with a null vec_id links
+with nothing, and is kept with a null component_id. Extra columns are ignored; a vector of any width is compared whole.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ SAMPLE_ROWS = 8192
 SAMPLE_FLOATS = 4_000_000
 CELL_ROWS = 256
 MAX_CELLS = 1024
+MARGIN = 2.5  # standard deviations of a link's difference along the line between two centres
 BLOCK_ROWS = 1024
 
 
@@ -53,6 +57,13 @@ def spherical_kmeans(unit: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -
     return centres
 
 
+def spread_dimensions(unit: np.ndarray, centres: np.ndarray) -> float:
+    """In how many dimensions the points of a cell spread about its centre: (trace C)^2 / trace C^2 of their covariance, 1 at least."""
+    off = unit - centres[(unit @ centres.T).argmax(1)]
+    spread = np.linalg.eigvalsh(off.T @ off) if len(off) else np.zeros(1)
+    return max(1.0, float(spread.sum() ** 2 / max((spread**2).sum(), 1e-300)))
+
+
 def _unit(vector) -> np.ndarray | None:
     if vector is None:
         return None
@@ -80,8 +91,8 @@ def _classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def block_links(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Residents (home) of one block against the guests of one block: links of each guest, and local components."""
     home, guest = group[group["home"]], group[~group["home"]]
-    ids_h, ids_g = home["rep"].to_numpy("int64"), guest["rep"].to_numpy("int64")
-    none = pd.DataFrame({"rep": np.empty(0, "int64"), "links": np.empty(0, "int64"), "local": np.empty(0, "int64")})
+    ids_h, ids_g = home["cid"].to_numpy("int64"), guest["cid"].to_numpy("int64")
+    none = pd.DataFrame({"cid": np.empty(0, "int64"), "links": np.empty(0, "int64"), "local": np.empty(0, "int64")})
     if not len(ids_h) or not len(ids_g):
         return none
     by_size: dict[int, tuple[list[int], list[int]]] = {}
@@ -105,25 +116,25 @@ def block_links(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
             if (now_g == label_g[g]).all() and (now_h == label_h[h]).all():
                 break
             label_g[g], label_h[h] = now_g, now_h
-    out = pd.DataFrame({"rep": np.r_[ids_g, ids_h], "links": np.r_[links, np.zeros(len(ids_h), "int64")], "local": np.r_[label_g, label_h]})
-    return out[(out["links"] > 0) | (out["local"] != out["rep"])]
+    out = pd.DataFrame({"cid": np.r_[ids_g, ids_h], "links": np.r_[links, np.zeros(len(ids_h), "int64")], "local": np.r_[label_g, label_h]})
+    return out[(out["links"] > 0) | (out["local"] != out["cid"])]
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """vec_id, n_links, component_id, kept; vectors: vec_id, embedding, label."""
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, exact: bool = False) -> DataFrame:
+    """vec_id, n_links, component_id, kept; vectors: vec_id, embedding, label. exact: visit every cell that a partner can lie in."""
     given = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].alias("embedding"), vectors["label"].cast("string").alias("label"))  # a string in every batch, null or not
     keyed = materialize(given.mapInPandas(_classes, "vec_id long, grp string, key binary, unit binary"), "vectors")
     valid = keyed.filter("key is not null and vec_id is not null")
-    classes = materialize(
-        valid.groupBy("grp", "key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("unit").alias("unit")), "vector-classes"
-    )
-    n_classes, n_labels, width = classes.agg(F.count(F.lit(1)), F.count_distinct("grp"), F.max(F.octet_length("unit"))).first()
-    k = int(min(MAX_CELLS, max(1, -(-n_classes // (max(1, n_labels) * CELL_ROWS)))))
+    classes = valid.groupBy("grp", "key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("unit").alias("unit"))
+    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "vector-classes")  # numbered once, where they are written
+    largest, width = classes.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("unit")).alias("w")).agg(F.max("n"), F.max("w")).first()
+    k = int(min(MAX_CELLS, max(1, -(-(largest or 0) // CELL_ROWS))))
     rows = int(min(SAMPLE_ROWS, SAMPLE_FLOATS * 8 // max(8, width or 8)))
-    sample = classes.filter(F.octet_length("unit") == (width or 0)).orderBy(F.xxhash64("rep"), "rep").select("unit").limit(max(1, rows)).collect()
+    sample = classes.filter(F.octet_length("unit") == (width or 0)).orderBy(F.xxhash64("key"), "key").select("unit").limit(max(1, rows)).collect()
     points = np.array([np.frombuffer(r[0], "float64") for r in sample]) if sample else np.ones((1, 1))
     centres = spherical_kmeans(points, min(k, len(points)))
-    reach = (np.sqrt(max(0.0, 1 - threshold * threshold)) if threshold > 0 else 1.0) + 1e-9  # with room for rounding
+    share = 1.0 if exact else min(1.0, MARGIN / np.sqrt(spread_dimensions(points, centres)))
+    reach = share * (np.sqrt(max(0.0, 1 - threshold * threshold)) if threshold > 0 else 1.0) + 1e-9  # with room for rounding
     apart = np.linalg.norm(centres[:, None, :] - centres[None, :, :], axis=2) if len(centres) <= 256 else None
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,30 +150,32 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
                 gap = apart[home] if apart is not None else np.linalg.norm(centres - centres[home], axis=1)
                 visits = np.flatnonzero(near[home] - near <= reach * gap)
                 cells.append([home, *(int(c) for c in visits if c != home)])
-            yield pd.DataFrame({"grp": batch["grp"], "rep": batch["rep"], "n": batch["n"], "unit": batch["unit"], "cells": cells})
+            yield pd.DataFrame({"grp": batch["grp"], "cid": batch["cid"], "n": batch["n"], "unit": batch["unit"], "cells": cells})
 
-    placed = classes.select("grp", "rep", "n", "unit").mapInPandas(assign, "grp string, rep long, n long, unit binary, cells array<int>")
-    placed = placed.select("grp", "rep", "n", "unit", F.posexplode("cells").alias("pos", "cell"))
+    placed = classes.select("grp", "cid", "n", "unit").mapInPandas(assign, "grp string, cid long, n long, unit binary, cells array<int>")
+    placed = placed.select("grp", "cid", "n", "unit", F.posexplode("cells").alias("pos", "cell"))
     sizes = placed.groupBy("grp", "cell").agg(F.count_if(F.col("pos") == 0).alias("n_home"), F.count(F.lit(1)).alias("n_guest"))
     blocks = sizes.select("grp", "cell", F.ceil(F.col("n_home") / BLOCK_ROWS).cast("int").alias("bh"), F.ceil(F.col("n_guest") / BLOCK_ROWS).cast("int").alias("bg")).filter("bh > 0")
     dealt = placed.join(blocks, ["grp", "cell"])
-    mine = F.xxhash64("rep", F.lit("block"))
-    columns = ["grp", "cell", "rep", "n", "unit"]
+    mine = F.xxhash64("cid", F.lit("block"))
+    columns = ["grp", "cell", "cid", "n", "unit"]
     residents = dealt.filter("pos = 0").select(*columns, F.lit(True).alias("home"), F.pmod(mine, F.col("bh")).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("bg") - 1)).alias("y"))
     guests = dealt.select(*columns, F.lit(False).alias("home"), F.explode(F.sequence(F.lit(0), F.col("bh") - 1)).alias("x"), F.pmod(mine, F.col("bg")).cast("int").alias("y"))
     found = (
         residents.unionByName(guests)
         .groupBy("grp", "cell", "x", "y")
-        .applyInPandas(lambda group: block_links(group, threshold), "rep long, links long, local long")
+        .applyInPandas(lambda group: block_links(group, threshold), "cid long, links long, local long")
     )
     found = materialize(found, "vector-links")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    joined = connected_components(found.select(F.col("rep").alias("a"), F.col("local").alias("b")), "vector-components")
+    links = found.groupBy("cid").agg(F.sum("links").alias("links"))
+    joined = connected_components(found.select(F.col("cid").alias("a"), F.col("local").alias("b")), "vector-components")
+    joined = materialize(joined.join(classes.select(F.col("cid").alias("node"), "rep"), "node"), "vector-reached")
+    joined = joined.join(joined.groupBy("component").agg(F.min("rep").alias("least")), "component").select("node", "least")
     answer = (
-        classes.select("grp", "key", "rep", "n")
-        .join(links, "rep", "left")
-        .join(joined, F.col("rep") == F.col("node"), "left")
-        .select("grp", "key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        classes.select("grp", "key", "cid", "rep", "n")
+        .join(links, "cid", "left")
+        .join(joined, F.col("cid") == F.col("node"), "left")
+        .select("grp", "key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("least", "rep").alias("component_id"))
     )
     out = keyed.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("grp")).alias("grp"), "key").join(answer, ["grp", "key"], "left")
     return out.select(

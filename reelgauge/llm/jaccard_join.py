@@ -16,12 +16,13 @@ shingles two sets differ in at least. What could link under that bound stays tog
 
 Groups are dealt into blocks of about BLOCK documents, and each pair of blocks is one task: a
 large group spreads over many tasks. A task returns a spanning forest of its links, never all
-pairs: documents that it has already connected are not compared again. Equal sets become edges to
-their smallest id first. Sets are held as sorted 64-bit hashes of shingles. Connected components join the parts.
+pairs: documents that it has already connected are not compared again. Equal sets are edges to
+their smallest id, which alone stands for them in the groups. Sets are held as sorted 64-bit hashes of shingles. Connected components join the parts.
 
 Null, empty and blank texts: empty set, linked with nothing. Rows that share a doc_id are one
 node (their links add up), each with its own n_shingles. A null doc_id links with nothing and its
-component_id is null. One row for each row in; extra columns are ignored.
+component_id is null. One row for each row in, none for an empty table; extra columns are ignored. A text of any length
+is taken whole, at about twenty times its bytes in memory.
 """
 
 from __future__ import annotations
@@ -32,11 +33,13 @@ from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, shuffle_partitions
 from .components import connected_components
+from .units import BLANK, CAPITAL, CLASSES, Texts, cut_units, text_slices
 
 BLOCK = 1000
 RATIO = 1.6  # of the size classes, at least
@@ -52,21 +55,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingle_set(text: str | None, k: int) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles; of the whole sequence if it is shorter."""
+def shingle_sets(texts: Texts, k: int) -> list[np.ndarray]:
+    """Per text the sorted distinct hashes of its k-word shingles; of the whole sequence if that is shorter.
+
+    Each distinct word of the slice is hashed once. Only A-Z are made small.
+    """
     import xxhash
 
-    words = (text or "").encode().lower().split()  # bytes: A-Z only, and ASCII blanks
-    n = len(words)
-    if not n:
-        return np.empty(0, "uint64")
+    data, offsets = texts
+    flags = CLASSES[data]
+    blank = (flags & BLANK) != 0
+    begins = blank.copy()
+    begins[1:] &= ~blank[:-1]
+    units = cut_units(data + ((flags & CAPITAL) != 0).astype("u1") * np.uint8(32), offsets, begins)
+    words = [u.lstrip() for u in units.distinct]
     digest = xxhash.xxh3_64_intdigest
-    h = np.fromiter(map(digest, words), "uint64", n)
-    width = min(k, n)
-    rolled = np.full(n - width + 1, width, "uint64")
-    for i in range(width):
-        rolled = mix(rolled + h[i : n - width + 1 + i])
-    return np.unique(rolled)
+    full = np.fromiter(map(len, words), "int64", len(words))[units.codes] > 0
+    h = np.fromiter(map(digest, words), "uint64", len(words))[units.codes[full]]
+    first = np.r_[0, np.cumsum(full)][units.first].tolist()
+    rolled = np.full(max(0, len(h) - k + 1), k, "uint64")
+    for i in range(k):
+        rolled = mix(rolled + h[i : i + len(rolled)])
+    out = []
+    for a, b in zip(first[:-1], first[1:]):
+        n = b - a
+        if n >= k:
+            out.append(np.unique(rolled[a : b - k + 1]))
+            continue
+        whole = np.full(min(n, 1), n, "uint64")
+        for i in range(a, b):
+            whole = mix(whole + h[i])
+        out.append(whole)
+    return out
 
 
 class SizeClasses:
@@ -108,7 +128,6 @@ class SizeClasses:
                 out.append(mix(mix(empty + np.uint64(c << 40)) + _M1))
         return np.concatenate(out) if out else np.empty(0, "uint64")
 
-
     def sketches(self, hashes: np.ndarray) -> list[dict]:
         """Per class of the set: how many of its hashes fall into each of the class's cells (255 at most)."""
         out = []
@@ -258,41 +277,45 @@ def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Dat
         yield pd.concat(held)
 
 
+SEEN = 100_000  # sets that a task remembers to have signed
+
+
 def shingle_rows(docs: DataFrame, k: int, num: int, den: int, signatures: bool, text: str, doc_id: str) -> DataFrame:
-    """doc_id, and n_shingles with the set's digest and sketches, or the set's signatures (once for equal sets of a task)."""
+    """doc_id, and n_shingles with the set's digest and sketches, or the set's signatures (mostly once for equal sets of a task)."""
+    kind = pa.struct([("cls", pa.int32()), ("cells", pa.binary())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         classes, seen = SizeClasses(num, den), set()
         for batch in batches:
-            if signatures:
-                ids, rows = [], []
-                for i, t in zip(batch["doc_id"], batch["text"]):
-                    hashes = shingle_set(t, k)
-                    digest = xxhash.xxh3_128_digest(hashes.tobytes())
-                    if len(hashes) and digest not in seen:
-                        seen.add(digest)
-                        found = classes.signatures(hashes)
-                        if len(found):
-                            ids.append(i)
-                            rows.append(found.view("int64"))
-                yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="int64"), "sigs": pd.Series(rows, dtype=object)})
-            else:
-                sets = [shingle_set(t, k) for t in batch["text"]]
-                yield pd.DataFrame(
-                    {
-                        "doc_id": batch["doc_id"].array,
-                        "n_shingles": [len(s) for s in sets],
-                        "digest": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
-                        "sketches": [classes.sketches(s) if len(s) else [] for s in sets],
-                    }
-                )
+            at = 0
+            for texts in text_slices(batch.column("text")):
+                sets = shingle_sets(texts, k)
+                ids = batch.column("doc_id").slice(at, len(sets))
+                at += len(sets)
+                digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+                if not signatures:
+                    sketches = pa.array([classes.sketches(s) if len(s) else [] for s in sets], pa.list_(kind))
+                    columns = [ids, pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.binary()), sketches]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "sketches"])
+                    continue
+                if len(seen) > SEEN:
+                    seen.clear()
+                own, found = [], []
+                for i, (s, d) in enumerate(zip(sets, digests)):
+                    if d is not None and d not in seen:
+                        seen.add(d)
+                        signed = classes.signatures(s)
+                        own.append(np.full(len(signed), i))
+                        found.append(signed)
+                if own:
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(own), pa.int64())), pa.array(np.concatenate(found).view("int64"))], ["doc_id", "sig"])
 
     given = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
     if signatures:
-        return given.filter("doc_id is not null and text is not null").mapInPandas(run, "doc_id long, sigs array<long>")
-    return given.mapInPandas(run, "doc_id long, n_shingles long, digest binary, sketches array<struct<cls: int, cells: binary>>")
+        return given.filter("doc_id is not null and text is not null").mapInArrow(run, "doc_id long, sig long")
+    return given.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketches array<struct<cls: int, cells: binary>>")
 
 
 def _search(k: int, num: int, den: int):
@@ -300,7 +323,7 @@ def _search(k: int, num: int, den: int):
         a, b = [], []
         for group in _groups(batches, ["leader", "x", "y"]):
             ids = group["doc_id"].to_numpy()
-            sets = [shingle_set(t, k) for t in group["text"]]
+            sets = [s for texts in text_slices(pa.array(group["text"], pa.large_string())) for s in shingle_sets(texts, k)]
             side = group["block"].to_numpy()
             x, y = int(group["x"].iloc[0]), int(group["y"].iloc[0])
             index = np.flatnonzero(side == x).tolist()
@@ -350,24 +373,33 @@ def _dealt(members: DataFrame) -> DataFrame:
     return members.join(blocks, "leader").withColumn("block", block).select("doc_id", "leader", "block", F.explode(pairs).alias("p")).select("doc_id", "leader", "block", "p.x", "p.y")
 
 
+def _stand_ins(held: DataFrame, copies: DataFrame) -> DataFrame:
+    """doc_id, rep: the smallest id with an equal set, for documents that share their set; not for ids whose rows hold several sets."""
+    single = held.groupBy("doc_id").agg((F.min("digest") == F.max("digest")).alias("single")).filter("single").select("doc_id")
+    return copies.join(single, "doc_id", "left_semi")
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id of links with Jaccard similarity >= num / den."""
     parts = shuffle_partitions(docs.sparkSession)
     together = lambda df: df.repartition(parts, "leader", "x", "y").sortWithinPartitions("leader", "x", "y", "doc_id")
     sets = materialize(shingle_rows(docs, k, num, den, False, text, doc_id), "shingle-sets")
-    signed = shingle_rows(docs, k, num, den, True, text, doc_id).select("doc_id", F.explode("sigs").alias("sig"))
-    leaders = signed.select("doc_id", F.min("doc_id").over(Window.partitionBy("sig")).alias("leader")).filter("doc_id <> leader")
-    leaders = materialize(leaders.distinct(), "jaccard-groups")
-    sketched = sets.filter("digest is not null and doc_id is not null").select("doc_id", "n_shingles", "sketches")
+    held = sets.filter("digest is not null and doc_id is not null")
+    first = held.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    copies = materialize(held.join(first, "digest").select("doc_id", "rep").filter("doc_id <> rep").distinct(), "jaccard-copies")
+    signed = shingle_rows(docs, k, num, den, True, text, doc_id)
+    leaders = signed.select("doc_id", F.min("doc_id").over(Window.partitionBy("sig")).alias("leader")).filter("doc_id <> leader").distinct()
+    stand_in = _stand_ins(held, copies)
+    for column in ("doc_id", "leader"):
+        leaders = leaders.join(stand_in.withColumnRenamed("doc_id", column), column, "left").withColumn(column, F.coalesce("rep", column)).drop("rep")
+    leaders = materialize(leaders.filter("doc_id <> leader").distinct(), "jaccard-groups")
+    sketched = held.select("doc_id", "n_shingles", "sketches")
     near = together(_dealt(leaders).join(sketched, "doc_id")).mapInPandas(_sift(num, den), "leader long, doc_id long")
     near = materialize(near.distinct(), "jaccard-near")
     texts = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).filter("doc_id is not null and text is not null")
     met = together(_dealt(near).join(texts, "doc_id"))
     links = met.select("leader", "x", "y", "doc_id", "block", "text").mapInPandas(_search(k, num, den), "a long, b long")
-    equal = sets.filter("digest is not null and doc_id is not null").select("doc_id", "digest")
-    first = equal.groupBy("digest").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    copies = equal.join(first, "digest").select(F.col("doc_id").alias("a"), "b").filter("a <> b")
-    joined = connected_components(links.unionByName(copies), "jaccard-components")
+    joined = connected_components(links.unionByName(copies.toDF("a", "b")), "jaccard-components")
     counted = sets.select("doc_id", "n_shingles")
     out = counted.join(joined, counted["doc_id"] == joined["node"], "left")
     return out.select(counted["doc_id"], "n_shingles", F.coalesce("component", counted["doc_id"]).alias("component_id"))

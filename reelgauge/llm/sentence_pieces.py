@@ -154,6 +154,7 @@ def _encoded(docs: DataFrame, path: str, text: str, doc_id: str, columns: dict[s
                 made = [pa.array(values, kind) for values, (_, kind) in zip(zip(*rows), columns.values())]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(ids)), *made], ["doc_id", *columns])
                 at += len(ids)
+        e.cache.clear()
 
     given = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
     return given.mapInArrow(run, ", ".join([f"doc_id {given.schema['doc_id'].dataType.simpleString()}", *(f"{c} {kind}" for c, (kind, _) in columns.items())]))

@@ -7,12 +7,13 @@ other in a random direction (so that p keeps its mean and p_a * size_a + p_b * s
 equal) until one p is 0 or 1; the other meets the next document. One fold does this for a bucket of
 about ``FAN_IN`` documents and leaves one fractional document at most; the leftovers of all buckets
 form the buckets of the next level, a reduction tree of log_FAN_IN(documents) levels in which no
-task ever sees more than a bucket. The root rounds its one document to the
+task sees more than a bucket. The root rounds its one document to the
 nearer side, so the words a source takes miss its target by at most half a document.
 
 Random numbers are hashes of the two documents and the level: reruns agree on any partitioning.
 Null source: a source of its own, last in order. Null, empty or blank text: size 0, takes 0 words.
-Repeated rows are rounded one by one. Null doc_id: kept, like any other id. No rows: no rows.
+Rows alike in id, source and size are counted, not dealt: their pooled mass is whole documents and one fraction, so no bucket
+grows with them. Null doc_id: kept, like any other id. Extra columns are ignored. No rows: no rows. A text of any length counts whole.
 """
 
 from __future__ import annotations
@@ -134,17 +135,31 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT,
         .withColumn("p", wish - F.floor(wish))
     )
     open_ = (F.col("p") > 0) & (F.col("size") > 0)
-    fractional = wished.filter(open_).select("grp", "doc_id", "size", "p", F.ceil(F.col("n_docs") / FAN_IN).cast("long").alias("buckets"))
-    rounded = pivotal_rounding(fractional).unionByName(wished.filter(~open_).select("grp", "doc_id", "size", F.lit(0.0).alias("p")))
+    # Rows alike in id, source and size pool their mass: whole documents of it are settled, at most one fraction is left.
+    alike = wished.groupBy("grp", "doc_id", "size", "p", "n_docs").agg(F.count(F.lit(1)).alias("rows"))
+    mass = F.when(open_, F.col("rows") * F.col("p")).otherwise(F.lit(0.0))
+    alike = materialize(alike.withColumn("settled", F.floor(mass)).withColumn("p", mass - F.floor(mass)), "mix-alike")
+    open_ = F.col("p") > 0
+    fractional = alike.filter(open_).select("grp", "doc_id", "size", "p", F.ceil(F.col("n_docs") / FAN_IN).cast("long").alias("buckets"))
+    rounded = pivotal_rounding(fractional).select(F.col("grp").alias("its_grp"), F.col("doc_id").alias("its_id"), F.col("size").alias("its_size"), F.col("p").cast("long").alias("one"))
+    same = F.col("grp").eqNullSafe(F.col("its_grp")) & F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("size") == F.col("its_size"))
+    taken = alike.join(rounded, same, "left").select("grp", "doc_id", "size", "rows", (F.col("settled") + F.coalesce("one", F.lit(0))).alias("taking"))
+    taken = taken.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).withColumn("p", (F.col("nth") <= F.col("taking")).cast("long"))
     per_source = targets.select(F.col("grp").alias("source"), "source_size", "target", F.when(F.col("source_size") > 0, F.floor(wish)).otherwise(0).cast("long").alias("whole"))
-    out = rounded.join(per_source, F.col("grp").eqNullSafe(F.col("source")))
+    out = taken.join(per_source, F.col("grp").eqNullSafe(F.col("source")))
     copies = F.col("whole") + F.col("p").cast("long")
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "source")
 
 
 def take_mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """docs, each row as many times as the mix takes it; rows that share an id take the same number."""
-    mixed = mix_sources(docs, weights, max_repeat, text, source, doc_id)
-    copies = mixed.groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").cast("int").alias("__copies")).filter("__copies > 0")
-    met = docs.join(copies, docs[doc_id].eqNullSafe(copies["__id"]))
-    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    """docs, each row as many times as the mix takes it. Rows alike in id, source and text are as good as each other: the first of them take what is taken."""
+    key = F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("text"))
+    mixed = mix_sources(docs.select(key.alias("key"), F.col(text).alias("text"), F.col(source).alias("source")), weights, max_repeat, doc_id="key")
+    taken = mixed.groupBy(F.col("doc_id").alias("__taken_key"), F.col("source").alias("__taken_source")).agg(F.sum("copies").alias("__taken"), F.count(F.lit(1)).alias("__rows"))
+    keyed = docs.withColumn("__key", key)
+    met = keyed.join(taken.filter("__taken > 0"), (F.col("__key") == F.col("__taken_key")) & keyed[source].eqNullSafe(F.col("__taken_source")))
+    nth = F.row_number().over(Window.partitionBy("__key", "__taken_source").orderBy(F.lit(1)))
+    shares = lambda n: F.floor(F.col("__taken") / F.col("__rows")) + (n <= F.col("__taken") % F.col("__rows")).cast("long")
+    one = met.filter("__rows = 1").withColumn("__copies", F.col("__taken"))
+    more = met.filter("__rows > 1").withColumn("__nth", nth).withColumn("__copies", shares(F.col("__nth"))).drop("__nth").filter("__copies > 0")
+    return one.unionByName(more).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)

@@ -141,6 +141,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, text: str = "te
             counts = [c.count(t) for t in text_slices(batch.column("text"))]
             counts = np.concatenate(counts) if counts else np.empty(0, "int64")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+        c.counts.clear()
 
     body = docs[text]
     given = docs.select(docs[doc_id].alias("doc_id"), F.coalesce(F.octet_length(body), F.lit(0)).cast("long").alias("n_bytes"), body.alias("text"))

@@ -128,6 +128,7 @@ def write_token_files(
                 starts.append(total + ends.astype("<i8"))
                 total += len(found)
                 store.write(found.tobytes())
+        e.cache.clear()
         if store is not None:
             store.close()
             for kind, arrays in (("offsets", starts), ("docs", ids)):

@@ -151,3 +151,7 @@ class UnitCache:
         if todo:
             new.update(zip(todo, self.make(todo)))
         return [new[u] for u in units]
+
+    def clear(self) -> None:
+        """At the end of a task: a worker process lives on in other stages."""
+        self.new, self.old = {}, {}

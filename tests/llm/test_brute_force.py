@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from reelgauge.llm import jaccard_join, queries, source_mix, suffix_dedup, toxicity
 from reelgauge.llm.token_counts import MergeCounter
@@ -310,3 +311,15 @@ def _empty(spark, sf_dir):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").limit(0).write.parquet(f"{folder}/{t}.parquet")
     return folder
+
+
+def test_rows_alike_share_their_mass(spark):
+    rows = [(None, "s", "a b c")] * 3000 + [(7, "s", "x y")] * 5 + [(i, "t", "w " * (1 + i % 9)) for i in range(2000)] + [(None, "t", None)] * 4
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    mixed = source_mix.mix_sources(docs).toPandas()
+    assert len(mixed) == len(rows) and (mixed.taken <= 3 * mixed["size"]).all()
+    by_source = mixed.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
+    assert ((by_source.taken - by_source.target).abs() <= 9).all()
+    assert mixed[mixed.doc_id.isna() & (mixed.source == "s")].copies.max() - mixed[mixed.doc_id.isna() & (mixed.source == "s")].copies.min() <= 1
+    kept = source_mix.take_mix(docs).groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).toPandas().set_index("source").n
+    assert all(abs(kept[s] - by_source.target[s]) <= 9 for s in kept.index)
