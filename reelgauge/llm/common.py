@@ -45,6 +45,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_BYTES = 32_000_000
+
+
+def if_small(written: DataFrame, row_bytes: int) -> DataFrame:
+    """A written table of fixed-width columns, to be broadcast if by its count it holds at most BROADCAST_BYTES; else it is shuffled."""
+    return F.broadcast(written) if written.count() * row_bytes <= BROADCAST_BYTES else written
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

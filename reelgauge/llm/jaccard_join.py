@@ -14,7 +14,7 @@ link is lost. Texts that share a passage can share a signature too, so before an
 the groups are sifted by sketches: counts of a set's hashes in a few cells, which show how many
 shingles two sets differ in at least. What could link under that bound stays together; the rest goes.
 
-Groups are dealt into blocks of about BLOCK documents, and each pair of blocks is one task: a
+Groups are dealt into blocks of about BLOCK documents (SIFT_BLOCK sketches), and each pair of blocks is one task: a
 large group spreads over many tasks. A task returns a spanning forest of its links, never all
 pairs: documents that it has already connected are not compared again. Equal sets are edges to
 their smallest id, which alone stands for them in the groups. Sets are held as sorted 64-bit hashes of shingles. Connected components join the parts.
@@ -37,11 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import if_small, materialize, shuffle_partitions
 from .components import connected_components
 from .units import BLANK, CAPITAL, CLASSES, Texts, cut_units, text_slices
 
-BLOCK = 1000
+BLOCK = 1000  # texts
+SIFT_BLOCK = 16_000  # sketches, of a few hundred bytes each
 RATIO = 1.6  # of the size classes, at least
 MERGE_BY_HEAP = 4096  # list entries; beyond, the same merge is done by one sort
 MU = 0.0085  # DivideSkip's cost ratio of a probe to a merge step
@@ -361,16 +362,21 @@ def _sift(num: int, den: int):
     return run
 
 
-def _dealt(members: DataFrame) -> DataFrame:
-    """(doc_id, leader) with each leader's own row, dealt to all pairs of its group's blocks: doc_id, leader, block, x, y."""
+def _dealt(members: DataFrame, rows: DataFrame, size: int, tag: str) -> DataFrame:
+    """(doc_id, leader) with each leader's own row, joined with rows by doc_id and dealt to all pairs of its group's blocks.
+
+    Returns doc_id, leader, block, x, y and what rows have. The members are numbers only: up to BROADCAST_BYTES of them, as
+    counted, go to the rows instead of the rows to them.
+    """
     members = members.unionByName(members.select(F.col("leader").alias("doc_id"), "leader").distinct())
-    blocks = members.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("doc_id", F.lit("block")), F.col("blocks")).cast("int")
+    blocks = members.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks"))
+    members = materialize(members.join(blocks, "leader").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit("block")), F.col("blocks")).cast("int")), tag)
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda o: F.struct(F.least(o, F.col("block")).cast("int").alias("x"), F.greatest(o, F.col("block")).cast("int").alias("y")),
     )
-    return members.join(blocks, "leader").withColumn("block", block).select("doc_id", "leader", "block", F.explode(pairs).alias("p")).select("doc_id", "leader", "block", "p.x", "p.y")
+    met = rows.join(if_small(members, 24), "doc_id")
+    return met.select("*", F.explode(pairs).alias("p")).select("*", "p.x", "p.y").drop("p", "blocks")
 
 
 def _stand_ins(held: DataFrame, copies: DataFrame) -> DataFrame:
@@ -394,10 +400,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         leaders = leaders.join(stand_in.withColumnRenamed("doc_id", column), column, "left").withColumn(column, F.coalesce("rep", column)).drop("rep")
     leaders = materialize(leaders.filter("doc_id <> leader").distinct(), "jaccard-groups")
     sketched = held.select("doc_id", "n_shingles", "sketches")
-    near = together(_dealt(leaders).join(sketched, "doc_id")).mapInPandas(_sift(num, den), "leader long, doc_id long")
+    near = together(_dealt(leaders, sketched, SIFT_BLOCK, "jaccard-sifting")).mapInPandas(_sift(num, den), "leader long, doc_id long")
     near = materialize(near.distinct(), "jaccard-near")
     texts = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).filter("doc_id is not null and text is not null")
-    met = together(_dealt(near).join(texts, "doc_id"))
+    met = together(_dealt(near, texts, BLOCK, "jaccard-members"))
     links = met.select("leader", "x", "y", "doc_id", "block", "text").mapInPandas(_search(k, num, den), "a long, b long")
     joined = connected_components(links.unionByName(copies.toDF("a", "b")), "jaccard-components")
     counted = sets.select("doc_id", "n_shingles")
