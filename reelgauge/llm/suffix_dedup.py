@@ -33,7 +33,7 @@ from .common import BLANKS, materialize, shuffle_partitions
 
 LENGTH = 200
 GRAM = 64
-SHARD_BYTES = 1_000_000  # a suffix array of this size takes about a hundred times as much memory
+SHARD_BYTES = 500_000  # a suffix array of this size takes about a hundred times as much memory
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
