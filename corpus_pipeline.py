@@ -17,6 +17,20 @@ from reelgauge.llm.common import materialize, table
 PIECES = "piece_bpe_32k.model"
 
 
+#: Rows here are whole documents: Arrow batches of 1000 are a few MB in the JVM and in Python, where the default of 10,000 takes tens of each.
+BATCH_ROWS = 1000
+
+
+def small_batches(stage):
+    """The stage with BATCH_ROWS in its session."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality_classifier.fit_quality(docs, table(spark, sf_dir, "labels"))
     return quality_classifier.keep_good(docs, model)
@@ -42,11 +56,11 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES = [
-    ("quality classifier", keep_quality),
-    ("n-gram Jaccard join", drop_near_duplicates),
-    ("suffix-array dedup", cut_repeated_passages),
-    ("mixing sources to target weights", mix_sources),
-    ("SentencePiece encoding and decoding", encode_pieces),
+    ("quality classifier", small_batches(keep_quality)),
+    ("n-gram Jaccard join", small_batches(drop_near_duplicates)),
+    ("suffix-array dedup", small_batches(cut_repeated_passages)),
+    ("mixing sources to target weights", small_batches(mix_sources)),
+    ("SentencePiece encoding and decoding", small_batches(encode_pieces)),
 ]
 
 #: A trained model, components and random rounding are beyond SQL; tests compare with brute force instead.
