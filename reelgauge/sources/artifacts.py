@@ -19,13 +19,13 @@ BAD_MEDIA = "ts double, path string, stage string, detail string, backend string
 
 def read_documents(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
     """Whole JSON files called ``name`` below root: run_dir and their fields; unreadable ones give nulls."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(root)
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(root, wholetext=True)
     return files.select(parent(F.col("_metadata.file_path")).alias("run_dir"), F.from_json("value", schema).alias("x")).select("run_dir", "x.*")
 
 
 def read_configs(spark: SparkSession, root: str) -> DataFrame:
     """config.json files; a dataset_names that is one string becomes an array of one."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "config.json").text(root)
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "config.json").text(root, wholetext=True)
     read = files.select(parent(F.col("_metadata.file_path")).alias("run_dir"), F.from_json("value", CONFIG).alias("x"), F.get_json_object("value", "$.dataset_names").alias("names"))
     return read.select("run_dir", "x.*", dataset_array(F.col("names")).alias("names")).drop("dataset_names").withColumnRenamed("names", "dataset_names")
 
@@ -43,8 +43,18 @@ def with_history_columns(frame: DataFrame) -> DataFrame:
 
 
 def read_history(spark: SparkSession, root: str) -> DataFrame:
-    raw = spark.read.option("header", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "history.csv").csv(root)
-    return with_history_columns(raw.select("*", parent(F.col("_metadata.file_path")).alias("run_dir")))
+    """history.csv files (small, one per run) below root: run_dir and all history columns, each file read by its own header row.
+
+    Columns are found by name whatever their order; one that a file lacks, a short row's missing cells and what is no number
+    are null. A file without rows gives none.
+    """
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "history.csv").text(root, wholetext=True)
+    cells = lambda line: F.transform(F.split(line, ","), lambda c: F.btrim(c, F.lit(' "\ufeff')))
+    lines = files.select(parent(F.col("_metadata.file_path")).alias("run_dir"), F.filter(F.split("value", r"\r?\n|\r"), lambda x: F.trim(x) != "").alias("lines"))
+    rows = lines.select("run_dir", cells(F.get("lines", F.lit(0))).alias("header"), F.explode(F.slice("lines", 2, F.greatest(F.size("lines"), F.lit(1)))).alias("line"))
+    rows = rows.select("run_dir", "header", cells(F.col("line")).alias("cells"))
+    value = lambda name: F.get("cells", (F.array_position("header", F.lit(name)) - 1).cast("int"))
+    return rows.select("run_dir", *[value(c).try_cast("int" if c == "epoch" else "double").alias(c) for c in HISTORY])
 
 
 def usable_predictions(frame: DataFrame) -> DataFrame | None:

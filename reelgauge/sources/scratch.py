@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def scratch_dir(spark: SparkSession, tag: str) -> str:
-    """Below spark.checkpoint.dir; only where that is unset (tests) a local folder is chosen and set."""
+    """A new name below spark.checkpoint.dir; only where that is unset on one machine (tests) a local folder is chosen and set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="reelgauge-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"

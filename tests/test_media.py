@@ -83,3 +83,20 @@ def test_export_of_nothing_is_an_error(spark, tmp_path):
     with pytest.raises(ValueError):
         artifacts.write_predictions(spark.createDataFrame([], "label int, pred_label int, prob_real double"), str(tmp_path / "x"))
     assert artifacts.usable_predictions(spark.createDataFrame([(1,)], "label int")) is None
+
+
+def test_histories_are_read_by_their_own_headers(spark, tmp_path):
+    files = {"a": "epoch,val_f1\n1,0.5\n2,0.6\n", "b": "epoch,lr,val_f1\r\n1,0.01,0.7\r\n", "c": "val_f1,epoch,note\n0.8,1,x\n,2\n", "d": "epoch,val_f1\n", "e": ""}
+    for run, text in files.items():
+        (tmp_path / run).mkdir()
+        (tmp_path / run / "history.csv").write_bytes(text.encode())
+    got = {(r.run_dir.rpartition("/")[2], r.epoch): (r.lr, r.val_f1) for r in artifacts.read_history(spark, str(tmp_path)).collect()}
+    assert got == {("a", 1): (None, 0.5), ("a", 2): (None, 0.6), ("b", 1): (0.01, 0.7), ("c", 1): (None, 0.8), ("c", 2): (None, None)}
+
+
+def test_documents_of_several_lines(spark, tmp_path):
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "config.json").write_text(json.dumps({"run_name": "r1", "dataset_names": ["x", "y"]}, indent=2))
+    (tmp_path / "r" / "final_summary.json").write_text(json.dumps({"run_name": "r1", "test_metrics": {"f1": 0.5}}, indent=2))
+    assert [(r.run_name, r.dataset_names) for r in artifacts.read_configs(spark, str(tmp_path)).collect()] == [("r1", ["x", "y"])]
+    assert [(r.run_name, r.test_metrics.f1) for r in artifacts.read_documents(spark, str(tmp_path), "final_summary.json", artifacts.SUMMARY).collect()] == [("r1", 0.5)]
