@@ -152,13 +152,13 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT,
 
 
 def take_mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """docs, each row as many times as the mix takes it. Rows alike in id, source and text are as good as each other: the first of them take what is taken."""
-    key = F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("text"))
-    mixed = mix_sources(docs.select(key.alias("key"), F.col(text).alias("text"), F.col(source).alias("source")), weights, max_repeat, doc_id="key")
-    taken = mixed.groupBy(F.col("doc_id").alias("__taken_key"), F.col("source").alias("__taken_source")).agg(F.sum("copies").alias("__taken"), F.count(F.lit(1)).alias("__rows"))
-    keyed = docs.withColumn("__key", key)
-    met = keyed.join(taken.filter("__taken > 0"), (F.col("__key") == F.col("__taken_key")) & keyed[source].eqNullSafe(F.col("__taken_source")))
-    nth = F.row_number().over(Window.partitionBy("__key", "__taken_source").orderBy(F.lit(1)))
+    """docs, each row as many times as the mix takes it. Rows alike in id, source and size are as good as each other: the first of them take what is taken."""
+    mixed = mix_sources(docs, weights, max_repeat, text, source, doc_id)
+    alike = [F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")]
+    taken = mixed.groupBy(*alike).agg(F.sum("copies").alias("__taken"), F.count(F.lit(1)).alias("__rows")).filter("__taken > 0")
+    size = F.size(split_words(docs[text])).cast("long")
+    met = docs.join(taken, docs[doc_id].eqNullSafe(F.col("__id")) & docs[source].eqNullSafe(F.col("__source")) & (size == F.col("__size")))
+    nth = F.row_number().over(Window.partitionBy("__id", "__source", "__size").orderBy(F.xxhash64(text)))
     shares = lambda n: F.floor(F.col("__taken") / F.col("__rows")) + (n <= F.col("__taken") % F.col("__rows")).cast("long")
     one = met.filter("__rows = 1").withColumn("__copies", F.col("__taken"))
     more = met.filter("__rows > 1").withColumn("__nth", nth).withColumn("__copies", shares(F.col("__nth"))).drop("__nth").filter("__copies > 0")
