@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import quality_rules as rules
 from . import embedding_dedup, jaccard_join, quality_classifier, sentence_pieces, source_mix, suffix_dedup, token_counts, token_files, toxicity
 from .common import table
+from .oracles import ORACLE_SQL  # noqa: F401
 
 
 def _vocabulary(name: str) -> str:
@@ -72,5 +73,3 @@ QUERIES = {
         op10_embedding_dedup,
     )
 }
-
-ORACLE_SQL: dict[str, str] = {}
