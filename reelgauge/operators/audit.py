@@ -104,3 +104,45 @@ def repair_plan(results: DataFrame, action: str, root: str, quarantine: str) ->
     target = F.concat(F.lit(quarantine.rstrip("/") + "/"), F.substring(F.col("path"), len(root.rstrip("/")) + 2, 1_000_000))
     below = F.col("path").startswith(root.rstrip("/") + "/")
     return results.filter(~F.col("ok")).select("path", F.lit(action).alias("action"), F.when(below & (F.lit(action) == "quarantine"), target).alias("target"))
+
+
+def apply_repair(plan: DataFrame) -> DataFrame:
+    """path, outcome (reported, deleted, moved, failed), reason: does to files what repair_plan says, when the result is evaluated.
+
+    Paths are those that pyarrow opens. A file that cannot be deleted or moved fails with its reason and stops nothing. A move whose source is gone but
+    whose target is there counts as moved, so a task may run again; a file deleted before counts as failed.
+    """
+
+    def run(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            rows = []
+            for path, action, target in zip(batch["path"], batch["action"], batch["target"]):
+                try:
+                    outcome = "reported"
+                    if action != "report":
+                        files, source = fs.FileSystem.from_uri(path)
+                    if action == "delete":
+                        files.delete_file(source)
+                        outcome = "deleted"
+                    elif action == "quarantine":
+                        if target is None:
+                            raise ValueError("not below the root")
+                        goal = fs.FileSystem.from_uri(target)[1]
+                        at_source, at_goal = (x.type != fs.FileType.NotFound for x in files.get_file_info([source, goal]))
+                        if at_source or not at_goal:
+                            files.create_dir(goal.rsplit("/", 1)[0], recursive=True)
+                            files.move(source, goal)
+                        outcome = "moved"
+                    rows.append((path, outcome, None))
+                except Exception as error:  # the reason is the result
+                    rows.append((path, "failed", f"{type(error).__name__}: {error}"))
+            yield batch.iloc[:, :0].assign(**{c: [r[i] for r in rows] for i, c in enumerate(("path", "outcome", "reason"))})
+
+    return plan.select("path", "action", "target").mapInPandas(run, "path string, outcome string, reason string")
+
+
+def repair_tally(outcomes: DataFrame) -> DataFrame:
+    """deleted, moved and failed files."""
+    return outcomes.agg(*[F.count_if(F.col("outcome") == o).alias(o) for o in ("deleted", "moved", "failed")])

@@ -12,12 +12,19 @@ METRIC_KEYS = ("loss", "acc", "f1", "precision", "recall", "roc_auc", "average_p
 LOSS_ORDER = ("none", "weighted_ce", "focal")
 ABLATION_CATEGORIES = ("spatial", "temporal")
 MANIFEST_ORDER = ("protocol", "category", "family", "experiment_no", "run_name")
+#: The run manifest's columns, fixed in name and order.
+MANIFEST = (
+    "run_name string, experiment_no string, protocol string, category string, family string, model_name string, loss_mode string, dataset_scope string, "
+    "best_epoch int, best_val_f1 double, best_val_acc double, test_f1 double, test_acc double, test_loss double, epochs_observed int, epochs_configured int, "
+    "batch_size int, seq_len int, train_samples long, val_samples long, test_samples long, test_fake_samples long, test_real_samples long, relative_dir string"
+)
+MANIFEST_COLUMNS = tuple(c.split()[0] for c in MANIFEST.split(", "))
 
 
 def assemble_runs(summaries: DataFrame, configs: DataFrame, histories: DataFrame, splits: DataFrame) -> DataFrame:
     """One row per run_dir that has a summary, a config and a history; the split summary is optional.
 
-    summaries: run_dir, text fields, best_epoch, best_val_f1, best_val_acc, test_metrics; configs:
+    summaries: run_dir, text fields, best_epoch, best_val_f1, best_val_acc, test_metrics (loss, acc, f1); configs:
     run_dir and fields; histories: run_dir, epoch; splits: run_dir, train, val, test structs.
     """
     s, c = summaries.alias("s"), configs.alias("c")
@@ -39,6 +46,8 @@ def assemble_runs(summaries: DataFrame, configs: DataFrame, histories: DataFrame
         pick(F.col("s.dataset_scope"), F.col("c.dataset_scope"), F.lit("unknown")).alias("dataset_scope"),
         pick(F.col("s.loss_mode"), F.col("c.loss_mode"), F.lit("none")).alias("loss_mode"),
         "epochs_observed", V.safe_int(F.col("c.epochs")).alias("epochs_configured"), V.safe_int(F.col("c.batch_size")).alias("batch_size"),
+        V.safe_int(F.col("c.seq_len")).alias("seq_len"), V.safe_int(F.col("s.best_epoch")).alias("best_epoch"), V.safe_double(F.col("s.test_metrics.loss")).alias("test_loss"),
+        F.col("train.samples").alias("train_samples"), F.col("val.samples").alias("val_samples"), F.regexp_replace("run_dir", "^.*?/(?=train/)", "").alias("relative_dir"),
         V.safe_double(F.col("s.best_val_f1")).alias("best_val_f1"), V.safe_double(F.col("s.best_val_acc")).alias("best_val_acc"),
         V.safe_double(F.col("s.test_metrics.acc")).alias("test_acc"), V.safe_double(F.col("s.test_metrics.f1")).alias("test_f1"),
         F.col("test.samples").alias("test_samples"), F.col("test.fake").alias("test_fake_samples"), F.col("test.real").alias("test_real_samples"),
@@ -192,3 +201,23 @@ def compact_metrics(manifest: DataFrame) -> DataFrame:
         F.struct(names["checkpoint_name"].alias("checkpoint"), names["config_name"].alias("config"), names["summary_name"].alias("final_summary")).alias("paths"),
     )
     return manifest.select("run_name", F.to_json(body).alias("payload"))
+
+
+def metrics_payload(bundles: DataFrame, metrics: DataFrame) -> DataFrame:
+    """run_name, payload: the JSON record of each bundle, with all metrics that are known and nulls kept elsewhere.
+
+    bundles: run_name, experiment_no, protocol, family, model_name, source_kind, acc and f1 (of the checkpoint's name), has_evaluation,
+    dataset_scope, dataset_tag, category, mode, seq_len; metrics: run and METRIC_KEYS, as primary_metrics gives them. A bundle without
+    metrics has an empty metrics object.
+    """
+    tag, names = V.sanitize(F.col("run_name")), V.artifact_names(F.col("run_name"), F.col("acc"), F.col("f1"))
+    known = F.map_filter(F.create_map(*[x for k in METRIC_KEYS for x in (F.lit(k), F.col(k))]), lambda _, v: v.isNotNull())
+    given = metrics.select(F.col("run").alias("__run"), known.alias("__metrics"))
+    evaluation = F.when(F.col("has_evaluation"), F.concat(F.lit("test_evaluation_"), tag, F.lit(".json")))
+    body = F.struct(
+        "experiment_no", tag.alias("run_name"), F.lower("protocol").alias("domain"), "family", "model_name", "source_kind", F.coalesce("__metrics", F.create_map().cast("map<string, double>")).alias("metrics"),
+        F.struct(names["checkpoint_name"].alias("checkpoint"), names["config_name"].alias("config"), names["summary_name"].alias("final_summary"), evaluation.alias("test_evaluation")).alias("paths"),
+        F.struct("dataset_scope", "dataset_tag", "category", "mode", "seq_len").alias("config_summary"),
+    )
+    joined = bundles.join(given, F.col("run_name") == F.col("__run"), "left")
+    return joined.select("run_name", F.to_json(body, {"ignoreNullFields": "false"}).alias("payload"))

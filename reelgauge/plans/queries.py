@@ -362,6 +362,13 @@ _SPLITS = [
         "split_summary", lambda t: governance.split_summary(splits.split_video(_of(t, "video"))),
         f"""SELECT split, dataset, label, count(*) AS n, count(DISTINCT identity) AS identities, 100.0 * count(*) / sum(count(*)) OVER (PARTITION BY split) AS percent FROM ({_SPLIT_VIDEO}) s GROUP BY split, dataset, label""", "percent",
     ),
+    Query(
+        "split_composition", lambda t: governance.split_composition(splits.split_combined(_records(t)).join(t.media.select("path", F.col("n_chars").cast("long").alias("saved_frames")), "path")),
+        f"""SELECT split, dataset, label, n, identities, split_n, 100.0 * split_n / sum(n) OVER () AS split_percent, 100.0 * n / sum(n) OVER (PARTITION BY split, dataset) AS percent, frame_mass,
+        100.0 * frame_mass / sum(frame_mass) OVER (PARTITION BY split, dataset) AS frame_percent FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY split) AS BIGINT) AS split_n FROM (
+        SELECT s.split, s.dataset, s.label, count(*) AS n, any_value(k.identities) AS identities, CAST(sum(m.n_chars) FILTER (WHERE s.dtype = 'frame') AS BIGINT) AS frame_mass FROM ({_SPLIT_COMBINED}) s JOIN {{media}} m ON m.path = s.path
+        JOIN (SELECT split, dataset, count(DISTINCT identity) AS identities FROM ({_SPLIT_COMBINED}) q GROUP BY split, dataset) k ON k.split = s.split AND k.dataset = s.dataset GROUP BY s.split, s.dataset, s.label) a) b""", "split_percent percent frame_percent",
+    ),
     Query("leak_identity", lambda t: governance.leak_identity(splits.split_random(_event_records(t), 0.7, ["dataset"])), f"""SELECT dataset, identity, count(DISTINCT split) AS splits FROM (
         SELECT *, CASE WHEN rn <= floor(CAST(n AS DOUBLE) * CAST(0.7 AS DOUBLE)) THEN 'train' ELSE 'val' END AS split FROM ({_rank_sql("SELECT CAST(event_id AS VARCHAR) AS path, event_type AS dataset, user_id AS identity FROM {events}", 'dataset', 'path')}) x) y GROUP BY dataset, identity HAVING count(DISTINCT split) > 1"""),
     Query("leak_content", lambda t: governance.leak_content(_contents(t)), f"""SELECT digest, count(DISTINCT split) AS splits, count(*) AS n FROM (SELECT m.path, md5(d.text) AS digest, s.split FROM {{media}} m JOIN {{documents}} d ON d.doc_id = m.doc_id JOIN ({_SPLIT_COMBINED}) s ON s.path = m.path) x
@@ -390,6 +397,12 @@ def _decoded(t: Bound):
     return clips.withColumn("frame", F.when(F.col("out_idx") < 2 + F.col("clip") % 5, F.col("frame")))
 
 
+def _extraction_files(t: Bound):
+    path = scratch_dir(t.spark, "extraction-manifests")
+    artifacts.write_extraction_manifests(t.extraction_manifest, path)
+    return artifacts.read_extraction_manifests(t.spark, path).select("source_path", "source_frame_count", "frame_stride", "max_frames", "saved_frame_count")
+
+
 _FRAMES = [
     Query(
         "frame_index_single", lambda t: t.clips_in.select("path", sampling.single_index(F.col("frame_count")).alias("centre"), sampling.single_index(F.col("frame_count"), F.col("path")).alias("drawn")),
@@ -442,6 +455,7 @@ _FRAMES = [
         "extraction_manifest", lambda t: artifacts.parse_extraction_manifest(t.extraction_manifest.select(F.when(F.col("source_frame_count") % 9 == 0, "{broken").otherwise(F.to_json(F.struct("*"))).alias("value"))).select("source_path", "source_frame_count", "frame_stride", "max_frames", "saved_frame_count"),
         "SELECT source_path, source_frame_count, frame_stride, max_frames, saved_frame_count FROM {extraction_manifest} WHERE source_frame_count % 9 <> 0",
     ),
+    Query("extraction_manifest_files", _extraction_files, "SELECT source_path, source_frame_count, frame_stride, max_frames, saved_frame_count FROM {extraction_manifest}"),
 ]
 
 # ---------------------------------------------------------------- runs
@@ -454,8 +468,8 @@ _PARADIGM_ROWS = f"SELECT *, {_PARADIGM} AS paradigm FROM {{manifest}}"
 def _artefacts(t: Bound):
     """Run folders made of the manifest: summaries, configs (some lack), histories, split summaries (some lack)."""
     m = t.manifest.withColumn("run_dir", F.concat_ws("/", F.lit("train"), "protocol", "category", F.concat(F.lit("run-"), "experiment_no", F.lit("-"), F.crc32("run_name").cast("string"))))
-    summaries = m.select("run_dir", "run_name", "experiment_no", F.nullif("category", F.lit("spatial")).alias("category"), "model_name", F.lit("").alias("dataset_scope"), "loss_mode", "best_val_f1", "best_val_acc", F.struct("test_acc", "test_f1").cast("struct<acc: double, f1: double>").alias("test_metrics"))
-    configs = m.filter("test_real_samples % 4 <> 0").select("run_dir", "run_name", "experiment_no", "category", "model_name", F.lit("all").alias("dataset_scope"), "loss_mode", "family", F.lit("some_family").alias("family_dir"), F.lit("ten").alias("epochs"), F.lit("32").alias("batch_size"))
+    summaries = m.select("run_dir", "run_name", "experiment_no", F.nullif("category", F.lit("spatial")).alias("category"), "model_name", F.lit("").alias("dataset_scope"), "loss_mode", "best_val_f1", "best_val_acc", F.struct("test_acc", "test_f1", (1 - F.col("test_acc")).alias("loss")).cast("struct<acc: double, f1: double, loss: double>").alias("test_metrics"), (F.col("test_real_samples") % 7).cast("string").alias("best_epoch"))
+    configs = m.filter("test_real_samples % 4 <> 0").select("run_dir", "run_name", "experiment_no", "category", "model_name", F.lit("all").alias("dataset_scope"), "loss_mode", "family", F.lit("some_family").alias("family_dir"), F.lit("ten").alias("epochs"), F.lit("32").alias("batch_size"), F.when(F.col("protocol") == "video", "16").otherwise("none").alias("seq_len"))
     histories = m.filter("test_real_samples % 5 <> 0").select("run_dir", F.explode(F.sequence(F.lit(1), (F.col("test_real_samples") % 7 + 1).cast("int"))).alias("epoch"))
     sizes = F.struct((F.col("test_real_samples") + F.col("test_fake_samples")).alias("samples"), F.col("test_fake_samples").alias("fake"), F.col("test_real_samples").alias("real"))
     split = m.filter("test_real_samples % 3 <> 0").select("run_dir", sizes.alias("train"), sizes.alias("val"), sizes.alias("test"))
@@ -472,6 +486,32 @@ CAST(NULL AS INT) AS epochs_configured, 32 AS batch_size, test_acc, test_f1, CAS
 FROM {manifest} WHERE test_real_samples % 4 <> 0 AND test_real_samples % 5 <> 0"""
 
 
+def _manifest_csv(t: Bound):
+    path = scratch_dir(t.spark, "run-manifest")
+    artifacts.write_manifest(runs.assemble_runs(*_artefacts(t)).select(*runs.MANIFEST_COLUMNS).withColumn("relative_dir", F.regexp_replace("relative_dir", "-[0-9]+$", "")), path)
+    return artifacts.read_manifest(t.spark, path, runs.MANIFEST)
+
+
+_SAMPLES = "CASE WHEN test_real_samples % 3 <> 0 THEN test_real_samples + test_fake_samples END"
+_MANIFEST_CSV_SQL = f"""SELECT run_name, experiment_no, protocol, category, CASE WHEN family = '' THEN 'some family' ELSE family END AS family, model_name, loss_mode, 'all' AS dataset_scope, CAST(test_real_samples % 7 AS INT) AS best_epoch,
+best_val_f1, best_val_acc, test_f1, test_acc, 1 - test_acc AS test_loss, CAST(test_real_samples % 7 + 1 AS INT) AS epochs_observed, CAST(NULL AS INT) AS epochs_configured, 32 AS batch_size, CASE WHEN protocol = 'video' THEN 16 END AS seq_len,
+{_SAMPLES} AS train_samples, {_SAMPLES} AS val_samples, {_SAMPLES} AS test_samples, CASE WHEN test_real_samples % 3 <> 0 THEN test_fake_samples END AS test_fake_samples, CASE WHEN test_real_samples % 3 <> 0 THEN test_real_samples END AS test_real_samples,
+'train/' || protocol || '/' || category || '/run-' || experiment_no AS relative_dir FROM {{manifest}} WHERE test_real_samples % 4 <> 0 AND test_real_samples % 5 <> 0"""
+
+
+def _bundles(t: Bound):
+    even = F.col("test_real_samples") % 2 == 0
+    bundles = t.manifest.select(
+        "run_name", "experiment_no", "protocol", "family", "model_name", F.when(even, "evaluated").otherwise("trained").alias("source_kind"), F.coalesce("test_acc", "best_val_acc").alias("acc"), F.coalesce("test_f1", "best_val_f1").alias("f1"),
+        even.alias("has_evaluation"), F.lit("all").alias("dataset_scope"), F.lit(None).cast("string").alias("dataset_tag"), "category", F.lit("clip").alias("mode"), F.lit(16).alias("seq_len"),
+    )
+    metric = lambda k: F.get_json_object("payload", f"$.metrics.{k}").cast("double").alias(k)
+    text = lambda path: F.get_json_object("payload", f"$.{path}").alias(path.split(".")[-1])
+    payloads = runs.metrics_payload(bundles, _two_metric_sets(t))
+    fields = ("domain", "source_kind", "paths.checkpoint", "paths.test_evaluation", "config_summary.dataset_scope", "config_summary.dataset_tag", "config_summary.category", "config_summary.mode", "config_summary.seq_len")
+    return payloads.select("run_name", *[metric(k) for k in runs.METRIC_KEYS], *[text(f) for f in fields], F.col("payload").contains('"dataset_tag":null').alias("nulls_kept"))
+
+
 def _two_metric_sets(t: Bound):
     evaluations = t.manifest.filter("test_real_samples % 2 = 0").select(F.col("run_name").alias("run"), F.lit(None).cast("double").alias("loss"), F.col("test_acc").alias("acc"), F.col("test_f1").alias("f1"), *[F.lit(0.5).alias(k) for k in runs.METRIC_KEYS[3:]])
     summaries = t.manifest.select(F.col("run_name").alias("run"), F.lit(0.25).alias("loss"), F.col("best_val_acc").alias("acc"), F.col("best_val_f1").alias("f1"), *[F.lit(None).cast("double").alias(k) for k in runs.METRIC_KEYS[3:]])
@@ -484,6 +524,15 @@ def _drift(t: Bound):
     return runs.run_drift(summaries, configs, ["loss_mode", "model_name"])
 
 
+def _appended(t: Bound):
+    """The log after all events were appended twice."""
+    path = scratch_dir(t.spark, "bad-media-log")
+    log = t.bad_media.select("event_id", F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("ts"), "path", "stage", "detail", F.lit("auto").alias("backend"), F.lit("clip").alias("mode"), F.lit(16).alias("seq_len"))
+    for _ in range(2):
+        artifacts.append_bad_media(log, path)
+    return artifacts.read_bad_media(t.spark, path).select("path", "ts", "stage", "detail")
+
+
 _EXPECTED = ("config.json", "final_summary.json", "history.csv")
 
 
@@ -547,6 +596,18 @@ _RUNS = [
         f"""SELECT CASE protocol WHEN 'image' THEN 'Image' ELSE 'Video' END || '/' || {_SANITIZED.format("family || '_' || model_name")} || '/' || {_names_sql(_ACC, _F1)['archive_name']} AS archive, experiment_no, run_name AS bundle_id, protocol AS domain,
         {_SANITIZED.format("family || '_' || model_name")} AS family_model_dir, count(*) OVER (PARTITION BY protocol) AS bundle_count FROM {{manifest}}""",
     ),
+    Query("run_manifest_csv", _manifest_csv, _MANIFEST_CSV_SQL, "best_val_f1 best_val_acc test_f1 test_acc test_loss"),
+    Query(
+        "metrics_payload", _bundles,
+        f"""SELECT run_name, CAST(0.25 AS DOUBLE) AS loss, CASE WHEN even THEN test_acc ELSE best_val_acc END AS acc, CASE WHEN even THEN coalesce(test_f1, best_val_f1) ELSE best_val_f1 END AS f1, h AS "precision", h AS recall, h AS roc_auc, h AS average_precision,
+        protocol AS domain, CASE WHEN even THEN 'evaluated' ELSE 'trained' END AS source_kind, {_names_sql(_ACC, _F1)['checkpoint_name']} AS checkpoint, CASE WHEN even THEN 'test_evaluation_' || {_SANITIZED.format('run_name')} || '.json' END AS test_evaluation,
+        'all' AS dataset_scope, CAST(NULL AS VARCHAR) AS dataset_tag, category, 'clip' AS "mode", '16' AS seq_len, true AS nulls_kept
+        FROM (SELECT *, test_real_samples % 2 = 0 AS even, CASE WHEN test_real_samples % 2 = 0 THEN CAST(0.5 AS DOUBLE) END AS h FROM {{manifest}}) x""", "acc f1",
+    ),
+    Query(
+        "bad_media_appended", _appended,
+        "SELECT path, CAST(floor(epoch(CAST(ts AS TIMESTAMP))) AS DOUBLE) AS ts, stage, detail FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY floor(epoch(CAST(ts AS TIMESTAMP))), event_id) AS rn FROM {bad_media}) x WHERE rn = 1",
+    ),
     Query("compact_metrics", lambda t: runs.compact_metrics(t.manifest)),
     Query("bad_media_log", lambda t: artifacts.first_bad_media(t.bad_media).select("path", "ts", "stage", "event_id"), "SELECT path, ts, stage, event_id FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts, event_id) AS rn FROM {bad_media}) x WHERE rn = 1"),
 ]

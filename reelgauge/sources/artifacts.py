@@ -86,6 +86,10 @@ def write_manifest(manifest: DataFrame, path: str) -> None:
     manifest.orderBy("protocol", "category", "family", "experiment_no", "run_name").write.option("header", "true").csv(path)
 
 
+def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("header", "true").csv(path)
+
+
 def first_bad_media(log: DataFrame) -> DataFrame:
     """The first event of each path."""
     first = F.row_number().over(Window.partitionBy("path").orderBy("ts", "event_id"))
@@ -95,3 +99,24 @@ def first_bad_media(log: DataFrame) -> DataFrame:
 def parse_extraction_manifest(raw: DataFrame, text: str = "value") -> DataFrame:
     """source_path and fields of JSON manifests; corrupt ones (no source_path) count as missing."""
     return raw.select(F.from_json(F.col(text), EXTRACTION).alias("m")).select("m.*").filter("source_path is not null")
+
+
+def append_bad_media(log: DataFrame, path: str) -> None:
+    """Adds events to a JSON-lines log: the first of each path, and none of a path that the log holds already. One writer at a time."""
+    spark = log.sparkSession
+    first = first_bad_media(log).filter("path is not null and path <> ''").select("ts", "path", "stage", "detail", "backend", "mode", "seq_len")
+    spark.createDataFrame([], first.schema).write.mode("append").json(path)  # so that there is a log to read
+    first.join(read_bad_media(spark, path).select("path"), "path", "left_anti").write.mode("append").json(path)
+
+
+def read_bad_media(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(BAD_MEDIA).json(path)
+
+
+def write_extraction_manifests(manifests: DataFrame, path: str) -> None:
+    """One JSON document a line, in the form that parse_extraction_manifest reads."""
+    manifests.write.json(path)
+
+
+def read_extraction_manifests(spark: SparkSession, path: str) -> DataFrame:
+    return parse_extraction_manifest(spark.read.text(path))

@@ -100,3 +100,24 @@ def test_documents_of_several_lines(spark, tmp_path):
     (tmp_path / "r" / "final_summary.json").write_text(json.dumps({"run_name": "r1", "test_metrics": {"f1": 0.5}}, indent=2))
     assert [(r.run_name, r.dataset_names) for r in artifacts.read_configs(spark, str(tmp_path)).collect()] == [("r1", ["x", "y"])]
     assert [(r.run_name, r.test_metrics.f1) for r in artifacts.read_documents(spark, str(tmp_path), "final_summary.json", artifacts.SUMMARY).collect()] == [("r1", 0.5)]
+
+
+def test_repair_deletes_moves_and_tallies(spark, tmp_path):
+    from reelgauge.operators import audit
+
+    root = tmp_path / "data"
+    (root / "a").mkdir(parents=True)
+    names = ["a/one.png", "a/two.png", "a/gone.png", "three.png"]
+    for name in names:
+        if "gone" not in name:
+            (root / name).write_bytes(b"x")
+    results = spark.createDataFrame([(f"{root}/{n}", n == "three.png") for n in names] + [("/elsewhere/x.png", False)], "path string, ok boolean")
+    tally = lambda action: audit.repair_tally(audit.apply_repair(audit.repair_plan(results, action, str(root), f"{tmp_path}/kept"))).first()
+    assert tuple(tally("report")) == (0, 0, 0)
+    assert sorted(p.name for p in root.rglob("*.png")) == ["one.png", "three.png", "two.png"]
+    assert tuple(tally("quarantine")) == (0, 2, 2)
+    assert tuple(tally("quarantine")) == (0, 2, 2)  # a task that runs again
+    assert sorted(p.name for p in (tmp_path / "kept" / "a").iterdir()) == ["one.png", "two.png"]
+    (root / "a" / "one.png").write_bytes(b"x")
+    assert tuple(tally("delete")) == (1, 0, 3)
+    assert [p.name for p in root.rglob("*.png")] == ["three.png"]
