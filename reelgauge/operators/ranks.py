@@ -50,3 +50,19 @@ def descending_sums(df: DataFrame, groups: list[str], score: str, values: list[s
     for v in values:
         out = out.withColumn(f"cum_{v}", F.col(f"__above_{v}") + F.sum(v).over(inner))
     return out.select(*df.columns, *[f"cum_{v}" for v in values])
+
+
+def bucketed_places(df: DataFrame, groups: list[str], bucket: Column, order: list[Column]) -> DataFrame:
+    """df with place (1 first) in the given order within a group; bucket is a whole number that never rises along the order.
+
+    Rows are sorted within a bucket only; the places before it come from the counts of the buckets above.
+    """
+    bucketed = df.withColumn("__bucket", bucket.cast("long"))
+    totals = bucketed.groupBy(*groups, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    above = Window.partitionBy(*groups).orderBy(F.col("__bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*[F.col(g).alias(f"__{g}") for g in groups], F.col("__bucket").alias("__at"), F.coalesce(F.sum("__n").over(above), F.lit(0)).alias("__offset"))
+    same = F.col("__bucket") == F.col("__at")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"__{g}"))
+    inner = Window.partitionBy(*groups, "__bucket").orderBy(*order)
+    return bucketed.join(totals, same).withColumn("place", F.col("__offset") + F.row_number().over(inner)).select(*df.columns, "place")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..functions.values import paradigm
+from .ranks import bucketed_places
 
 METRIC_KEYS = ("loss", "acc", "f1", "precision", "recall", "roc_auc", "average_precision")
 LOSS_ORDER = ("none", "weighted_ce", "focal")
@@ -93,11 +94,17 @@ def best_run(manifest: DataFrame, group: str = "protocol") -> DataFrame:
     return scored.withColumn("rn", first).filter("rn = 1").select(group, "run_name", "test_f1", "best_val_f1")
 
 
+def _score_bucket() -> Column:
+    """A whole number that never rises along _order: test_f1 in steps of 1/1024, then best_val_f1 likewise, null lowest."""
+    step = lambda c: F.floor(F.greatest(F.lit(-1.0), F.least(F.lit(2.0), F.col(c))) * 1024)
+    return step("test_f1") * 4096 + F.when(F.col("best_val_f1").isNull(), 0).otherwise(step("best_val_f1") + 1025)
+
+
 def leaderboard(manifest: DataFrame, group: str | None = None) -> DataFrame:
-    """place 1..; ranks within a group, or over all runs (one row per run in one window)."""
-    window = Window.partitionBy(*([group] if group else [])).orderBy(*_order())
-    scored = manifest.filter("test_f1 is not null")
-    return scored.select(*([group] if group else []), "run_name", "test_f1", "best_val_f1", F.row_number().over(window).alias("place"))
+    """place 1..; ranks within a group, or over all runs. Only runs of one bucket of scores meet in a task."""
+    groups = [group] if group else []
+    scored = manifest.filter("test_f1 is not null").select(*groups, "run_name", "test_f1", "best_val_f1")
+    return bucketed_places(scored, groups, _score_bucket(), _order()).withColumn("place", F.col("place").cast("int"))
 
 
 def best_epoch(history: DataFrame) -> DataFrame:
@@ -162,6 +169,13 @@ def duplicate_results(manifest: DataFrame) -> DataFrame:
     )
 
 
+def duplicate_members(manifest: DataFrame) -> DataFrame:
+    """One row per run whose metric values another run reports too, with the number of such runs; no group is gathered in one place."""
+    scored = manifest.filter("test_f1 is not null").select("run_name", "test_f1", "best_val_f1")
+    shared = scored.groupBy(F.col("test_f1").alias("__t"), F.col("best_val_f1").alias("__v")).agg(F.count(F.lit(1)).alias("runs")).filter("runs > 1")
+    return scored.join(shared, F.col("test_f1").eqNullSafe(F.col("__t")) & F.col("best_val_f1").eqNullSafe(F.col("__v"))).select("run_name", "test_f1", "best_val_f1", "runs")
+
+
 def run_completeness(files: DataFrame, expected: tuple[str, ...]) -> DataFrame:
     """files: run_dir, name. Missing artefacts of each run."""
     has = [F.max((F.col("name") == e).cast("int")).alias(f"has_{e.split('.')[0]}") for e in expected]

@@ -587,6 +587,11 @@ _RUNS = [
     Query("experiment_lookup", lambda t: runs.experiment_lookup(t.manifest), "SELECT experiment_no, count(*) AS matches, CASE WHEN count(*) = 1 THEN 'found' ELSE 'ambiguous' END AS status, string_agg(run_name, ',' ORDER BY run_name) AS run_names FROM {manifest} GROUP BY experiment_no"),
     Query("duplicate_results", lambda t: runs.duplicate_results(t.manifest.withColumn("best_val_f1", F.floor(F.col("best_val_f1") * 100) / 100.0)), """SELECT test_f1, best_val_f1, count(*) AS runs, string_agg(run_name, ',' ORDER BY run_name) AS run_names FROM (SELECT run_name, test_f1, floor(best_val_f1 * 100) / CAST(100 AS DOUBLE) AS best_val_f1 FROM {manifest}) m
         WHERE test_f1 IS NOT NULL GROUP BY test_f1, best_val_f1 HAVING count(*) > 1""", "test_f1 best_val_f1"),
+    Query(
+        "duplicate_members", lambda t: runs.duplicate_members(t.manifest.withColumn("best_val_f1", F.floor(F.col("best_val_f1") * 100) / 100.0)),
+        """SELECT * FROM (SELECT run_name, test_f1, best_val_f1, count(*) OVER (PARTITION BY test_f1, best_val_f1) AS runs FROM (SELECT run_name, test_f1, floor(best_val_f1 * 100) / CAST(100 AS DOUBLE) AS best_val_f1 FROM {manifest}) m
+        WHERE test_f1 IS NOT NULL) x WHERE runs > 1""", "test_f1 best_val_f1",
+    ),
     Query("promoted_runs", lambda t: t.manifest.filter("best_val_acc >= 0.8").select("run_name", "best_val_acc"), "SELECT run_name, best_val_acc FROM {manifest} WHERE best_val_acc >= 0.8", "best_val_acc"),
     Query("run_completeness", _run_files, "SELECT run_name AS run_dir, 1 AS has_config, 1 AS has_final_summary, CASE WHEN test_real_samples % 4 <> 0 THEN 1 ELSE 0 END AS has_history, test_real_samples % 4 <> 0 AS complete FROM {manifest}"),
     Query("run_drift", _drift, """SELECT run_name AS run, 'loss_mode' AS field, loss_mode AS summary, 'focal' AS config FROM {manifest} WHERE test_real_samples % 6 = 0 AND loss_mode <> 'focal'
