@@ -215,12 +215,29 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 ROW_KEY = ["doc_id", "text_hash"]  # rows that share an id are told apart by their texts
 
 
+SPREAD = 1024  # parts that the further copies of a segment are dealt to
+
+
+def copies_within(anchors: np.ndarray, digests: np.ndarray) -> np.ndarray:
+    """0 for a segment that is alone in its slice, -1 for the first of several equal ones, 1 to SPREAD for the others."""
+    order = np.lexsort((digests, anchors))
+    a, d = anchors[order], digests[order]
+    starts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (d[1:] != d[:-1])]) if len(order) else np.empty(0, "int64")
+    sizes = np.diff(np.r_[starts, len(order)])
+    nth = np.arange(len(order)) - np.repeat(starts, sizes)
+    out = np.empty(len(order), "int32")
+    out[order] = np.where(np.repeat(sizes, sizes) == 1, 0, np.where(nth == 0, -1, 1 + nth % SPREAD))
+    return out
+
+
 def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Each document's segments as arrays; flushed so that a batch of long texts stays small."""
     import xxhash
 
     def frame(rows):
-        return pd.DataFrame(rows, columns=[*ROW_KEY, "anchor", "digest", "start", "count"])
+        out = pd.DataFrame(rows, columns=[*ROW_KEY, "anchor", "digest", "start", "count"])
+        parts = copies_within(np.concatenate(out["anchor"].tolist()), np.concatenate(out["digest"].tolist()))
+        return out.assign(part=np.split(parts, np.cumsum([len(x) for x in out["anchor"]])[:-1]))
 
     digest = xxhash.xxh3_64_intdigest
     for batch in batches:
@@ -307,18 +324,19 @@ def _by_row(a: DataFrame, b: DataFrame) -> Column:
 def repeated_runs(texts: DataFrame) -> DataFrame:
     """doc_id, text_hash, runs: array of (start, count) of repeated windows, for rows that have any. texts: doc_id, text_hash, text (not null)."""
     kind = texts.schema["doc_id"].dataType.simpleString()
-    given = texts.mapInPandas(_anchors, f"doc_id {kind}, text_hash long, anchor array<long>, digest array<long>, start array<int>, count array<int>")
-    cut = given.select(*ROW_KEY, F.explode(F.arrays_zip("anchor", "digest", "start", "count")).alias("s")).select(*ROW_KEY, "s.*")
+    given = texts.mapInPandas(_anchors, f"doc_id {kind}, text_hash long, anchor array<long>, digest array<long>, start array<int>, count array<int>, part array<int>")
+    cut = given.select(*ROW_KEY, F.explode(F.arrays_zip("anchor", "digest", "start", "count", "part")).alias("s")).select(*ROW_KEY, "s.*")
     order = ["doc_id", "text_hash", "start"]
-    same_anchor = Window.partitionBy("anchor").orderBy("digest", *order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    same_segment = Window.partitionBy("anchor", "digest").orderBy(*order)
-    first = F.col("nth") == 1
-    seen = (
-        cut.withColumn("n", F.count(F.lit(1)).over(same_anchor))
+    same_anchor = Window.partitionBy("anchor", "deal").orderBy("digest", *order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    same_segment = Window.partitionBy("anchor", "deal", "digest").orderBy(*order)
+    first = (F.col("nth") == 1) & (F.col("deal") == 0)
+    seen = (  # a segment with a copy in its slice is repeated whatever else there is: one of them stands for it, the others are dealt out
+        cut.withColumn("deal", F.greatest("part", F.lit(0)))
+        .withColumn("n", F.count(F.lit(1)).over(same_anchor))
         .withColumn("mixed", F.min("digest").over(same_anchor) != F.max("digest").over(same_anchor))
-        .filter("n > 1")
+        .filter("n > 1 or part <> 0")
         .withColumn("nth", F.row_number().over(same_segment))
-        .withColumn("twice", ~first | F.lead(F.lit(True), 1, False).over(same_segment))
+        .withColumn("twice", (F.col("part") != 0) | ~first | F.lead(F.lit(True), 1, False).over(same_segment))
         .select(*ROW_KEY, "anchor", "digest", "start", "count", "mixed", first.alias("first"), "twice")
     )
     seen = materialize(seen, "suffix-anchors")

@@ -323,3 +323,23 @@ def test_rows_alike_share_their_mass(spark):
     assert mixed[mixed.doc_id.isna() & (mixed.source == "s")].copies.max() - mixed[mixed.doc_id.isna() & (mixed.source == "s")].copies.min() <= 1
     kept = source_mix.take_mix(docs).groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).toPandas().set_index("source").n
     assert all(abs(kept[s] - by_source.target[s]) <= 9 for s in kept.index)
+
+
+def test_copies_within_a_slice():
+    a, d = np.array([5, 7, 5, 5, 5, 7]), np.array([1, 1, 1, 2, 1, 3])
+    assert suffix_dedup.copies_within(a, d).tolist() == [-1, 0, 2, 0, 3, 0]
+    assert suffix_dedup.copies_within(a[:0], d[:0]).tolist() == []
+
+
+@pytest.mark.parametrize("batch", [1, 7, 10_000])
+def test_one_passage_in_every_document(spark, batch):
+    passage = "".join(f"{i * 37 % 1009} " for i in range(90))
+    texts = {i: f"{i} start {i * i} {'x' * (i % 5)}" + passage + (passage if i % 4 == 0 else "") + f" end {i}" for i in range(60)}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = {r.doc_id: r.n_removed for r in suffix_dedup.suffix_dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    seen = collections.Counter(t[i : i + 200] for t in texts.values() for i in range(len(t) - 199))
+    for i, t in texts.items():
+        assert got[i] == len({p for a in range(len(t) - 199) if seen[t[a : a + 200]] > 1 for p in range(a, a + 200)})
