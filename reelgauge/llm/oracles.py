@@ -1,4 +1,4 @@
-"""DuckDB SQL of the operators that SQL can express: the Jaccard join, the quality rules and the embedding groups.
+"""DuckDB SQL of the operators that SQL can express: the Jaccard join, the quality rules, the embedding groups and the collocations.
 
 Each is the plain definition over whole tables: all pairs that share a shingle, all windows, all pairs of a label. Rows are told
 apart by a number of their own; components are a recursive table of what each row reaches.
@@ -69,4 +69,26 @@ SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component, vec_id) AS compone
 FROM vecs LEFT JOIN least ON least.node = rid LEFT JOIN counted ON counted.node = rid
 """
 
-ORACLE_SQL = {"op8_jaccard_join": JACCARD_JOIN, "op9_quality_rules": QUALITY_RULES, "op10_embedding_dedup": EMBEDDING_DEDUP}
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\x0C\r]')) AS piece FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM worded GROUP BY lang),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded WHERE len(w) > 0),
+grams AS (SELECT lang, w[i:i + size - 1] AS words FROM starts JOIN (VALUES (1), (2), (3), (4), (5)) AS s(size) ON i + size - 1 <= len(w)),
+counts AS (SELECT lang, words, len(words) AS size, CAST(count(*) AS HUGEINT) AS f FROM grams GROUP BY lang, words HAVING count(*) >= 100),
+covered AS (
+  SELECT DISTINCT s.lang, s.words FROM counts AS s JOIN counts AS b ON b.lang = s.lang AND b.size = s.size + 1 AND s.size > 1 AND 100 * b.f >= 100 * s.f
+    AND (b.words[1:s.size] = s.words OR b.words[2:] = s.words)),
+cuts AS (
+  SELECT c.lang, c.words, c.f AS a, h.f AS l, t.f AS r, n, k, CAST(1000 AS HUGEINT) * c.f * n // (h.f * t.f) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM counts WHERE size > 1) AS c
+  JOIN counts AS h ON h.lang = c.lang AND h.words = c.words[1:k] JOIN counts AS t ON t.lang = c.lang AND t.words = c.words[k + 1:] JOIN totals AS m ON m.lang = c.lang
+  WHERE NOT EXISTS (SELECT 1 FROM covered AS x WHERE x.lang = c.lang AND x.words = c.words)),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1),
+ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(words, ' ')) AS rank, array_to_string(words, ' ') AS phrase, a, l, r, n, score FROM best)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+"""
+
+ORACLE_SQL = {"op12_collocations": COLLOCATIONS, "op8_jaccard_join": JACCARD_JOIN, "op9_quality_rules": QUALITY_RULES, "op10_embedding_dedup": EMBEDDING_DEDUP}

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import quality_rules as rules
-from . import embedding_dedup, jaccard_join, quality_classifier, sentence_pieces, source_mix, suffix_dedup, token_counts, token_files, toxicity
+from . import collocations as phrases
+from . import embedding_dedup, jaccard_join, language_id, quality_classifier, sentence_pieces, source_mix, suffix_dedup, token_counts, token_files, toxicity, whitening
 from .common import table
 from .oracles import ORACLE_SQL  # noqa: F401
 
@@ -58,6 +59,19 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify_language(docs, language_id.fit_language(docs))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -71,5 +85,8 @@ QUERIES = {
         op8_jaccard_join,
         op9_quality_rules,
         op10_embedding_dedup,
+        op11_whitening,
+        op12_collocations,
+        op13_language_id,
     )
 }
