@@ -1,79 +1,126 @@
-"""Readability of media by structure, in Arrow batches. Pixels are not decoded: truncated and foreign files are found, damaged pictures in sound containers are not."""
+"""Readability of media by structure. Pixels are not decoded: a picture's stream is followed to its end and a film's samples to their bytes.
+
+A prober is a function of a ``containers.Reader`` that raises ``containers.Broken`` with the text of the failure. Probers go by dtype, and callers may
+bring their own: they travel with the tasks. Where files are given by path, only the ranges that a prober asks for are read.
+"""
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.containers import Broken, Reader, film_probes, probe_image, probe_video
 from ..functions.paths import file_name
 
 RESULT = "path string, label int, dtype string, ok boolean, error string"
+SECONDS = 60.0  # for one file
+
+Prober = Callable[[Reader], None]
+PROBERS: dict[str, Prober] = {"image": probe_image, "video": probe_video}
+
+
+def failure(prober: Prober | None, dtype: str, file: Reader) -> str | None:
+    """None, or Type: message of what the prober found; an unknown dtype is a failure."""
+    if prober is None:
+        return f"ValueError: Unsupported dtype: {dtype}"
+    try:
+        prober(file)
+    except Broken as error:
+        return str(error)
+    except Exception as error:  # whatever a foreign file does to a prober is the file's failure
+        return f"{type(error).__name__}: {error}"
+    return None
 
 
 def image_error(data: bytes) -> str | None:
-    """None for a PNG with sound chunks up to IEND, a JPEG with its end marker, a WEBP or BMP of its stated length."""
-    if not data:
-        return "UnidentifiedImageError: empty file"
-    if data[:8] == b"\x89PNG\r\n\x1a\n":
-        at = 8
-        while at + 12 <= len(data):
-            size = int.from_bytes(data[at : at + 4], "big")
-            kind, end = data[at + 4 : at + 8], at + 8 + size
-            if end + 4 > len(data):
-                return "OSError: image file is truncated"
-            if zlib.crc32(data[at + 4 : end]) != int.from_bytes(data[end : end + 4], "big"):
-                return f"SyntaxError: broken PNG chunk {kind!r}"
-            if kind == b"IEND":
-                return None
-            at = end + 4
-        return "OSError: image file is truncated"
-    if data[:3] == b"\xff\xd8\xff":
-        return None if b"\xff\xd9" in data[-64:] else "OSError: image file is truncated"
-    if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
-        return None if len(data) >= int.from_bytes(data[4:8], "little") + 8 else "OSError: image file is truncated"
-    if data[:2] == b"BM":
-        return None if len(data) >= int.from_bytes(data[2:6], "little") else "OSError: image file is truncated"
-    return "UnidentifiedImageError: cannot identify image file"
+    return failure(probe_image, "image", Reader.of(data))
 
 
 def video_error(data: bytes) -> str | None:
-    """None for an MP4 with ftyp, moov and sample sizes, or a RIFF/Matroska file that is not empty."""
-    if data[:4] in (b"RIFF", b"\x1a\x45\xdf\xa3"):
-        return None if len(data) > 64 else "VideoMetadataError: invalid frame count"
-    boxes, at = {}, 0
-    while at + 8 <= len(data):
-        size, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
-        if size == 1 and at + 16 <= len(data):
-            size = int.from_bytes(data[at + 8 : at + 16], "big")
-        if size < 8:
-            break
-        boxes[kind] = data[at : at + size]
-        at += size
-    if b"ftyp" not in boxes or b"moov" not in boxes:
-        return "VideoOpenError: could not open file"
-    at = boxes[b"moov"].find(b"stsz")
-    count = int.from_bytes(boxes[b"moov"][at + 12 : at + 16], "big") if at >= 0 else 0
-    if count <= 0:
-        return "VideoMetadataError: invalid frame count"
-    return None if b"mdat" in boxes else "VideoReadError: no readable frames"
-
-
-CHECKS = {"image": image_error, "video": video_error}
-
-
-def _check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        errors = [CHECKS[d](bytes(c or b"")) if d in CHECKS else f"ValueError: Unsupported dtype: {d}" for d, c in zip(batch["dtype"], batch["content"])]
-        yield pd.DataFrame({"path": batch["path"], "label": batch["label"], "dtype": batch["dtype"], "ok": [e is None for e in errors], "error": errors})
-
-
-def validate(media: DataFrame) -> DataFrame:
+    return failure(probe_video, "video", Reader.of(data))
+
+
+def open_range(path: str, seconds: float | None = None):
+    """A Reader of a file that pyarrow opens, and the open file."""
+    from pyarrow import fs
+
+    files, name = fs.FileSystem.from_uri(path)
+    file = files.open_input_file(name)
+
+    def fetch(at: int, n: int) -> bytes:
+        file.seek(at)
+        return file.read(n)
+
+    return Reader(fetch, file.size(), seconds), file
+
+
+def _checked(probers: dict[str, Prober], seconds: float, keep: tuple[str, ...] = ()):
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            errors = [failure(probers.get(d), d, Reader.of(bytes(c or b""), seconds)) for d, c in zip(batch["dtype"], batch["content"])]
+            yield batch[["path", "label", "dtype"]].assign(ok=[e is None for e in errors], error=errors, **{c: batch[c] for c in keep})
+
+    return check
+
+
+def validate(media: DataFrame, probers: dict[str, Prober] | None = None, seconds: float = SECONDS) -> DataFrame:
     """media (path, label, dtype, content): one result row each; an unknown dtype is a failure."""
-    return media.select("path", F.col("label").cast("int").alias("label"), "dtype", "content").mapInPandas(_check, RESULT)
+    return media.select("path", F.col("label").cast("int").alias("label"), "dtype", "content").mapInPandas(_checked(probers or PROBERS, seconds), RESULT)
+
+
+def validate_paths(media: DataFrame, probers: dict[str, Prober] | None = None, seconds: float = SECONDS) -> DataFrame:
+    """media (path, label, dtype): the same of files that pyarrow opens, by ranges; what cannot be opened is a failure."""
+    known = probers or PROBERS
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            errors = []
+            for path, dtype in zip(batch["path"], batch["dtype"]):
+                try:
+                    reader, file = open_range(path, seconds)
+                except Exception as error:
+                    errors.append(f"{type(error).__name__}: {error}")
+                    continue
+                with file:
+                    errors.append(failure(known.get(dtype), dtype, reader))
+            yield batch.assign(ok=[e is None for e in errors], error=errors)
+
+    return media.select("path", F.col("label").cast("int").alias("label"), "dtype").mapInPandas(check, RESULT)
+
+
+def with_second_opinion(spark: SparkSession, results: DataFrame, root: str) -> DataFrame:
+    """results with decoded: whether Spark's image source, which decodes pictures, keeps the file; null for what is no picture.
+
+    Paths are compared as that source names them, with their scheme.
+    """
+    decoded = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(root).select(F.col("image.origin").alias("origin"))
+    named = results.withColumn("origin", F.when(F.col("dtype") == "image", F.regexp_replace("path", "^file:/*", "file:///")))
+    met = named.join(decoded.withColumn("decoded", F.lit(True)), "origin", "left")
+    return met.select(*results.columns, F.when(F.col("dtype") == "image", F.coalesce("decoded", F.lit(False))).alias("decoded"))
+
+
+PROBES = "path string, n_samples long, probes array<struct<sample: long, at: long, size: long, readable: boolean>>, error string"
+
+
+def video_probes(media: DataFrame, seconds: float = SECONDS) -> DataFrame:
+    """media (path, content): what is known of the first, middle and last sample of each film."""
+
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch["path"], batch["content"]):
+                found: list = []
+                error = failure(lambda file: found.extend(film_probes(file)), "video", Reader.of(bytes(content or b""), seconds))
+                if error is None and not any(p[3] for p in found):
+                    error = "VideoReadError: no readable frames"
+                probes = [dict(zip(("sample", "at", "size", "readable"), p)) for p in found]
+                rows.append((path, found[-1][0] + 1 if found else 0, probes, error))
+            yield pd.DataFrame(rows, columns=["path", "n_samples", "probes", "error"])
+
+    return media.select("path", "content").mapInPandas(probe, PROBES)
 
 
 def validate_frame_dirs(files: DataFrame) -> DataFrame:
@@ -83,6 +130,6 @@ def validate_frame_dirs(files: DataFrame) -> DataFrame:
     w = Window.partitionBy("folder")
     placed = files.select("folder", "path").withColumn("at", F.row_number().over(w.orderBy("path")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
     picked = placed.filter("at = 0 or at = floor(n / 2) or at = n - 1").select("folder", "path").distinct()
-    probes = files.join(picked, ["folder", "path"], "left_semi").select(F.col("path"), "label", F.lit("image").alias("dtype"), "content", "folder")
-    checked = probes.mapInPandas(lambda batches: (pd.concat([next(_check(iter([b]))), b["folder"]], axis=1) for b in batches), RESULT + ", folder string")
+    probes = files.join(picked, ["folder", "path"], "left_semi").select(F.col("path"), F.col("label").cast("int").alias("label"), F.lit("image").alias("dtype"), "content", "folder")
+    checked = probes.mapInPandas(_checked(PROBERS, SECONDS, ("folder",)), RESULT + ", folder string")
     return checked.groupBy("folder", "label").agg(F.bool_and("ok").alias("ok"), F.min(F.when(~F.col("ok"), F.concat(file_name(F.col("path")), F.lit(": "), F.col("error")))).alias("error"))

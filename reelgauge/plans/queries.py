@@ -629,19 +629,43 @@ def _long(n):
     return F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0"))
 
 
-def _box(kind: str, body):
-    return F.concat(_long(F.octet_length(body) + 8), F.lit(kind).cast("binary"), body)
+def _box(kind, body):
+    return F.concat(_long(F.octet_length(body) + 8), (F.lit(kind) if isinstance(kind, str) else kind).cast("binary"), body)
+
+
+#: Signature, header and image data of a grey picture of one pixel.
+_PNG_PIXEL = "89504E470D0A1A0A0000000D49484452000000010000000108000000003A7E9B550000000A49444154789C636000000002000148AFA471"
+MDAT_AT = 20  # where the samples of a file that _film makes begin
+
+
+def _film(samples, n, late, index):
+    """An MP4: ftyp, the samples (n of one byte, in chunks of ten), and the index. The chunk places are late bytes too far on."""
+    chunks = F.ceil(n / 10).cast("long")
+    places = F.array_join(F.transform(F.when(chunks > 0, F.sequence(F.lit(0), chunks - 1)).otherwise(F.array().cast("array<bigint>")), lambda i: F.lpad(F.hex(i * 10 + MDAT_AT + late), 8, "0")), "")
+    runs = F.concat(_long(chunks * 0 + 1), _long(F.lit(1)), _long(F.lit(10)), _long(F.lit(1)))
+    tables = F.concat(_box("stsz", F.concat(_bytes("00000000"), _long(F.lit(1)), _long(n))), _box("stsc", F.concat(_bytes("00000000"), runs)), _box("stco", F.concat(_bytes("00000000"), _long(chunks), F.unhex(places))))
+    return F.concat(_box("ftyp", F.lit("isom").cast("binary")), _box("mdat", samples), _box(index, _box("trak", _box("mdia", _box("minf", _box("stbl", tables))))))
+
+
+def _probed_films(t: Bound):
+    """Films made of the documents: some tables point past the end from the middle on, some throughout, some lack samples."""
+    late = F.when(F.col("doc_id") % 7 == 0, F.col("n_chars")).when(F.col("doc_id") % 5 == 0, F.floor(F.col("n_chars") * 3 / 4)).otherwise(0)
+    text = F.rpad(F.lit("x"), F.col("n_chars").cast("int"), "x").cast("binary")
+    film = _film(text, F.when(F.col("doc_id") % 13 == 0, 0).otherwise(F.col("n_chars")), late, "moov")
+    films = t.media.filter("dtype = 'video' and n_chars >= 100").select("path", film.alias("content"))
+    probes = media.video_probes(films)
+    readable = F.size(F.filter("probes", lambda p: p["readable"]))
+    return probes.select("path", "n_samples", F.transform("probes", lambda p: p["at"]).getItem(0).alias("first_at"), F.get(F.transform("probes", lambda p: p["at"]), F.lit(2)).alias("last_at"), readable.cast("long").alias("readable"), "error")
 
 
 def _media_bytes(t: Bound):
-    """Files made of the documents: PNGs with the text as a chunk, MP4 boxes with it as data; some are cut short, some lack an index."""
+    """Files made of the documents: PNGs of one pixel with the text as a chunk, MP4s with its bytes as samples of one byte; some are cut short, some lack an index."""
     text = F.col("text").cast("binary")
     chunk = F.concat(F.lit("tEXt").cast("binary"), text)
     end = F.concat(_bytes("00000000"), F.lit("IEND").cast("binary"), _bytes("AE426082"))
-    png = F.concat(_bytes("89504E470D0A1A0A"), _long(F.octet_length(text)), chunk, _long(F.crc32(chunk)), end)
-    sizes = F.concat(F.lit("stsz").cast("binary"), _bytes("00000000" * 2), _long(F.when(F.col("doc_id") % 13 == 0, 0).otherwise(F.col("n_chars"))))
-    index = F.when(F.col("doc_id") % 17 == 0, _box("free", sizes)).otherwise(_box("moov", sizes))
-    mp4 = F.concat(_box("ftyp", F.lit("isom").cast("binary")), index, _box("mdat", text))
+    png = F.concat(_bytes(_PNG_PIXEL), _long(F.octet_length(text)), chunk, _long(F.crc32(chunk)), end)
+    n = F.when(F.col("doc_id") % 13 == 0, 0).otherwise(F.col("n_chars"))
+    mp4 = _film(text, n, F.lit(0), F.when(F.col("doc_id") % 17 == 0, "free").otherwise("moov"))
     png = F.when(F.col("doc_id") % 31 == 0, F.substring(png, 1, 30)).otherwise(png)
     files = t.named.join(t.media.select("doc_id", "path"), "doc_id")
     return files.select("doc_id", "path", "label", "dtype", F.when(F.col("dtype") == "image", png).when(F.col("dtype") == "video", mp4).otherwise(text).alias("content"))
@@ -681,7 +705,14 @@ def _streamed(t: Bound):
     return bad_media.run_to_table(bad_media.deduplicated(paths), "bad_media", f"{folder}/state", f"{folder}/out").select("path").distinct()
 
 
+_PROBED = """SELECT path, n AS n_samples, CASE WHEN n > 0 THEN 20 + late END AS first_at, CASE WHEN n > 0 THEN 20 + late + n - 1 END AS last_at,
+  CASE WHEN n = 0 THEN 0 ELSE CAST(late < n_chars AS BIGINT) + CAST(late + (n - 1) // 2 < n_chars AS BIGINT) + CAST(late + n - 1 < n_chars AS BIGINT) END AS readable,
+  CASE WHEN n = 0 THEN 'VideoMetadataError: invalid frame count' WHEN late >= n_chars THEN 'VideoReadError: no readable frames' END AS error
+FROM (SELECT path, n_chars, CASE WHEN doc_id % 13 = 0 THEN CAST(0 AS BIGINT) ELSE n_chars END AS n, CASE WHEN doc_id % 7 = 0 THEN n_chars WHEN doc_id % 5 = 0 THEN n_chars * 3 // 4 ELSE CAST(0 AS BIGINT) END AS late
+  FROM {media} WHERE dtype = 'video' AND n_chars >= 100) AS x"""
+
 _FILES = [
+    Query("video_probes", _probed_films, _PROBED),
     Query("validate_images", _validated("image"), _IMAGE_CHECK),
     Query("validate_videos", _validated("video"), _VIDEO_CHECK),
     Query("validate_all", _validated(None), f"{_IMAGE_CHECK} UNION ALL {_VIDEO_CHECK} UNION ALL SELECT path, label, dtype, false, 'ValueError: Unsupported dtype: frame' FROM {{media}} WHERE dtype = 'frame'"),
