@@ -655,7 +655,7 @@ def _probed_films(t: Bound):
     films = t.media.filter("dtype = 'video' and n_chars >= 100").select("path", film.alias("content"))
     probes = media.video_probes(films)
     readable = F.size(F.filter("probes", lambda p: p["readable"]))
-    return probes.select("path", "n_samples", F.transform("probes", lambda p: p["at"]).getItem(0).alias("first_at"), F.get(F.transform("probes", lambda p: p["at"]), F.lit(2)).alias("last_at"), readable.cast("long").alias("readable"), "error")
+    return probes.select("path", "n_samples", F.get(F.transform("probes", lambda p: p["at"]), F.lit(0)).alias("first_at"), F.get(F.transform("probes", lambda p: p["at"]), F.lit(2)).alias("last_at"), readable.cast("long").alias("readable"), "error")
 
 
 def _media_bytes(t: Bound):
