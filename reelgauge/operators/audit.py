@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import ratio
+from ..sources import files
+from ..sources.scratch import scratch_dir
 
 
 def record_counts(records: DataFrame) -> DataFrame:
@@ -106,41 +110,86 @@ def repair_plan(results: DataFrame, action: str, root: str, quarantine: str) ->
     return results.filter(~F.col("ok")).select("path", F.lit(action).alias("action"), F.when(below & (F.lit(action) == "quarantine"), target).alias("target"))
 
 
-def apply_repair(plan: DataFrame) -> DataFrame:
-    """path, outcome (reported, deleted, moved, failed), reason: does to files what repair_plan says, when the result is evaluated.
+ACTION = "action_id string, path string, action string, target string, at_source boolean, at_target boolean"
+OUTCOME = "action_id string, path string, outcome string, reason string"
+
+
+def _opened(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path)
+
+
+def _present(path: str | None) -> bool:
+    from pyarrow import fs
+
+    if path is None:
+        return False
+    try:
+        files, name = _opened(path)
+        return files.get_file_info(name).type != fs.FileType.NotFound
+    except Exception:  # what cannot be asked for fails when it is acted on
+        return False
 
-    Paths are those that pyarrow opens. A file that cannot be deleted or moved fails with its reason and stops nothing. A move whose source is gone but
-    whose target is there counts as moved, so a task may run again; a file deleted before counts as failed.
-    """
 
-    def run(batches):
-        from pyarrow import fs
-
-        for batch in batches:
-            rows = []
-            for path, action, target in zip(batch["path"], batch["action"], batch["target"]):
-                try:
-                    outcome = "reported"
-                    if action != "report":
-                        files, source = fs.FileSystem.from_uri(path)
-                    if action == "delete":
-                        files.delete_file(source)
-                        outcome = "deleted"
-                    elif action == "quarantine":
-                        if target is None:
-                            raise ValueError("not below the root")
-                        goal = fs.FileSystem.from_uri(target)[1]
-                        at_source, at_goal = (x.type != fs.FileType.NotFound for x in files.get_file_info([source, goal]))
-                        if at_source or not at_goal:
-                            files.create_dir(goal.rsplit("/", 1)[0], recursive=True)
-                            files.move(source, goal)
-                        outcome = "moved"
-                    rows.append((path, outcome, None))
-                except Exception as error:  # the reason is the result
-                    rows.append((path, "failed", f"{type(error).__name__}: {error}"))
-            yield batch.iloc[:, :0].assign(**{c: [r[i] for r in rows] for i, c in enumerate(("path", "outcome", "reason"))})
-
-    return plan.select("path", "action", "target").mapInPandas(run, "path string, outcome string, reason string")
+def _plan_actions(batches):
+    """What is there before anything is done, so that a later look can tell an action's own trace from a file that never was."""
+    for batch in batches:
+        act = batch["action"] != "report"
+        yield batch.assign(at_source=[bool(a) and _present(p) for a, p in zip(act, batch["path"])], at_target=[bool(a) and _present(t) for a, t in zip(act, batch["target"])])
+
+
+def _outcome(path: str, action: str, target: str | None, at_source: bool, at_target: bool) -> tuple[str, str | None]:
+    try:
+        if action == "report":
+            return "reported", None
+        files, source = _opened(path)
+        if action == "delete":
+            if at_source and not _present(path):
+                return "deleted", None  # by an earlier attempt at this action
+            files.delete_file(source)
+            return "deleted", None
+        if target is None:
+            raise ValueError("not below the root")
+        if (at_source or at_target) and not _present(path) and _present(target):
+            return "moved", None
+        goal = _opened(target)[1]
+        files.create_dir(goal.rsplit("/", 1)[0], recursive=True)
+        files.move(source, goal)
+        return "moved", None
+    except Exception as error:  # the reason is the result
+        return "failed", f"{type(error).__name__}: {error}"
+
+
+def _act(batches):
+    for batch in batches:
+        done = [_outcome(*row) for row in zip(*(batch[c] for c in ("path", "action", "target", "at_source", "at_target")))]
+        yield batch[["action_id", "path"]].assign(outcome=[o for o, _ in done], reason=[r for _, r in done])
+
+
+def apply_repair(plan: DataFrame, ledger: str | None = None) -> DataFrame:
+    """path, outcome (reported, deleted, moved, failed), reason: does to files what repair_plan says, once, and keeps a ledger.
+
+    Phase one writes every action, and whether its file and its target are there, before any file is touched; phase two
+    acts on what the ledger has no outcome of, and writes the outcomes. A run that was killed is run again with the same ledger:
+    the first plan holds, and a file that was there when it was planned and is gone now was deleted, or moved if it is at its
+    target, so retried and speculative tasks report the same. Paths are those that pyarrow opens. A file that
+    cannot be deleted or moved fails with its reason and stops nothing. Without a ledger's folder a new one is made in the scratch folder.
+    """
+    spark = plan.sparkSession
+    ledger = (ledger or scratch_dir(spark, "repair")).rstrip("/")
+    if not files.exists(spark, f"{ledger}/planned/_SUCCESS"):
+        actions = plan.select(F.sha2(F.concat_ws("\0", "path", "action", F.coalesce("target", F.lit(""))), 256).alias("action_id"), "path", "action", "target").dropDuplicates(["action_id"])
+        actions.mapInPandas(_plan_actions, ACTION).write.mode("overwrite").parquet(f"{ledger}/planned")
+    planned = spark.read.schema(ACTION).parquet(f"{ledger}/planned")
+    todo = planned.join(_outcomes(spark, ledger).select("action_id"), "action_id", "left_anti")
+    todo.mapInPandas(_act, OUTCOME).write.parquet(f"{ledger}/done/{uuid.uuid4().hex}")
+    return _outcomes(spark, ledger).select("path", "outcome", "reason")
+
+
+def _outcomes(spark: SparkSession, ledger: str) -> DataFrame:
+    done = [f"{ledger}/done/{n}" for n in files.names_in(spark, f"{ledger}/done") if files.exists(spark, f"{ledger}/done/{n}/_SUCCESS")]
+    return spark.read.schema(OUTCOME).parquet(*done) if done else spark.createDataFrame([], OUTCOME)
 
 
 def repair_tally(outcomes: DataFrame) -> DataFrame:

@@ -41,6 +41,14 @@ def extraction_plan(videos: DataFrame, manifest: DataFrame, saved: DataFrame, st
     return out.select("path", "expected", "saved", decision.alias("decision"), F.when(F.col("expected") > 0, F.col("reason")).alias("reason"))
 
 
+def manifest_rows(done: DataFrame, stride: int, max_frames: int | None) -> DataFrame:
+    """What the state table keeps of videos (path, frame_count, expected) that were extracted whole."""
+    return done.select(
+        F.col("path").alias("source_path"), F.col("frame_count").cast("long").alias("source_frame_count"), F.lit(stride).cast("int").alias("frame_stride"),
+        F.lit(max_frames).cast("int").alias("max_frames"), F.col("expected").cast("int").alias("saved_frame_count"),
+    )
+
+
 def extraction_status(videos: DataFrame) -> DataFrame:
     """videos: path, opened, expected, saved_now, skipped."""
     status = (

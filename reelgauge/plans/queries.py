@@ -9,6 +9,7 @@ from ..functions import values as V
 from ..operators import audit, extraction, governance, media, metrics, runs, sampling, splits
 from ..sources import artifacts, scans
 from ..sources.scratch import scratch_dir
+from ..sources.state import SnapshotLog, StateTable
 from ..streaming import bad_media
 from .bindings import Bound
 from .registry import Query
@@ -163,7 +164,21 @@ _SCALARS = [
 
 # ---------------------------------------------------------------- audit
 
+def _census_log(t: Bound):
+    """Drift of the orders of each priority along the years that they were censused in."""
+    log = SnapshotLog(t.spark, scratch_dir(t.spark, "census-log"), "o_orderpriority string, n long", ["o_orderpriority"])
+    dated = t.orders.withColumn("y", F.year("o_orderdate"))
+    for (y,) in dated.select("y").distinct().orderBy("y").collect():
+        log.add(dated.filter(F.col("y") <= y).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n")), str(y))
+    return log.history()
+
+
+_CENSUS_LOG = """SELECT o_orderpriority, CAST(y AS VARCHAR) AS taken, count(*) FILTER (WHERE year(o_orderdate) < y) AS before, count(*) FILTER (WHERE year(o_orderdate) <= y) AS after, count(*) FILTER (WHERE year(o_orderdate) = y) AS change
+FROM {orders} CROSS JOIN (SELECT DISTINCT year(o_orderdate) AS y FROM {orders}) AS years WHERE y > (SELECT min(year(o_orderdate)) FROM {orders}) GROUP BY o_orderpriority, y HAVING count(*) FILTER (WHERE year(o_orderdate) <= y) > 0"""
+
+
 _AUDIT = [
+    Query("census_drift_log", lambda t: _census_log(t), _CENSUS_LOG),
     Query(
         "record_counts", lambda t: audit.record_counts(t.media),
         """SELECT CAST(grouping(dtype) * 8 + grouping(dataset) * 4 + grouping(label) * 2 + grouping(source_split) AS BIGINT) AS level, dtype, dataset, label, source_split, count(*) AS n
@@ -403,6 +418,24 @@ def _extraction_files(t: Bound):
     return artifacts.read_extraction_manifests(t.spark, path).select("source_path", "source_frame_count", "frame_stride", "max_frames", "saved_frame_count")
 
 
+def _state_runs(t: Bound):
+    """What a second extraction plans: the first recorded what it saved, and since then every third video has grown by five frames."""
+    state = StateTable(t.spark, scratch_dir(t.spark, "extraction-state"), "source_path string, source_frame_count long, frame_stride int, max_frames int, saved_frame_count int", "source_path", buckets=16)
+    state.upsert(t.extraction_manifest)
+    videos = t.clips_in.select("path", "frame_count", "k")
+    done = extraction.extraction_plan(videos, state.read(), t.saved_frames, 5, None).filter("decision <> 'failed_metadata'")
+    state.upsert(extraction.manifest_rows(done.join(videos.select("path", "frame_count"), "path"), 5, None))
+    saved = done.select(F.col("path").alias("source_path"), F.col("expected").cast("long").alias("saved"))
+    grown = videos.withColumn("frame_count", F.col("frame_count") + F.when(F.col("k") % 3 == 0, 5).otherwise(0))
+    return extraction.extraction_plan(grown, state.read(), saved, 5, None).filter("decision <> 'skipped'")
+
+
+_STATE_RUNS = """SELECT path, CAST(CASE WHEN k % 3 = 0 THEN e + 1 ELSE e END AS INT) AS expected, e AS saved,
+  CASE WHEN e > 0 THEN 'refresh' WHEN k % 3 = 0 THEN 'extract' ELSE 'failed_metadata' END AS decision,
+  CASE WHEN e = 16 THEN 'legacy_16_frame_output' WHEN e > 0 THEN 'partial_or_mismatched_frame_count' END AS reason
+FROM (SELECT path, k, CAST(ceil(frame_count / CAST(5 AS DOUBLE)) AS BIGINT) AS e FROM {clips_in}) x WHERE k % 3 = 0 OR e = 0"""
+
+
 _FRAMES = [
     Query(
         "frame_index_single", lambda t: t.clips_in.select("path", sampling.single_index(F.col("frame_count")).alias("centre"), sampling.single_index(F.col("frame_count"), F.col("path")).alias("drawn")),
@@ -455,6 +488,7 @@ _FRAMES = [
         "extraction_manifest", lambda t: artifacts.parse_extraction_manifest(t.extraction_manifest.select(F.when(F.col("source_frame_count") % 9 == 0, "{broken").otherwise(F.to_json(F.struct("*"))).alias("value"))).select("source_path", "source_frame_count", "frame_stride", "max_frames", "saved_frame_count"),
         "SELECT source_path, source_frame_count, frame_stride, max_frames, saved_frame_count FROM {extraction_manifest} WHERE source_frame_count % 9 <> 0",
     ),
+    Query("extraction_state_runs", lambda t: _state_runs(t), _STATE_RUNS),
     Query("extraction_manifest_files", _extraction_files, "SELECT source_path, source_frame_count, frame_stride, max_frames, saved_frame_count FROM {extraction_manifest}"),
 ]
 
@@ -698,11 +732,59 @@ def _exported_report(t: Bound):
     return artifacts.read_evaluation(t.spark, path, report.schema)
 
 
+def _arrivals(t: Bound, half: int, folder: str) -> None:
+    """Half of the events as JSON files in a folder of each session, odd and even users."""
+    path = F.concat_ws("/", "event_type", "props")
+    log = t.events.filter(F.pmod("event_id", F.lit(2)) == half).select(
+        F.concat(F.lit("s"), (F.col("user_id") % 2).cast("string")).alias("source"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("ts"),
+        path.alias("path"), F.col("event_type").alias("stage"), F.lit("auto").alias("backend"), F.lit("clip").alias("mode"), F.lit(16).alias("seq_len"),
+    )
+    log.repartition(4, F.xxhash64("ts")).write.mode("append").partitionBy("source").json(folder)
+
+
 def _streamed(t: Bound):
-    events = t.spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/[e]vents.parquet")  # a pattern may name one file or a folder of parts; a plain path of a stream must be a folder
-    paths = events.select(F.col("ts").cast("timestamp").alias("ts"), F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("path"))
-    folder = scratch_dir(t.spark, "bad-media")
-    return bad_media.run_to_table(bad_media.deduplicated(paths), "bad_media", f"{folder}/state", f"{folder}/out").select("path").distinct()
+    """The events as JSON files in micro-batches, half of them before a stop of the stream and half after it: how often each path came through."""
+    arriving, out = scratch_dir(t.spark, "bad-media-in"), scratch_dir(t.spark, "bad-media-out")
+    for half in (0, 1):
+        _arrivals(t, half, arriving)
+        events = bad_media.read_log(t.spark, f"{arriving}/source=*", artifacts.BAD_MEDIA, 3).select((F.col("ts") / 1e6).cast("timestamp").alias("ts"), "path")
+        table = bad_media.run_to_table(bad_media.deduplicated(events, "36500 days"), f"bad_media_{half}", f"{out}/state", f"{out}/table")
+    return table.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _sessions(t: Bound):
+    """Two sessions that log the same paths side by side, each in micro-batches and over a restart, one of them compacted."""
+    arriving, root = scratch_dir(t.spark, "session-events"), scratch_dir(t.spark, "session-log")
+    logs = [bad_media.SessionLog(t.spark, root, name) for name in ("s0", "s1")]
+    for half in (0, 1):
+        _arrivals(t, half, arriving)
+        for log in logs:
+            log.append(bad_media.read_log(t.spark, f"{arriving}/source={log.session}", artifacts.BAD_MEDIA, 2), f"{root}-state/{log.session}")
+    logs[0].compact()
+    return bad_media.read_sessions(t.spark, root, artifacts.BAD_MEDIA).groupBy("session", "path").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _write_files(batches):
+    from pyarrow import fs
+
+    for batch in batches:
+        for path, content in zip(batch["path"], batch["content"]):
+            files, name = fs.FileSystem.from_uri(path)
+            files.create_dir(name.rsplit("/", 1)[0], recursive=True)
+            with files.open_output_stream(name) as out:
+                out.write(content)
+        yield batch[["path"]]
+
+
+def _repaired(t: Bound):
+    """What a quarantine of unreadable pictures comes to that is run twice with one ledger."""
+    root = scratch_dir(t.spark, "repair-files")
+    placed = _media_bytes(t).filter("dtype = 'image'").withColumn("path", F.concat(F.lit(f"{root}/in/"), F.col("doc_id").cast("string"), F.lit("/"), F.element_at(F.split("path", "/"), -1)))
+    placed.select("path", "content").mapInPandas(_write_files, "path string").write.parquet(f"{root}/listing")
+    written = t.spark.read.parquet(f"{root}/listing").select("path", F.lit(0).alias("label"), F.lit("image").alias("dtype"))
+    plan = audit.repair_plan(media.validate_paths(written), "quarantine", f"{root}/in", f"{root}/kept")
+    audit.apply_repair(plan, f"{root}/ledger")
+    return audit.repair_tally(audit.apply_repair(plan, f"{root}/ledger"))
 
 
 _PROBED = """SELECT path, n AS n_samples, CASE WHEN n > 0 THEN 20 + late END AS first_at, CASE WHEN n > 0 THEN 20 + late + n - 1 END AS last_at,
@@ -723,7 +805,9 @@ _FILES = [
     ),
     Query("export_predictions", _exported, "SELECT path, run, label, pred_label, prob_real FROM {predictions}", "prob_real"),
     Query("export_evaluation", _exported_report, _report_sql("dataset"), _REPORT_DOUBLES),
-    Query("stream_bad_media", _streamed, "SELECT DISTINCT path FROM {bad_media}"),
+    Query("stream_bad_media", _streamed, "SELECT DISTINCT concat_ws('/', event_type, props) AS path, CAST(1 AS BIGINT) AS n FROM {events}"),
+    Query("bad_media_sessions", _sessions, "SELECT DISTINCT 's' || CAST(user_id % 2 AS VARCHAR) AS session, concat_ws('/', event_type, props) AS path, CAST(1 AS BIGINT) AS n FROM {events}"),
+    Query("repair_ledger", _repaired, "SELECT CAST(0 AS BIGINT) AS deleted, count(*) AS moved, CAST(0 AS BIGINT) AS failed FROM {media} WHERE dtype = 'image' AND doc_id % 31 = 0"),
 ]
 
 ALL = [*_FILES, *_SCANS, *_SCALARS, *_AUDIT, *_METRICS, *_SPLITS, *_FRAMES, *_RUNS]
