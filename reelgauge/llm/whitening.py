@@ -109,7 +109,8 @@ def _covariance(groups: DataFrame, n: int, sums: list[int]) -> np.ndarray:
         for batch in batches:
             for i, row in zip(batch["i"], batch["row"]):
                 rows[i] = rows[i] + row if i in rows else np.array(row)
-        yield pd.DataFrame({"i": list(rows), "row": list(rows.values())})
+        if rows:
+            yield pd.DataFrame({"i": list(rows), "row": list(rows.values())})
 
     parts = groups.mapInPandas(multiply, "i int, row array<double>")
     spread = min(width, shuffle_partitions(groups.sparkSession))
