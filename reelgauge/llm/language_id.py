@@ -23,9 +23,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import unit_hash
+from .common import shuffle_partitions, unit_hash
 
 BUCKETS = 1 << 16
+BLOCK = 1 << 11  # buckets whose counts travel as one row
 LONGEST = 3
 FOLDS = 3
 FIT_ROWS = 6000
@@ -138,14 +139,22 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
                     own[buckets] = True
                 seen += own
                 n += 1
-        at = np.flatnonzero(seen)
-        yield pd.DataFrame({"bucket": np.r_[-1, at], "n": np.r_[n, seen[at]]})
-
-    df = np.zeros(BUCKETS, "int64")
-    rows = texts.mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    inner = rows[rows["bucket"] >= 0]
-    df[inner["bucket"].to_numpy("int64")] = inner["n"].to_numpy("int64")
-    return df, int(rows.loc[rows["bucket"] < 0, "n"].sum())
+        yield pd.DataFrame({"block": np.arange(BUCKETS // BLOCK), "n": n * (np.arange(BUCKETS // BLOCK) == 0), "counts": list(seen.reshape(-1, BLOCK))})
+
+    def add(batches):
+        n, sums = {}, {}
+        for batch in batches:
+            for b, k, own in zip(batch["block"], batch["n"], batch["counts"]):
+                n[b], sums[b] = n.get(b, 0) + k, sums.get(b, 0) + np.asarray(own)
+        if sums:
+            yield pd.DataFrame({"block": list(sums), "n": list(n.values()), "counts": list(sums.values())})
+
+    kind = "block int, n long, counts array<long>"
+    parts = texts.mapInPandas(count, kind).repartition(min(BUCKETS // BLOCK, shuffle_partitions(texts.sparkSession)), "block")
+    df, n_docs = np.zeros((BUCKETS // BLOCK, BLOCK), "int64"), 0
+    for r in parts.mapInPandas(add, kind).collect():
+        df[r.block], n_docs = r.counts, n_docs + r.n
+    return df.ravel(), n_docs
 
 
 def fit_sample(known: DataFrame, counts: dict[str, int], fit_rows: int) -> pd.DataFrame:
