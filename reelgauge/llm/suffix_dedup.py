@@ -16,7 +16,8 @@ share an anchor are one segment (the windows' starts, and LENGTH - 1 bytes more)
 
 Windows never cross documents. Null text: empty. Rows that share a doc_id are kept apart by text:
 each is cut by its own matches, and equal rows repeat each other. A null doc_id works like any other. One
-row for each row in; extra columns are ignored.
+row for each row in, none for an empty table; extra columns are ignored. A very long text is anchored whole, at about fifty times its bytes
+in memory; its segments go to shards of a bounded size.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, materialize, shuffle_partitions
+from .common import BLANKS, free_names, materialize, shuffle_partitions
 
 LENGTH = 200
 GRAM = 64
@@ -258,12 +259,19 @@ def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The wanted segments' bytes; of equal rows in a task the first gives them."""
     columns = ["anchor", "digest", "blocks", "segment"]
+    given: set[tuple[int, int]] = set()
     for batch in batches:
         rows, size = [], 0
         for t, wanted in zip(batch["text"], batch["wanted"]):
             raw = t.encode()
+            if len(given) > 200_000:
+                given.clear()
             for w in wanted:
+                if (w["anchor"], w["digest"]) in given:
+                    continue
+                given.add((w["anchor"], w["digest"]))
                 segment = raw[w["start"] : w["start"] + w["count"] + LENGTH - 1]
                 rows.append((w["anchor"], w["digest"], w["blocks"], segment))
                 size += len(segment)
@@ -297,16 +305,18 @@ def _two_shards(rows: list[tuple], x: int, y: int) -> list[tuple]:
 
 
 def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Segments sorted by anchor and pair of blocks: anchors of one block fill shards of about SHARD_BYTES, each pair of blocks of a larger anchor is solved by itself."""
+    """Segments sorted by anchor, pair of blocks and digest, equal ones once: anchors of one block fill shards of about SHARD_BYTES, each pair of blocks of a larger anchor is solved by itself."""
 
     def solve(key, rows):
         found = _two_shards(rows, *key[1:]) if key is not None and key[1] != key[2] else _one_shard(rows)
         return pd.DataFrame(found, columns=["anchor", "digest", "offset", "count"])
 
-    key, rows, size, last = None, [], 0, None
+    key, rows, size, last, before = None, [], 0, None, None
     for batch in batches:
         for anchor, digest, blocks, block, x, y, segment in zip(*(batch[c] for c in ("anchor", "digest", "blocks", "block", "x", "y", "segment"))):
             own = (anchor, x, y) if blocks > 1 else None
+            if before == (before := (anchor, x, y, block, digest)):
+                continue
             if rows and (own != key or (own is None and size > SHARD_BYTES and anchor != last)):
                 yield solve(key, rows)
                 rows, size = [], 0
@@ -351,11 +361,12 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
         lambda o: F.struct(F.least(o, F.col("block")).cast("int").alias("x"), F.greatest(o, F.col("block")).cast("int").alias("y")),
     )
     dealt = segments.withColumn("block", block).select("*", F.explode(pairs).alias("p")).select("anchor", "digest", "blocks", "block", "p.x", "p.y", "segment")
-    dealt = dealt.repartition(shuffle_partitions(texts.sparkSession), "anchor", "x", "y").sortWithinPartitions("anchor", "x", "y")
+    dealt = dealt.repartition(shuffle_partitions(texts.sparkSession), "anchor", "x", "y").sortWithinPartitions("anchor", "x", "y", "block", "digest")
     repeats = dealt.mapInPandas(_shards, _REPEATS)
     single = seen.filter("mixed and not twice").select(*ROW_KEY, "anchor", "digest", "start")
     partly = single.join(repeats, ["anchor", "digest"]).select(*ROW_KEY, (F.col("start") + F.col("offset")).alias("start"), repeats["count"].alias("count"))
-    return sure.unionByName(partly).groupBy(*ROW_KEY).agg(F.collect_list(F.struct("start", "count")).alias("runs"))
+    runs = sure.unionByName(partly).groupBy(*ROW_KEY, "start").agg(F.max("count").alias("count"))  # equal rows share theirs, so a list is no longer than a text
+    return runs.groupBy(*ROW_KEY).agg(F.collect_list(F.struct("start", "count")).alias("runs"))
 
 
 def removed_spans(n_bytes: int, runs) -> list[tuple[int, int]]:
@@ -424,10 +435,11 @@ def cut_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
             out.append(without(raw, whole_characters(raw, removed_spans(len(raw), r))).decode())
         return pd.Series(out, dtype=object)
 
+    own_id, own_hash, own_runs, text_hash = free_names(docs, "runs_id", "runs_hash", "runs_here", "text_hash")
     _, runs = _with_runs(docs, text, doc_id)
-    keyed = docs.withColumn("__text_hash", F.xxhash64(docs[text]))
-    runs = runs.select(F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__run_hash"), F.col("runs").alias("__runs"))
-    met = keyed.join(runs, keyed[doc_id].eqNullSafe(runs["__doc_id"]) & (keyed["__text_hash"] == runs["__run_hash"]), "left")
-    met = met.withColumn(text, F.when(F.col("__runs").isNull(), F.col(text)).otherwise(left(F.coalesce(F.col(text), F.lit("")), F.col("__runs"))))
-    kept = met.filter(F.col("__runs").isNull() | (F.btrim(F.col(text), F.lit(BLANKS)) != ""))
+    keyed = docs.withColumn(text_hash, F.xxhash64(docs[text]))
+    runs = runs.select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash), F.col("runs").alias(own_runs))
+    met = keyed.join(runs, keyed[doc_id].eqNullSafe(runs[own_id]) & (keyed[text_hash] == runs[own_hash]), "left")
+    met = met.withColumn(text, F.when(F.col(own_runs).isNull(), F.col(text)).otherwise(left(F.coalesce(F.col(text), F.lit("")), F.col(own_runs))))
+    kept = met.filter(F.col(own_runs).isNull() | (F.btrim(F.col(text), F.lit(BLANKS)) != ""))
     return kept.select(*docs.columns)
