@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import if_small, materialize, shuffle_partitions
+from .common import free_names, if_small, materialize, shuffle_partitions
 from .components import connected_components
 from .units import BLANK, CAPITAL, CLASSES, Texts, cut_units, text_slices
 
@@ -411,11 +411,38 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     return out.select(counted["doc_id"], "n_shingles", F.coalesce("component", counted["doc_id"]).alias("component_id"))
 
 
+def _nodes_of_repeated(again: DataFrame, named: DataFrame, doc_id: str, text: str, node: str, several: str) -> DataFrame:
+    """again with a node for each row: its id, or for ids with several texts a hash of both that is neither shared nor anybody's id."""
+    salt = 0
+    while True:
+        own = F.xxhash64(doc_id, text, F.lit(salt))
+        hashed = again.filter(several).select(own.alias("hash"), F.col(text).alias("its"))
+        shared = hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
+        taken = hashed.select("hash").join(named.select(F.col(doc_id).cast("long").alias("hash")), "hash", "left_semi")
+        if shared.unionByName(taken).isEmpty():
+            return again.withColumn(node, F.when(F.col(several), own).otherwise(F.col(doc_id).cast("long")))
+        salt += 1
+
+
 def keep_one_per_group(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs without those that reach a smaller doc_id by links; of rows that share an id the smallest text stays. A null id stays."""
-    joined = jaccard_components(docs, k, num, den, text, doc_id)
-    gone = joined.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
+    """docs without those that reach, by links, another one of a smaller id (of one id, of a smaller hash of the text).
+
+    Rows that share an id stand for themselves, by id and text; of rows equal in both one stays. A null id stays, and links with nothing.
+    """
+    node, again_id, nth, several = free_names(docs, "group_node", "repeated_id", "nth_equal", "several_texts")
     named = docs.filter(F.col(doc_id).isNotNull())
-    left = named.join(gone, named[doc_id] == gone["__gone"], "left_anti")
-    left = left.withColumn("__nth", F.row_number().over(Window.partitionBy(doc_id).orderBy(text))).filter("__nth = 1").drop("__nth")
+    many = named.groupBy(F.col(doc_id).alias(again_id)).agg(F.count(F.lit(1)).alias(nth), (F.min(F.xxhash64(text)) < F.max(F.xxhash64(text))).alias(several)).filter(F.col(nth) > 1)
+    many = if_small(materialize(many.select(again_id, several), "jaccard-repeated-ids"), 16)
+    once = named.join(many, named[doc_id] == many[again_id], "left_anti").withColumn(node, F.col(doc_id).cast("long"))
+    order = F.xxhash64(*[F.to_json(F.struct(*docs.columns))])
+    again = named.join(many, named[doc_id] == many[again_id]).withColumn(nth, F.row_number().over(Window.partitionBy(doc_id, text).orderBy(order))).filter(F.col(nth) == 1)
+    again = materialize(_nodes_of_repeated(again, named, doc_id, text, node, several).select(*docs.columns, node), "jaccard-repeated")
+    base = once.unionByName(again)
+    joined = jaccard_components(base.select(F.col(node).alias("doc_id"), F.col(text).alias("text")), k, num, den)
+    linked = joined.filter("doc_id <> component_id").select(F.col("doc_id").alias("node"), "component_id")
+    linked = materialize(linked.unionByName(linked.select(F.col("component_id").alias("node"), "component_id")).distinct(), "jaccard-linked")
+    ids = linked.join(base.select(F.col(node).alias("node"), F.col(doc_id).alias("id")), "node")
+    stays = ids.groupBy("component_id").agg(F.min(F.struct("id", "node"))["node"].alias("stays"))
+    gone = linked.join(stays, "component_id").filter("node <> stays").select("node")
+    left = base.join(gone, base[node] == gone["node"], "left_anti").select(*docs.columns)
     return left.unionByName(docs.filter(F.col(doc_id).isNull()))

@@ -9,7 +9,8 @@ The fit takes at most FIT_ROWS labelled rows of each class, picked by hash, with
 restore the classes' share among all labelled rows; it is the only bounded step. Every whole text
 is scored. Null and empty texts have no words and statistics of 0: a score like any other. Without
 rows of both classes to learn from, every score is their share (0.5 without any). A null doc_id,
-repeated rows and extra columns make no difference: one row out for each row in.
+repeated rows and extra columns make no difference: one row out for each row in, none for an empty table. A very long text is
+scored whole, at about a hundred times its words in bytes of memory.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_names
 from .labelled import held_out, training_rows
 
 BUCKETS = 1 << 14
@@ -155,4 +157,5 @@ def score_quality(docs: DataFrame, model: QualityModel, keep_at: float = KEEP_AT
 
 def keep_good(docs: DataFrame, model: QualityModel, keep_at: float = KEEP_AT, text: str = "text") -> DataFrame:
     """The rows of docs that are predicted 1, unchanged."""
-    return docs.withColumn("__score", quality_score(model)(F.col(text))).filter(F.col("__score") >= keep_at).select(*docs.columns)
+    (score,) = free_names(docs, "score_here")
+    return docs.withColumn(score, quality_score(model)(F.col(text))).filter(F.col(score) >= keep_at).select(*docs.columns)

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, split_words, unit_hash
+from .common import free_names, materialize, split_words, unit_hash
 
 FAN_IN = 64
 WEIGHTS = (5, 2, 1)
@@ -154,12 +154,13 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT,
 def take_mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
     """docs, each row as many times as the mix takes it. Rows alike in id, source and size are as good as each other: the first of them take what is taken."""
     mixed = mix_sources(docs, weights, max_repeat, text, source, doc_id)
-    alike = [F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")]
-    taken = mixed.groupBy(*alike).agg(F.sum("copies").alias("__taken"), F.count(F.lit(1)).alias("__rows")).filter("__taken > 0")
+    its_id, its_source, its_size, sums, rows, nth, copies, copy = free_names(docs, "its_id", "its_source", "its_size", "taken_in_all", "rows_alike", "nth_alike", "n_copies", "nth_copy")
+    alike = [F.col("doc_id").alias(its_id), F.col("source").alias(its_source), F.col("size").alias(its_size)]
+    taken = mixed.groupBy(*alike).agg(F.sum("copies").alias(sums), F.count(F.lit(1)).alias(rows)).filter(F.col(sums) > 0)
     size = F.size(split_words(docs[text])).cast("long")
-    met = docs.join(taken, docs[doc_id].eqNullSafe(F.col("__id")) & docs[source].eqNullSafe(F.col("__source")) & (size == F.col("__size")))
-    nth = F.row_number().over(Window.partitionBy("__id", "__source", "__size").orderBy(F.xxhash64(text)))
-    shares = lambda n: F.floor(F.col("__taken") / F.col("__rows")) + (n <= F.col("__taken") % F.col("__rows")).cast("long")
-    one = met.filter("__rows = 1").withColumn("__copies", F.col("__taken"))
-    more = met.filter("__rows > 1").withColumn("__nth", nth).withColumn("__copies", shares(F.col("__nth"))).drop("__nth").filter("__copies > 0")
-    return one.unionByName(more).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    met = docs.join(taken, docs[doc_id].eqNullSafe(taken[its_id]) & docs[source].eqNullSafe(taken[its_source]) & (size == taken[its_size]))
+    place = F.row_number().over(Window.partitionBy(its_id, its_source, its_size).orderBy(F.xxhash64(text)))
+    share = F.floor(F.col(sums) / F.col(rows)) + (F.col(nth) <= F.col(sums) % F.col(rows)).cast("long")
+    one = met.filter(F.col(rows) == 1).withColumn(copies, F.col(sums))
+    more = met.filter(F.col(rows) > 1).withColumn(nth, place).withColumn(copies, share).drop(nth).filter(F.col(copies) > 0)
+    return one.unionByName(more).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)

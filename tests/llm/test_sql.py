@@ -5,7 +5,7 @@ import pytest
 
 from reelgauge.llm.queries import ORACLE_SQL, QUERIES
 
-TABLE = {"op8_jaccard_join": "documents", "op9_quality_rules": "documents", "op10_embedding_dedup": "embeddings"}
+TABLE = {"op8_jaccard_join": "documents", "op9_quality_rules": "documents", "op10_embedding_dedup": "embeddings", "op12_collocations": "documents"}
 BASE = " ".join(f"w{i}" for i in range(40))
 TEXTS = [
     (1, BASE), (2, BASE.upper()), (3, BASE + " end"), (4, "w0 " + BASE.replace("w20", "x")), (5, None), (6, ""), (7, " \t\n"), (8, "a b"), (9, "A  b"), (None, BASE), (10, BASE), (10, "other words of the same id"),
@@ -18,7 +18,7 @@ VECTORS = [
 
 
 def written(spark, folder, name):
-    rows, schema = (TEXTS, "doc_id long, text string") if name == "documents" else (VECTORS, "vec_id long, embedding array<float>, label int")
+    rows, schema = ([(*r, None) for r in TEXTS], "doc_id long, text string, lang string") if name == "documents" else (VECTORS, "vec_id long, embedding array<float>, label int")
     spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
     return folder, f"{folder}/{name}.parquet/*.parquet"
 
