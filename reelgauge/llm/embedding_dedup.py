@@ -7,9 +7,11 @@
    picked by hash; the number of cells follows the largest label's number of classes up to MAX_CELLS, beyond which
    cells grow. Every class is indexed in its nearest cell, and visits other cells whose side a partner may lie on. Vectors
    within the angle acos(t) of x can lie beyond the plane between x's centre and another only if x is at most sin(acos(t)) from it.
-   ``exact`` visits all of those: no pair is lost, but in many dimensions that is nearly every cell. Else the difference of a pair is
-   taken to spread over as many dimensions as the points of a cell do, so that only MARGIN / sqrt(dimensions) of it points along the
-   line between two centres; where that is 1 or more, the search is exact.
+   ``exact`` visits all of those: no pair is lost, but in many dimensions that is nearly every cell. Else a share of that distance
+   is taken. It is measured on true links: QUERIES classes, picked by hash, are compared with every class of their label, and
+   the share is a tenth more than the least at which LINKS_KEPT of their links are found, both of all links and as a mean over the
+   queries. It is never below MARGIN / sqrt(dimensions), which differences need that spread over as many dimensions as the
+   points of a cell do; and at 1 the search is exact.
 3. A cell's residents and its guests (residents and visitors) are dealt into blocks of about
    BLOCK_ROWS; each pair of blocks is one task with one matrix product in double precision. It hands back per guest
    the number of links and the smallest id of its local component, never the pairs.
@@ -39,6 +41,9 @@ SAMPLE_FLOATS = 4_000_000
 CELL_ROWS = 256
 MAX_CELLS = 1024
 MARGIN = 2.5  # standard deviations of a link's difference along the line between two centres
+QUERIES = 512  # classes whose links are all found, to measure how far visits must reach
+LINKS_KEPT = 0.998
+SHARES = 200
 BLOCK_ROWS = 1024
 
 
@@ -120,6 +125,50 @@ def block_links(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return out[(out["links"] > 0) | (out["local"] != out["cid"])]
 
 
+def needed_shares(near: np.ndarray, centres: np.ndarray, home: np.ndarray, cells: np.ndarray, reach: float) -> np.ndarray:
+    """Share of the full reach at which vectors with these products with all centres visit the given cells from their homes; 0 at home."""
+    gap = np.linalg.norm(centres[cells] - centres[home], axis=1) * reach
+    i = np.arange(len(near))
+    return np.where(cells == home, 0.0, (near[i, home] - near[i, cells]) / np.maximum(gap, 1e-300))
+
+
+def measured_share(classes: DataFrame, centres: np.ndarray, threshold: float, reach: float) -> float:
+    """The share of the full reach at which LINKS_KEPT of the links of QUERIES classes are found; 0 where they have none."""
+    fits = F.octet_length("unit") == 8 * centres.shape[1]
+    asked = classes.filter(fits).orderBy(F.xxhash64("key", F.lit("query")), "key").select("grp", "cid", "unit").limit(QUERIES).collect()
+    if not asked or len(centres) < 2:
+        return 0.0
+    q = np.array([np.frombuffer(r.unit, "float64") for r in asked])
+    q_near = q @ centres.T
+    q_home, q_cid, q_grp = q_near.argmax(1), np.array([r.cid for r in asked]), np.array([r.grp for r in asked], dtype=object)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros((len(q), SHARES + 1), "int64")
+        for batch in batches:
+            for at in range(0, len(batch), BLOCK_ROWS):
+                own = batch.iloc[at : at + BLOCK_ROWS]
+                y = np.frombuffer(b"".join(own["unit"]), "float64").reshape(len(own), -1)
+                hit = (y @ q.T >= threshold) & (own["grp"].to_numpy(dtype=object)[:, None] == q_grp[None, :]) & (own["cid"].to_numpy("int64")[:, None] != q_cid[None, :])
+                i, j = np.nonzero(hit)
+                if not len(i):
+                    continue
+                near = y @ centres.T
+                home = near.argmax(1)
+                for need in (needed_shares(near[i], centres, home[i], q_home[j], reach), needed_shares(q_near[j], centres, q_home[j], home[i], reach)):
+                    np.add.at(seen, (j, np.clip(np.ceil(need * SHARES), 0, SHARES).astype("int64")), 1)
+        query, level = np.nonzero(seen)
+        yield pd.DataFrame({"query": query, "level": level, "n": seen[query, level]})
+
+    levels = classes.filter(fits).select("grp", "cid", "unit").mapInPandas(count, "query long, level long, n long").groupBy("query", "level").agg(F.sum("n").alias("n")).toPandas()
+    if not len(levels):
+        return 0.0
+    seen = np.zeros((len(q), SHARES + 1))
+    seen[levels["query"].to_numpy("int64"), levels["level"].to_numpy("int64")] = levels["n"].to_numpy(float)
+    seen = seen[seen.sum(1) > 0]
+    kept = np.minimum(seen.sum(0).cumsum() / seen.sum(), (seen.cumsum(1) / seen.sum(1, keepdims=True)).mean(0))
+    return float(np.argmax(kept >= LINKS_KEPT - 1e-12)) / SHARES
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, exact: bool = False) -> DataFrame:
     """vec_id, n_links, component_id, kept; vectors: vec_id, embedding, label. exact: visit every cell that a partner can lie in."""
     given = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].alias("embedding"), vectors["label"].cast("string").alias("label"))  # a string in every batch, null or not
@@ -133,8 +182,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, exact: boo
     sample = classes.filter(F.octet_length("unit") == (width or 0)).orderBy(F.xxhash64("key"), "key").select("unit").limit(max(1, rows)).collect()
     points = np.array([np.frombuffer(r[0], "float64") for r in sample]) if sample else np.ones((1, 1))
     centres = spherical_kmeans(points, min(k, len(points)))
-    share = 1.0 if exact else min(1.0, MARGIN / np.sqrt(spread_dimensions(points, centres)))
-    reach = share * (np.sqrt(max(0.0, 1 - threshold * threshold)) if threshold > 0 else 1.0) + 1e-9  # with room for rounding
+    full = np.sqrt(max(0.0, 1 - threshold * threshold)) if threshold > 0 else 1.0
+    share = 1.0 if exact else min(1.0, max(MARGIN / np.sqrt(spread_dimensions(points, centres)), 1.1 * measured_share(classes, centres, threshold, full)))
+    reach = share * full + 1e-9  # with room for rounding
     apart = np.linalg.norm(centres[:, None, :] - centres[None, :, :], axis=2) if len(centres) <= 256 else None
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
