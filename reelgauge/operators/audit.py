@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.values import ratio
 from ..sources import files
 from ..sources.scratch import scratch_dir
+from .quantiles import quantiles
 
 
 def record_counts(records: DataFrame) -> DataFrame:
@@ -36,20 +38,21 @@ def frame_mass(folders: DataFrame) -> DataFrame:
 
 def folder_length_stats(folders: DataFrame) -> DataFrame:
     """Saved frames per folder; both medians: between the middles, and the lower of them."""
-    return folders.groupBy("dataset").agg(
-        F.min("frames").alias("least"), F.percentile("frames", F.lit(0.5)).alias("median"),
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY frames)").cast("long").alias("lower_median"),
-        F.max("frames").alias("most"), F.avg("frames").alias("mean"),
-    )
+    stats = folders.groupBy("dataset").agg(F.min("frames").alias("least"), F.max("frames").alias("most"), F.avg("frames").alias("mean"))
+    middle = quantiles(folders, ["dataset"], "frames", [0.5]).select(F.col("dataset").alias("its"), F.get("q", F.lit(0)).alias("median"))
+    lower = quantiles(folders, ["dataset"], "frames", [0.5], discrete=True).select(F.col("dataset").alias("lower_its"), F.get("q", F.lit(0)).cast("long").alias("lower_median"))
+    met = stats.join(middle, F.col("dataset").eqNullSafe(F.col("its")), "left").join(lower, F.col("dataset").eqNullSafe(F.col("lower_its")), "left")
+    return met.select("dataset", "least", "median", "lower_median", "most", "mean")
 
 
 def numeric_distribution(df: DataFrame, value: str, groups: list[str]) -> DataFrame:
     """count, min, quartiles by linear interpolation, max, mean; zeros for no rows."""
-    x = F.col(value).cast("double")
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    stats = df.groupBy(*groups).agg(F.count(x).alias("n"), F.min(x).alias("least"), q.alias("q"), F.max(x).alias("most"), F.avg(x).alias("mean"))
-    z = F.lit(0.0)
-    return stats.select(
+    x, z = F.col(value).cast("double"), F.lit(0.0)
+    stats = df.groupBy(*groups).agg(F.count(x).alias("n"), F.min(x).alias("least"), F.max(x).alias("most"), F.avg(x).alias("mean"))
+    found = quantiles(df, groups, value, [0.25, 0.5, 0.75]).select(*[F.col(g).alias(f"its_{g}") for g in groups], "q")
+    same = [F.col(g).eqNullSafe(F.col(f"its_{g}")) for g in groups]
+    met = stats.join(found, reduce(lambda a, b: a & b, same) if same else F.lit(True), "left")
+    return met.select(
         *groups, "n", F.coalesce("least", z).alias("least"), F.coalesce(F.get("q", 0), z).alias("p25"), F.coalesce(F.get("q", 1), z).alias("median"),
         F.coalesce(F.get("q", 2), z).alias("p75"), F.coalesce("most", z).alias("most"), F.coalesce("mean", z).alias("mean"),
     )

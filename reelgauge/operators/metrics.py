@@ -112,21 +112,27 @@ def evaluation_report(predictions: DataFrame, groups: list[str]) -> DataFrame:
 def reconstruct_confusion(runs: DataFrame, reach: int = 400) -> DataFrame:
     """Confusion counts that best explain (test_acc, test_f1) with the class sizes: run_name, tp, fn, fp, tn.
 
-    Each run explodes into at most 3 * (2 * reach + 1) candidate cells; the closest in |acc| + |f1| wins, the one with
-    fewer errors, then fewer hits, among equals. Rounding is half to even.
+    At most three error counts are tried for a run. With the errors fixed accuracy is, and F1 = 2 tp / (2 tp + errors) rises with tp,
+    so the best tp is a neighbour of the one where it meets test_f1, or the end of the allowed range on that side. The
+    closest in |acc| + |f1| wins, the one with fewer errors, then fewer hits, among equals. Rounding is half to even.
     """
-    acc, f1 = F.col("test_acc"), F.col("test_f1")
+    acc, f1, p, q, errors = F.col("test_acc"), F.col("test_f1"), F.col("p"), F.col("q"), F.col("errors")
     known = runs.select("run_name", acc, f1, F.col("test_real_samples").cast("long").alias("p"), F.col("test_fake_samples").cast("long").alias("q"))
     known = known.filter("test_acc is not null and test_f1 is not null and p is not null and q is not null and p + q > 0")
-    wrong = (1.0 - acc) * (F.col("p") + F.col("q"))
-    errors = F.array_distinct(F.transform(F.array(F.bround(wrong), F.floor(wrong), F.ceil(wrong)), lambda e: F.greatest(F.lit(0), e.cast("long"))))
-    tried = known.select("*", F.explode(errors).alias("errors"))
-    guess = F.when(f1 >= 0.999999, F.col("p").cast("double")).otherwise(f1 * F.col("errors") / F.greatest(F.lit(1e-9), 2.0 * (1.0 - f1)))
-    centre = F.bround(guess).cast("long")
-    low, high = F.greatest(F.lit(0), centre - reach), F.least(F.col("p"), centre + reach)
-    cells = tried.withColumn("low", low).withColumn("high", high).filter("low <= high").select("*", F.explode(F.sequence("low", "high")).alias("tp"))
-    cells = cells.withColumn("fn", F.col("p") - F.col("tp")).withColumn("fp", F.col("errors") - F.col("fn")).withColumn("tn", F.col("q") - F.col("fp")).filter("fp >= 0 and tn >= 0")
-    got_acc, got_f1 = ratio(F.col("tp") + F.col("tn"), F.col("p") + F.col("q")), ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))
-    miss = F.abs(got_acc - acc) + F.abs(got_f1 - f1)
-    best = F.min_by(F.struct(*COUNTS), F.struct(miss, F.col("errors"), F.col("tp")))
-    return cells.groupBy("run_name").agg(best.alias("b")).select("run_name", "b.*")
+    wrong = (1.0 - acc) * (p + q)
+    each = F.array_distinct(F.transform(F.array(F.bround(wrong), F.floor(wrong), F.ceil(wrong)), lambda e: F.greatest(F.lit(0), e.cast("long"))))
+    tried = known.select("*", F.explode(each).alias("errors"))
+    meets = F.least(p.cast("double"), f1 * errors / F.greatest(F.lit(1e-9), 2.0 * (1.0 - f1)))
+    guess = F.when(f1 >= 0.999999, p.cast("double")).otherwise(f1 * errors / F.greatest(F.lit(1e-9), 2.0 * (1.0 - f1)))
+    tried = tried.withColumn("centre", F.bround(guess).cast("long")).withColumn("meets", meets)
+    low = F.greatest(F.lit(0), F.col("centre") - reach, p - errors)
+    high = F.least(p, F.col("centre") + reach, p + q - errors)
+    tried = tried.withColumn("low", low).withColumn("high", high).filter("low <= high")
+    near = F.array(F.floor("meets"), F.ceil("meets"), F.col("centre") - 1, F.col("centre"), F.col("centre") + 1)
+    allowed = F.transform(near, lambda t: F.greatest(F.col("low"), F.least(F.col("high"), t)))
+    got_acc = ratio(p + q - errors, p + q)
+    miss = lambda t: F.abs(got_acc - acc) + F.abs(ratio(2 * t, 2 * t + errors) - f1)
+    best = F.array_min(F.transform(allowed, lambda t: F.struct(miss(t).alias("miss"), errors.alias("errors"), t.alias("tp"), p.alias("p"), q.alias("q"))))
+    won = tried.select("run_name", best.alias("b")).groupBy("run_name").agg(F.min("b").alias("b")).select("run_name", "b.*")
+    fn = p - F.col("tp")
+    return won.select("run_name", "tp", fn.alias("fn"), (errors - fn).alias("fp"), (q - errors + fn).alias("tn"))

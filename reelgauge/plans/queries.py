@@ -722,7 +722,17 @@ def _folder_files(t: Bound):
 def _exported(t: Bound):
     path = scratch_dir(t.spark, "predictions")
     artifacts.write_predictions(t.predictions.select("path", "run", "label", "pred_label", "prob_real"), path)
-    return artifacts.read_predictions(t.spark, path)
+    return artifacts.read_predictions(t.spark, path, others=("path", "run")).drop("file")
+
+
+def _mixed_predictions(t: Bound):
+    """Prediction files of three headers, read by name: one has the columns in another order, one lacks the probabilities and so gives no rows."""
+    folder = scratch_dir(t.spark, "mixed-predictions")
+    orders = {"image": ("path", "label", "pred_label", "prob_real"), "video": ("prob_real", "dataset", "pred_label", "label", "path"), "frame": ("path", "label", "pred_label")}
+    for run, columns in orders.items():
+        t.predictions.filter(F.col("run") == run).select(*columns).write.option("header", True).csv(f"{folder}/{run}")
+    read = artifacts.read_predictions(t.spark, folder, "part-*.csv")
+    return read.groupBy(F.element_at(F.split("file", "/"), -2).alias("run")).agg(F.count("path").alias("n"), F.sum("label").alias("positives"), F.sum("pred_label").alias("predicted"), F.count_if(F.isnan("prob_real")).alias("nans"), F.count_if(F.col("prob_real") <= 1).alias("probable"))
 
 
 def _exported_report(t: Bound):
@@ -804,6 +814,10 @@ _FILES = [
         FROM {media} WHERE dtype = 'image') x WHERE i = 0 OR i = n // 2 OR i = n - 1 GROUP BY 1""",
     ),
     Query("export_predictions", _exported, "SELECT path, run, label, pred_label, prob_real FROM {predictions}", "prob_real"),
+    Query(
+        "load_predictions_mixed", _mixed_predictions,
+        "SELECT run, count(*) AS n, sum(label) AS positives, sum(pred_label) AS predicted, count(*) FILTER (WHERE isnan(prob_real)) AS nans, count(*) FILTER (WHERE prob_real <= 1) AS probable FROM {predictions} WHERE run <> 'frame' GROUP BY run",
+    ),
     Query("export_evaluation", _exported_report, _report_sql("dataset"), _REPORT_DOUBLES),
     Query("stream_bad_media", _streamed, "SELECT DISTINCT concat_ws('/', event_type, props) AS path, CAST(1 AS BIGINT) AS n FROM {events}"),
     Query("bad_media_sessions", _sessions, "SELECT DISTINCT 's' || CAST(user_id % 2 AS VARCHAR) AS session, concat_ws('/', event_type, props) AS path, CAST(1 AS BIGINT) AS n FROM {events}"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import parent
+from . import headed_csv
 
 TEXT_FIELDS = "run_name string, experiment_no string, category string, model_name string, dataset_scope string, loss_mode string"
 SUMMARY = TEXT_FIELDS + ", best_epoch int, best_val_f1 double, best_val_acc double, test_metrics struct<loss: double, acc: double, f1: double>"
@@ -62,9 +63,16 @@ def usable_predictions(frame: DataFrame) -> DataFrame | None:
     return frame if set(PREDICTION) <= set(frame.columns) else None
 
 
-def read_predictions(spark: SparkSession, path: str) -> DataFrame | None:
-    frame = usable_predictions(spark.read.option("header", "true").csv(path))
-    return frame and frame.withColumns({"label": F.col("label").cast("int"), "pred_label": F.col("pred_label").cast("int"), "prob_real": F.col("prob_real").cast("double")})
+def read_predictions(spark: SparkSession, path: str, name: str = "*.csv", others: tuple[str, ...] = ("path",)) -> DataFrame:
+    """Prediction files below path, each by its own header: file, the required columns as numbers and the others as text.
+
+    A file that lacks a required column gives no rows; what is no number is null, and so are other columns that a file lacks.
+    """
+    headed_csv.register(spark)
+    options = {"path": path, "name": name, "columns": ",".join([*PREDICTION, *others]), "required": ",".join(PREDICTION)}
+    rows = spark.read.format("headed_csv").options(**options).load()
+    kinds = dict(zip(PREDICTION, ("int", "int", "double")))
+    return rows.select("file", *others, *[F.trim(c).try_cast(kinds[c]).alias(c) for c in PREDICTION])
 
 
 def write_predictions(frame: DataFrame, path: str) -> None:

@@ -113,3 +113,28 @@ def test_repair_deletes_moves_and_tallies(spark, tmp_path):
     (root / "a" / "one.png").write_bytes(b"x")
     assert tuple(tally("delete")) == (1, 0, 3)
     assert [p.name for p in root.rglob("*.png")] == ["three.png"]
+
+
+def test_predictions_are_read_by_their_own_headers_in_ranges(spark, tmp_path):
+    from reelgauge.sources import headed_csv
+
+    files = {
+        "a": "label,pred_label,prob_real\n1,0,0.25\n0,0,nan\n", "b": "path,label,pred_label,prob_real\r\n\"x,1\",1,1,0.5\r\ny,oops,1,\r\n", "c": "\ufeffprob_real, label ,note,pred_label\n0.75,1\n\n0.5,0,n,1",
+        "d": "label,pred_label\n1,1\n", "e": "label,pred_label,prob_real\n", "f": "",
+    }
+    for run, text in files.items():
+        (tmp_path / run).mkdir()
+        (tmp_path / run / "predictions.csv").write_bytes(text.encode())
+    (tmp_path / "a" / "other.csv").write_text("label,pred_label,prob_real\n9,9,9\n")
+    got = {(r.file.split("/")[-2], r.path, r.label, r.pred_label, str(r.prob_real)) for r in artifacts.read_predictions(spark, str(tmp_path), "predictions.csv").collect()}
+    assert got == {("a", None, 1, 0, "0.25"), ("a", None, 0, 0, "nan"), ("b", "x,1", 1, 1, "0.5"), ("b", "y", None, 1, "None"), ("c", None, 1, None, "0.75"), ("c", None, 0, 1, "0.5")}
+    assert artifacts.read_predictions(spark, str(tmp_path / "f")).count() == 0 and artifacts.read_predictions(spark, str(tmp_path / "none")).count() == 0
+    big = tmp_path / "big.csv"
+    big.write_text("label,pred_label,prob_real\n" + "".join(f"{i % 2},1,{'0' * (i % 13)}{i}\n" for i in range(5000)))
+    headed_csv.register(spark)
+    for size in (61, 1000, 10**6):
+        df = spark.read.format("headed_csv").options(path=str(big), columns="label,prob_real", range_bytes=str(size)).load() if size > 61 else None
+        data, begin = big.read_bytes()[: 40_000], 27
+        ranges = [list(headed_csv.lines_in(lambda at, n: data[at : at + min(n, 7)], len(data), a, min(a + size, len(data)), begin)) for a in range(0, len(data), size)]
+        assert [x for r in ranges for x in r] == data[begin:].splitlines()
+        assert df is None or (df.count() == 5000 and df.agg({"prob_real": "count"}).first()[0] == 5000 and df.selectExpr("sum(cast(prob_real as long))").first()[0] == sum(range(5000)))
