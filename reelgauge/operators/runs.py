@@ -152,9 +152,16 @@ def primary_metrics(evaluations: DataFrame, summaries: DataFrame) -> DataFrame:
 
 
 def experiment_lookup(manifest: DataFrame) -> DataFrame:
-    """matches per experiment: found names its one run, ambiguous lists them."""
-    grouped = manifest.groupBy("experiment_no").agg(F.count(F.lit(1)).alias("matches"), F.array_sort(F.collect_list("run_name")).alias("names"))
-    return grouped.select("experiment_no", "matches", F.when(F.col("matches") == 1, "found").otherwise("ambiguous").alias("status"), F.concat_ws(",", "names").alias("run_names"))
+    """matches per experiment: found names its one run, ambiguous has none of its own (see experiment_candidates)."""
+    grouped = manifest.groupBy("experiment_no").agg(F.count(F.lit(1)).alias("matches"), F.min("run_name").alias("only"))
+    one = F.col("matches") == 1
+    return grouped.select("experiment_no", "matches", F.when(one, "found").otherwise("ambiguous").alias("status"), F.when(one, F.col("only")).alias("run_name"))
+
+
+def experiment_candidates(manifest: DataFrame) -> DataFrame:
+    """A row for each run of an ambiguous experiment, with the number of such runs; no group is gathered in one place."""
+    many = manifest.groupBy(F.col("experiment_no").alias("__no")).agg(F.count(F.lit(1)).alias("matches")).filter("matches > 1")
+    return manifest.join(many, F.col("experiment_no").eqNullSafe(F.col("__no"))).select("experiment_no", "run_name", "matches")
 
 
 def status_tally(jobs: DataFrame, groups: list[str]) -> DataFrame:
@@ -163,10 +170,9 @@ def status_tally(jobs: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def duplicate_results(manifest: DataFrame) -> DataFrame:
-    """Metric values that more than one run reports."""
-    return (
-        manifest.filter("test_f1 is not null").groupBy("test_f1", "best_val_f1").agg(F.count(F.lit(1)).alias("runs"), F.concat_ws(",", F.array_sort(F.collect_list("run_name"))).alias("run_names")).filter("runs > 1")
-    )
+    """Metric values that more than one run reports, with the first of these runs (duplicate_members has them all)."""
+    scored = manifest.filter("test_f1 is not null").groupBy("test_f1", "best_val_f1")
+    return scored.agg(F.count(F.lit(1)).alias("runs"), F.min("run_name").alias("first_run")).filter("runs > 1")
 
 
 def duplicate_members(manifest: DataFrame) -> DataFrame:

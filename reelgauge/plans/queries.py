@@ -500,13 +500,13 @@ _PARADIGM_ROWS = f"SELECT *, {_PARADIGM} AS paradigm FROM {{manifest}}"
 
 
 def _artefacts(t: Bound):
-    """Run folders made of the manifest: summaries, configs (some lack), histories, split summaries (some lack)."""
+    """Run folders made of the manifest: summaries, configs, histories, and split summaries of the runs that were validated."""
     m = t.manifest.withColumn("run_dir", F.concat_ws("/", F.lit("train"), "protocol", "category", F.concat(F.lit("run-"), "experiment_no", F.lit("-"), F.crc32("run_name").cast("string"))))
     summaries = m.select("run_dir", "run_name", "experiment_no", F.nullif("category", F.lit("spatial")).alias("category"), "model_name", F.lit("").alias("dataset_scope"), "loss_mode", "best_val_f1", "best_val_acc", F.struct("test_acc", "test_f1", (1 - F.col("test_acc")).alias("loss")).cast("struct<acc: double, f1: double, loss: double>").alias("test_metrics"), (F.col("test_real_samples") % 7).cast("string").alias("best_epoch"))
-    configs = m.filter("test_real_samples % 4 <> 0").select("run_dir", "run_name", "experiment_no", "category", "model_name", F.lit("all").alias("dataset_scope"), "loss_mode", "family", F.lit("some_family").alias("family_dir"), F.lit("ten").alias("epochs"), F.lit("32").alias("batch_size"), F.when(F.col("protocol") == "video", "16").otherwise("none").alias("seq_len"))
-    histories = m.filter("test_real_samples % 5 <> 0").select("run_dir", F.explode(F.sequence(F.lit(1), (F.col("test_real_samples") % 7 + 1).cast("int"))).alias("epoch"))
+    configs = m.select("run_dir", "run_name", "experiment_no", "category", "model_name", F.lit("all").alias("dataset_scope"), "loss_mode", "family", F.lit("some_family").alias("family_dir"), F.lit("ten").alias("epochs"), F.lit("32").alias("batch_size"), F.when(F.col("protocol") == "video", "16").otherwise("none").alias("seq_len"))
+    histories = m.select("run_dir", F.explode(F.sequence(F.lit(1), (F.col("test_real_samples") % 7 + 1).cast("int"))).alias("epoch"))
     sizes = F.struct((F.col("test_real_samples") + F.col("test_fake_samples")).alias("samples"), F.col("test_fake_samples").alias("fake"), F.col("test_real_samples").alias("real"))
-    split = m.filter("test_real_samples % 3 <> 0").select("run_dir", sizes.alias("train"), sizes.alias("val"), sizes.alias("test"))
+    split = m.filter("best_val_f1 is not null").select("run_dir", sizes.alias("train"), sizes.alias("val"), sizes.alias("test"))
     return summaries, configs, histories, split
 
 
@@ -516,8 +516,8 @@ def _loaded(t: Bound):
 
 
 _LOADED_SQL = """SELECT run_name, experiment_no, protocol, category, CASE WHEN family = '' THEN 'some family' ELSE family END AS family, model_name, 'all' AS dataset_scope, loss_mode, CAST(test_real_samples % 7 + 1 AS INT) AS epochs_observed,
-CAST(NULL AS INT) AS epochs_configured, 32 AS batch_size, test_acc, test_f1, CASE WHEN test_real_samples % 3 <> 0 THEN test_real_samples + test_fake_samples END AS test_samples, CASE WHEN test_real_samples % 3 <> 0 THEN test_real_samples END AS test_real_samples
-FROM {manifest} WHERE test_real_samples % 4 <> 0 AND test_real_samples % 5 <> 0"""
+CAST(NULL AS INT) AS epochs_configured, 32 AS batch_size, test_acc, test_f1, CASE WHEN best_val_f1 IS NOT NULL THEN test_real_samples + test_fake_samples END AS test_samples, CASE WHEN best_val_f1 IS NOT NULL THEN test_real_samples END AS test_real_samples
+FROM {manifest}"""
 
 
 def _manifest_csv(t: Bound):
@@ -526,18 +526,18 @@ def _manifest_csv(t: Bound):
     return artifacts.read_manifest(t.spark, path, runs.MANIFEST)
 
 
-_SAMPLES = "CASE WHEN test_real_samples % 3 <> 0 THEN test_real_samples + test_fake_samples END"
+_SAMPLES = "CASE WHEN best_val_f1 IS NOT NULL THEN test_real_samples + test_fake_samples END"
 _MANIFEST_CSV_SQL = f"""SELECT run_name, experiment_no, protocol, category, CASE WHEN family = '' THEN 'some family' ELSE family END AS family, model_name, loss_mode, 'all' AS dataset_scope, CAST(test_real_samples % 7 AS INT) AS best_epoch,
 best_val_f1, best_val_acc, test_f1, test_acc, 1 - test_acc AS test_loss, CAST(test_real_samples % 7 + 1 AS INT) AS epochs_observed, CAST(NULL AS INT) AS epochs_configured, 32 AS batch_size, CASE WHEN protocol = 'video' THEN 16 END AS seq_len,
-{_SAMPLES} AS train_samples, {_SAMPLES} AS val_samples, {_SAMPLES} AS test_samples, CASE WHEN test_real_samples % 3 <> 0 THEN test_fake_samples END AS test_fake_samples, CASE WHEN test_real_samples % 3 <> 0 THEN test_real_samples END AS test_real_samples,
-'train/' || protocol || '/' || category || '/run-' || experiment_no AS relative_dir FROM {{manifest}} WHERE test_real_samples % 4 <> 0 AND test_real_samples % 5 <> 0"""
+{_SAMPLES} AS train_samples, {_SAMPLES} AS val_samples, {_SAMPLES} AS test_samples, CASE WHEN best_val_f1 IS NOT NULL THEN test_fake_samples END AS test_fake_samples, CASE WHEN best_val_f1 IS NOT NULL THEN test_real_samples END AS test_real_samples,
+'train/' || protocol || '/' || category || '/run-' || experiment_no AS relative_dir FROM {{manifest}}"""
 
 
 def _bundles(t: Bound):
-    even = F.col("test_real_samples") % 2 == 0
+    evaluated = F.col("test_f1").isNotNull()
     bundles = t.manifest.select(
-        "run_name", "experiment_no", "protocol", "family", "model_name", F.when(even, "evaluated").otherwise("trained").alias("source_kind"), F.coalesce("test_acc", "best_val_acc").alias("acc"), F.coalesce("test_f1", "best_val_f1").alias("f1"),
-        even.alias("has_evaluation"), F.lit("all").alias("dataset_scope"), F.lit(None).cast("string").alias("dataset_tag"), "category", F.lit("clip").alias("mode"), F.lit(16).alias("seq_len"),
+        "run_name", "experiment_no", "protocol", "family", "model_name", F.when(evaluated, "evaluated").otherwise("trained").alias("source_kind"), F.coalesce("test_acc", "best_val_acc").alias("acc"), F.coalesce("test_f1", "best_val_f1").alias("f1"),
+        evaluated.alias("has_evaluation"), F.lit("all").alias("dataset_scope"), F.lit(None).cast("string").alias("dataset_tag"), "category", F.lit("clip").alias("mode"), F.lit(16).alias("seq_len"),
     )
     metric = lambda k: F.get_json_object("payload", f"$.metrics.{k}").cast("double").alias(k)
     text = lambda path: F.get_json_object("payload", f"$.{path}").alias(path.split(".")[-1])
@@ -546,8 +546,13 @@ def _bundles(t: Bound):
     return payloads.select("run_name", *[metric(k) for k in runs.METRIC_KEYS], *[text(f) for f in fields], F.col("payload").contains('"dataset_tag":null').alias("nulls_kept"))
 
 
+def _compact(t: Bound):
+    field = lambda path, kind="string": F.get_json_object("payload", f"$.{path}").cast(kind).alias(path.split(".")[-1])
+    return runs.compact_metrics(t.manifest).select("run_name", field("domain"), field("metrics.acc", "double"), field("metrics.f1", "double"), field("paths.checkpoint"), field("paths.config"))
+
+
 def _two_metric_sets(t: Bound):
-    evaluations = t.manifest.filter("test_real_samples % 2 = 0").select(F.col("run_name").alias("run"), F.lit(None).cast("double").alias("loss"), F.col("test_acc").alias("acc"), F.col("test_f1").alias("f1"), *[F.lit(0.5).alias(k) for k in runs.METRIC_KEYS[3:]])
+    evaluations = t.manifest.filter("test_f1 is not null").select(F.col("run_name").alias("run"), F.lit(None).cast("double").alias("loss"), F.col("test_acc").alias("acc"), F.col("test_f1").alias("f1"), *[F.lit(0.5).alias(k) for k in runs.METRIC_KEYS[3:]])
     summaries = t.manifest.select(F.col("run_name").alias("run"), F.lit(0.25).alias("loss"), F.col("best_val_acc").alias("acc"), F.col("best_val_f1").alias("f1"), *[F.lit(None).cast("double").alias(k) for k in runs.METRIC_KEYS[3:]])
     return runs.primary_metrics(evaluations, summaries)
 
@@ -571,22 +576,18 @@ _EXPECTED = ("config.json", "final_summary.json", "history.csv")
 
 
 def _run_files(t: Bound):
-    each = t.manifest.select(F.col("run_name").alias("run_dir"), "test_real_samples", F.explode(F.array(*[F.lit(e) for e in _EXPECTED])).alias("name"))
-    return runs.run_completeness(each.filter("name <> 'history.csv' or test_real_samples % 4 <> 0").select("run_dir", "name"), _EXPECTED)
+    each = t.manifest.select(F.col("run_name").alias("run_dir"), "best_val_f1", F.explode(F.array(*[F.lit(e) for e in _EXPECTED])).alias("name"))
+    return runs.run_completeness(each.filter("name <> 'history.csv' or best_val_f1 is not null").select("run_dir", "name"), _EXPECTED)
 
 
 def _history_rows(t: Bound):
-    return artifacts.with_history_columns(t.history.filter("epoch <= 20").withColumnRenamed("run", "run_dir"))
-
-
-def _all_history_rows(t: Bound):
     return artifacts.with_history_columns(t.history.withColumnRenamed("run", "run_dir"))
 
 
 _RUNS = [
     Query("load_runs", _loaded, _LOADED_SQL, "test_acc test_f1"),
-    Query("load_history", lambda t: _history_rows(t).select("run_dir", "epoch", "val_f1", "lr", "train_loss"), "SELECT run AS run_dir, epoch, val_f1, CAST(NULL AS DOUBLE) AS lr, CAST(NULL AS DOUBLE) AS train_loss FROM {history} WHERE epoch <= 20", "val_f1"),
-    Query("load_history_all", lambda t: _all_history_rows(t).select("run_dir", "epoch", "val_f1", "lr", "train_loss"), "SELECT run AS run_dir, epoch, val_f1, CAST(NULL AS DOUBLE) AS lr, CAST(NULL AS DOUBLE) AS train_loss FROM {history}", "val_f1"),
+    Query("load_history", lambda t: _history_rows(t).select("run_dir", "epoch", "val_f1", "lr", "train_loss"), "SELECT run AS run_dir, epoch, val_f1, CAST(NULL AS DOUBLE) AS lr, CAST(NULL AS DOUBLE) AS train_loss FROM {history}", "val_f1"),
+    Query("load_history_all", lambda t: _history_rows(t).select("run_dir", "epoch", "val_f1", "lr", "train_loss"), "SELECT run AS run_dir, epoch, val_f1, CAST(NULL AS DOUBLE) AS lr, CAST(NULL AS DOUBLE) AS train_loss FROM {history}", "val_f1"),
     Query("load_predictions", lambda t: artifacts.usable_predictions(t.predictions).select("path", "run", "label", "pred_label"), "SELECT path, run, label, pred_label FROM {predictions}"),
     Query("run_manifest", lambda t: t.manifest.orderBy(*runs.MANIFEST_ORDER), "SELECT * FROM {manifest} ORDER BY protocol, category, family, experiment_no, run_name", "test_f1 best_val_f1 test_acc best_val_acc"),
     Query("generalization_gap", lambda t: runs.generalization_gap(t.manifest).select("run_name", "gap").orderBy(F.desc("gap"), "run_name"), "SELECT run_name, best_val_f1 - test_f1 AS gap FROM {manifest} WHERE best_val_f1 IS NOT NULL AND test_f1 IS NOT NULL", "gap"),
@@ -609,17 +610,18 @@ _RUNS = [
     Query("loss_ablation", lambda t: runs.loss_ablation(t.manifest), f"SELECT category, loss_mode, best_val_f1, test_f1, CASE loss_mode WHEN 'none' THEN 1 WHEN 'weighted_ce' THEN 2 ELSE 3 END AS place FROM ({_LAST_CELL}) y", "best_val_f1 test_f1"),
     Query("loss_ablation_pivot", lambda t: runs.loss_ablation_pivot(t.manifest), f"SELECT category, max(CASE WHEN loss_mode = 'none' THEN test_f1 END) AS none_f1, max(CASE WHEN loss_mode = 'weighted_ce' THEN test_f1 END) AS weighted_ce_f1, max(CASE WHEN loss_mode = 'focal' THEN test_f1 END) AS focal_f1 FROM ({_LAST_CELL}) y GROUP BY category", "none_f1 weighted_ce_f1 focal_f1"),
     Query(
-        "ablation_missing", lambda t: runs.ablation_missing(t.manifest.filter("loss_mode <> 'focal' or category = 'spatial'")),
+        "ablation_missing", lambda t: runs.ablation_missing(t.manifest),
         """SELECT c.category, l.loss_mode FROM (VALUES ('spatial'), ('temporal')) c(category) CROSS JOIN (VALUES ('none'), ('weighted_ce'), ('focal')) l(loss_mode) WHERE NOT EXISTS (SELECT 1 FROM {manifest} m
-        WHERE (m.loss_mode <> 'focal' OR m.category = 'spatial') AND m.protocol = 'video' AND m.model_name = 'convnext_base' AND m.category = c.category AND m.loss_mode = l.loss_mode AND m.test_f1 IS NOT NULL)""",
+        WHERE m.protocol = 'video' AND m.model_name = 'convnext_base' AND m.category = c.category AND m.loss_mode = l.loss_mode AND m.test_f1 IS NOT NULL)""",
     ),
     Query(
         "primary_metrics", _two_metric_sets,
-        """SELECT run_name AS run, CAST(0.25 AS DOUBLE) AS loss, CASE WHEN test_real_samples % 2 = 0 THEN test_acc ELSE best_val_acc END AS acc, CASE WHEN test_real_samples % 2 = 0 THEN coalesce(test_f1, best_val_f1) ELSE best_val_f1 END AS f1,
-        h AS "precision", h AS recall, h AS roc_auc, h AS average_precision FROM (SELECT *, CASE WHEN test_real_samples % 2 = 0 THEN CAST(0.5 AS DOUBLE) END AS h FROM {manifest}) x""", "acc f1",
+        """SELECT run_name AS run, CAST(0.25 AS DOUBLE) AS loss, CASE WHEN test_f1 IS NOT NULL THEN test_acc ELSE best_val_acc END AS acc, coalesce(test_f1, best_val_f1) AS f1,
+        h AS "precision", h AS recall, h AS roc_auc, h AS average_precision FROM (SELECT *, CASE WHEN test_f1 IS NOT NULL THEN CAST(0.5 AS DOUBLE) END AS h FROM {manifest}) x""", "acc f1",
     ),
-    Query("experiment_lookup", lambda t: runs.experiment_lookup(t.manifest), "SELECT experiment_no, count(*) AS matches, CASE WHEN count(*) = 1 THEN 'found' ELSE 'ambiguous' END AS status, string_agg(run_name, ',' ORDER BY run_name) AS run_names FROM {manifest} GROUP BY experiment_no"),
-    Query("duplicate_results", lambda t: runs.duplicate_results(t.manifest.withColumn("best_val_f1", F.floor(F.col("best_val_f1") * 100) / 100.0)), """SELECT test_f1, best_val_f1, count(*) AS runs, string_agg(run_name, ',' ORDER BY run_name) AS run_names FROM (SELECT run_name, test_f1, floor(best_val_f1 * 100) / CAST(100 AS DOUBLE) AS best_val_f1 FROM {manifest}) m
+    Query("experiment_lookup", lambda t: runs.experiment_lookup(t.manifest), "SELECT experiment_no, count(*) AS matches, CASE WHEN count(*) = 1 THEN 'found' ELSE 'ambiguous' END AS status, CASE WHEN count(*) = 1 THEN min(run_name) END AS run_name FROM {manifest} GROUP BY experiment_no"),
+    Query("experiment_candidates", lambda t: runs.experiment_candidates(t.manifest), "SELECT * FROM (SELECT experiment_no, run_name, count(*) OVER (PARTITION BY experiment_no) AS matches FROM {manifest}) x WHERE matches > 1"),
+    Query("duplicate_results", lambda t: runs.duplicate_results(t.manifest.withColumn("best_val_f1", F.floor(F.col("best_val_f1") * 100) / 100.0)), """SELECT test_f1, best_val_f1, count(*) AS runs, min(run_name) AS first_run FROM (SELECT run_name, test_f1, floor(best_val_f1 * 100) / CAST(100 AS DOUBLE) AS best_val_f1 FROM {manifest}) m
         WHERE test_f1 IS NOT NULL GROUP BY test_f1, best_val_f1 HAVING count(*) > 1""", "test_f1 best_val_f1"),
     Query(
         "duplicate_members", lambda t: runs.duplicate_members(t.manifest.withColumn("best_val_f1", F.floor(F.col("best_val_f1") * 100) / 100.0)),
@@ -627,7 +629,7 @@ _RUNS = [
         WHERE test_f1 IS NOT NULL) x WHERE runs > 1""", "test_f1 best_val_f1",
     ),
     Query("promoted_runs", lambda t: t.manifest.filter("best_val_acc >= 0.8").select("run_name", "best_val_acc"), "SELECT run_name, best_val_acc FROM {manifest} WHERE best_val_acc >= 0.8", "best_val_acc"),
-    Query("run_completeness", _run_files, "SELECT run_name AS run_dir, 1 AS has_config, 1 AS has_final_summary, CASE WHEN test_real_samples % 4 <> 0 THEN 1 ELSE 0 END AS has_history, test_real_samples % 4 <> 0 AS complete FROM {manifest}"),
+    Query("run_completeness", _run_files, "SELECT run_name AS run_dir, 1 AS has_config, 1 AS has_final_summary, CASE WHEN best_val_f1 IS NOT NULL THEN 1 ELSE 0 END AS has_history, best_val_f1 IS NOT NULL AS complete FROM {manifest}"),
     Query("run_drift", _drift, """SELECT run_name AS run, 'loss_mode' AS field, loss_mode AS summary, 'focal' AS config FROM {manifest} WHERE test_real_samples % 6 = 0 AND loss_mode <> 'focal'
         UNION ALL SELECT run_name, 'model_name', model_name, NULL FROM {manifest} WHERE test_real_samples % 10 = 0"""),
     Query(
@@ -638,16 +640,19 @@ _RUNS = [
     Query("run_manifest_csv", _manifest_csv, _MANIFEST_CSV_SQL, "best_val_f1 best_val_acc test_f1 test_acc test_loss"),
     Query(
         "metrics_payload", _bundles,
-        f"""SELECT run_name, CAST(0.25 AS DOUBLE) AS loss, CASE WHEN even THEN test_acc ELSE best_val_acc END AS acc, CASE WHEN even THEN coalesce(test_f1, best_val_f1) ELSE best_val_f1 END AS f1, h AS "precision", h AS recall, h AS roc_auc, h AS average_precision,
-        protocol AS domain, CASE WHEN even THEN 'evaluated' ELSE 'trained' END AS source_kind, {_names_sql(_ACC, _F1)['checkpoint_name']} AS checkpoint, CASE WHEN even THEN 'test_evaluation_' || {_SANITIZED.format('run_name')} || '.json' END AS test_evaluation,
+        f"""SELECT run_name, CAST(0.25 AS DOUBLE) AS loss, CASE WHEN evaluated THEN test_acc ELSE best_val_acc END AS acc, coalesce(test_f1, best_val_f1) AS f1, h AS "precision", h AS recall, h AS roc_auc, h AS average_precision,
+        protocol AS domain, CASE WHEN evaluated THEN 'evaluated' ELSE 'trained' END AS source_kind, {_names_sql(_ACC, _F1)['checkpoint_name']} AS checkpoint, CASE WHEN evaluated THEN 'test_evaluation_' || {_SANITIZED.format('run_name')} || '.json' END AS test_evaluation,
         'all' AS dataset_scope, CAST(NULL AS VARCHAR) AS dataset_tag, category, 'clip' AS "mode", '16' AS seq_len, true AS nulls_kept
-        FROM (SELECT *, test_real_samples % 2 = 0 AS even, CASE WHEN test_real_samples % 2 = 0 THEN CAST(0.5 AS DOUBLE) END AS h FROM {{manifest}}) x""", "acc f1",
+        FROM (SELECT *, test_f1 IS NOT NULL AS evaluated, CASE WHEN test_f1 IS NOT NULL THEN CAST(0.5 AS DOUBLE) END AS h FROM {{manifest}}) x""", "acc f1",
     ),
     Query(
         "bad_media_appended", _appended,
         "SELECT path, CAST(floor(epoch(CAST(ts AS TIMESTAMP))) AS DOUBLE) AS ts, stage, detail FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY floor(epoch(CAST(ts AS TIMESTAMP))), event_id) AS rn FROM {bad_media}) x WHERE rn = 1",
     ),
-    Query("compact_metrics", lambda t: runs.compact_metrics(t.manifest)),
+    Query(
+        "compact_metrics", _compact,
+        f"""SELECT run_name, protocol AS domain, test_acc AS acc, test_f1 AS f1, {_names_sql(_ACC, _F1)['checkpoint_name']} AS checkpoint, {_names_sql(_ACC, _F1)['config_name']} AS config FROM {{manifest}}""", "acc f1",
+    ),
     Query("bad_media_log", lambda t: artifacts.first_bad_media(t.bad_media).select("path", "ts", "stage", "event_id"), "SELECT path, ts, stage, event_id FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts, event_id) AS rn FROM {bad_media}) x WHERE rn = 1"),
 ]
 
