@@ -2,10 +2,10 @@
 
 1. Every input partition is read as shards of at most SHARD_WORDS words of a language. A phrase that occurs support times
    in all occurs in some shard at least in proportion to the shard's share of the language's bytes, so each shard is mined
-   completely, length by length, at that lowered support. It hands back hashes and counts, no phrases.
+   completely, length by length, at that lowered support. It hands back the phrases' bits in a filter, and counts.
 2. A phrase that a shard leaves out occurs there less often than the shard's support. The counts handed back plus these
-   limits bound every phrase from above; what cannot reach the support is no candidate. Candidates set bits in a filter of
-   FILTER_BITS, which is all that travels to the tasks: equal bits let too much through, never too little.
+   limits bound every phrase from above; what cannot reach the support is no candidate. The filter of the candidates has FILTER_BITS
+   and is all that travels to the tasks: phrases with equal bits add up, so it lets too much through, never too little.
 3. Every shard counts the phrases that pass the filter by their words, and the sums are exact. Parts of a frequent phrase
    are frequent themselves, so the counts that the cuts need are among them.
 4. Scores, covering and ranks are joins of the frequent phrases. Products are decimals of 38 digits.
@@ -19,20 +19,23 @@ at the ends of pieces. Ties of score and count go by the phrase's bytes.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, shuffle_partitions
 
 SUPPORT = 100
 LONGEST = 5
 TOP = 2000
 COVERED_PERCENT = 100
-SHARD_WORDS = 6_000_000  # a shard of this size is mined in about 300 MB
+SHARD_WORDS = 8_000_000  # a shard of this size is mined in about 250 MB
 SHARD_VOCABULARY = 1_000_000
+BLOCK_PLACES = 500_000
+BUCKETS = 256  # counts travel as arrays, a row for each bucket of phrases of a shard
 CHUNK_BYTES = 4_000_000
 FILTER_BITS = 1 << 26
 PARTS = 64  # of a language's phrases, each of which is cut to the top first
@@ -42,12 +45,12 @@ _TABLE = bytes(_BREAK if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 3
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
-def pieces_of(raw: bytes) -> Iterator[tuple[list[bytes], int]]:
+def pieces_of(raw: bytes, chunk: int = CHUNK_BYTES) -> Iterator[tuple[list[bytes], int]]:
     """Words, with a lone 0xFF where a piece ends, and the bytes that they take: some MB at a time, up to the end of a piece."""
     raw = raw.translate(_TABLE)
     at = 0
     while at < len(raw):
-        end = len(raw) if len(raw) - at <= CHUNK_BYTES else raw.find(b"\xff", at + CHUNK_BYTES) + 1 or len(raw)
+        end = len(raw) if len(raw) - at <= chunk else raw.find(b"\xff", at + chunk) + 1 or len(raw)
         yield raw[at:end].replace(b"\xff", b" \xff ").split(), end - at
         at = end
 
@@ -57,6 +60,11 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def filter_place(hashes: np.ndarray, n_bits: int) -> np.ndarray:
+    """n_bits: a power of two."""
+    return (hashes & np.uint64(n_bits - 1)).astype("int32")
+
+
 class Shard:
     """Words of one language, numbered as they come; number 0 ends a piece."""
 
@@ -74,34 +82,46 @@ class Shard:
         self.n_bytes += n_bytes
 
     def phrases(self, longest: int, keep: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """length, hashes, counts and first places of the kept phrases of each length.
+        """length, hashes, counts and a place of the kept phrases of each length.
 
         keep(hashes, counts) says which go on. A phrase is counted only where its first and its last words but one were
-        kept. Counting compares words; hashes are names for other shards.
+        kept. Counting compares words, in blocks of phrases that begin alike; hashes are names for other shards.
         """
         import xxhash
 
-        ids = np.concatenate([*self.parts, np.zeros(1, "int32")])
-        self.ids = ids
-        word_hash = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.number), "uint64", len(self.number))
-        at = np.flatnonzero(ids)
-        key = ids[at].astype("int64")
-        before = np.zeros(len(self.number), "uint64")
-        for length in range(1, longest + 1):
-            values, first, which, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-            last = ids[at[first] + length - 1]
-            hashes = mixed(before[values // len(self.number)] if length > 1 else np.full(len(values), length, "uint64"), word_hash[last])
-            kept = keep(hashes, counts)
-            yield length, hashes[kept], counts[kept], at[first][kept]
-            if length == longest:
-                return
-            stays = kept[which]
-            at, rank = at[stays], which[stays]
-            nexts = np.flatnonzero((at[1:] == at[:-1] + 1)) if len(at) else np.empty(0, "int64")
+        self.ids = ids = np.concatenate([*self.parts, np.zeros(1, "int32")])
+        self.parts = []
+        v = len(self.number)
+        word_hash = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.number), "uint64", v)
+        counts = np.bincount(ids, minlength=v)
+        hashes = mixed(np.ones(v, "uint64"), word_hash)
+        kept = keep(hashes, counts) & (counts > 0)
+        kept[0] = False
+        place = np.zeros(v, "int32")
+        place[ids[::-1]] = np.arange(len(ids) - 1, -1, -1, dtype="int32")
+        yield 1, hashes[kept], counts[kept], place[kept]
+        before = hashes[kept]
+        at = np.flatnonzero(kept[ids]).astype("int32")
+        rank = (np.cumsum(kept, dtype="int32") - 1)[ids[at]]
+        for length in range(2, longest + 1):
+            nexts = np.flatnonzero(at[1:] == at[:-1] + 1)
             at, rank = at[nexts], rank[nexts]
-            after = ids[at + length]  # never 0: the phrase that starts one word on ends there
-            key = rank * np.int64(len(self.number)) + after
-            before = hashes
+            after = ids[at + (length - 1)]  # never 0: the phrase that starts one word on ends there
+            blocks = 1 + len(at) // BLOCK_PLACES
+            fresh = np.full(len(at), -1, "int32")
+            found, n = [], 0
+            for b in range(blocks):
+                own = np.flatnonzero(rank % blocks == b)
+                values, first, which, counts = np.unique(rank[own] * np.int64(v) + after[own], return_index=True, return_inverse=True, return_counts=True)
+                hashes = mixed(before[values // v], word_hash[values % v])
+                kept = keep(hashes, counts)
+                fresh[own] = np.where(kept, n + np.cumsum(kept) - 1, -1)[which]
+                found.append((hashes[kept], counts[kept], at[own[first[kept]]]))
+                n += int(kept.sum())
+            before, counts, place = (np.concatenate(x) for x in zip(*found))
+            yield length, before, counts, place
+            stays = fresh >= 0
+            at, rank = at[stays], fresh[stays]
 
     def words_at(self, places: np.ndarray, length: int) -> list[str]:
         names = list(self.number)
@@ -109,7 +129,7 @@ class Shard:
         return [b" ".join([names[i] for i in row]).decode() for row in grid.tolist()]
 
 
-def shards(batches: Iterator[pd.DataFrame], give: Callable[[str, Shard], pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def shards(batches: Iterator[pd.DataFrame], give: Callable[[str, Shard], pd.DataFrame], shard_words: int) -> Iterator[pd.DataFrame]:
     """One Shard a language is open at a time; together they stay below a shard's limits."""
     own: dict[str, Shard] = {}
     n_words = n_names = 0
@@ -120,7 +140,7 @@ def shards(batches: Iterator[pd.DataFrame], give: Callable[[str, Shard], pd.Data
                 names = len(shard.number)
                 shard.add(words, n_bytes)
                 n_words, n_names = n_words + len(words), n_names + len(shard.number) - names
-                if n_words >= SHARD_WORDS or n_names >= SHARD_VOCABULARY:
+                if n_words >= shard_words or n_names >= SHARD_VOCABULARY:
                     largest = max(own, key=lambda x: own[x].n)
                     shard = own.pop(largest)
                     n_words, n_names = n_words - shard.n, n_names - len(shard.number) + 1
@@ -133,67 +153,102 @@ def _texts(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return docs.select(F.coalesce(docs[lang].cast("string"), F.lit("und")).alias("lang"), F.coalesce(docs[text], F.lit("")).alias("text"))
 
 
-def candidate_filter(mined: DataFrame, support: int) -> bytes:
-    """The bits of all phrases that can reach the support; at most FILTER_BITS / 8 bytes come to the driver."""
-    spare = mined.filter("hash is null").groupBy("lang").agg(F.sum("gain").alias("spare"))
-    most = mined.filter("hash is not null").groupBy("lang", "hash").agg(F.sum("gain").alias("gain"))
-    able = most.join(spare, "lang").filter(F.col("gain") + F.col("spare") >= support)
-    place = F.pmod(F.col("hash"), F.lit(FILTER_BITS))
-    bits = able.select(F.shiftright(place, 5).alias("word"), F.expr("shiftleft(1L, cast(pmod(hash, 32) as int))").alias("bit"))
-    out = np.zeros(FILTER_BITS // 32, "<u4")
-    rows = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out[rows["word"].to_numpy("int64")] = rows["bits"].to_numpy("int64").astype("<u4")
-    return out.tobytes()
+def _by_key(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, Iterator]]:
+    """Rows of a partition sorted by keys, as groups."""
+    rows = (row for batch in batches for row in batch.itertuples(index=False))
+    for key, own in groupby(rows, lambda row: tuple(getattr(row, k) for k in keys)):
+        yield key, own
+
+
+def candidate_filter(mined: DataFrame, support: int, n_bits: int) -> bytes:
+    """The bits of all phrases that can reach the support; n_bits / 8 bytes come to the driver."""
+    spare = {r.lang: r.spare for r in mined.filter("bucket < 0").groupBy("lang").agg(F.sum(F.get("gains", F.lit(0))).alias("spare")).collect()}
+    span = max(8, n_bits // BUCKETS)
 
+    def bits(batches):
+        for (bucket,), rows in _by_key(batches, ["bucket"]):
+            able = np.zeros(span, bool)
+            for lang, own in groupby(rows, lambda row: row.lang):
+                total = np.zeros(span, "int64")
+                for row in own:
+                    total[np.asarray(row.places) - bucket * span] += np.asarray(row.gains)  # places are distinct within a row
+                able |= (total > 0) & (total + spare[lang] >= support)
+            yield pd.DataFrame({"bucket": [bucket], "bits": [np.packbits(able, bitorder="little").tobytes()]})
 
-def phrase_counts(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, text: str = "text", lang: str = "lang") -> DataFrame:
+    dealt = mined.filter("bucket >= 0").repartition(min(BUCKETS, shuffle_partitions(mined.sparkSession)), "bucket").sortWithinPartitions("bucket", "lang")
+    out = bytearray(max(n_bits, 8) // 8)
+    for r in dealt.mapInPandas(bits, "bucket int, bits binary").collect():
+        out[r.bucket * span // 8 : (r.bucket + 1) * span // 8] = r.bits
+    return bytes(out)
+
+
+def phrase_counts(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, text: str = "text", lang: str = "lang", shard_words: int = SHARD_WORDS, filter_bits: int = FILTER_BITS) -> DataFrame:
     """lang, phrase, size (words), f: every phrase of 1 to longest words with f >= support; and a row per lang with null phrase, size 0 and f the number of words."""
     spark, texts = docs.sparkSession, _texts(docs, text, lang)
     shares = {r.lang: max(1, r.n) for r in texts.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
-    wanted = -(-sum(shares.values()) // (SHARD_WORDS * 5))  # words of four letters and a blank: fewer, larger shards lower the support less
+    wanted = -(-sum(shares.values()) // (shard_words * 5))  # words of four letters and a blank: fewer, larger shards lower the support less
     texts = texts.coalesce(max(1, wanted))
 
     def mine(batches):
         def give(name, shard):
             least = max(1, -(-support * shard.n_bytes // shares[name]))
-            rows = [pd.DataFrame({"hash": pd.array(h.view("int64"), "Int64"), "gain": c - (least - 1)}) for _, h, c, _ in shard.phrases(longest, lambda h, c: c >= least)]
-            rows.append(pd.DataFrame({"hash": pd.array([None], "Int64"), "gain": [least - 1]}))
-            return pd.concat(rows).assign(lang=name)[["lang", "hash", "gain"]]
+            hashes, counts = (np.concatenate(x) for x in zip(*((h, c) for _, h, c, _ in shard.phrases(longest, lambda h, c: c >= least))))
+            place, which = np.unique(filter_place(hashes, filter_bits), return_inverse=True)
+            gain = np.bincount(which, counts - (least - 1), len(place)).astype("int64")
+            bucket, starts = np.unique(place // max(8, filter_bits // BUCKETS), return_index=True)
+            rows = {"bucket": [-1, *bucket], "places": [[0], *np.split(place, starts[1:])], "gains": [[least - 1], *np.split(gain, starts[1:])]}
+            return pd.DataFrame({"lang": name} | (rows if len(place) else {c: v[:1] for c, v in rows.items()}))
 
-        return shards(batches, give)
+        return shards(batches, give, shard_words)
 
-    mined = materialize(texts.mapInPandas(mine, "lang string, hash long, gain long"), "collocation-shards")
-    bits = spark.sparkContext.broadcast(candidate_filter(mined, support))
+    mined = materialize(texts.mapInPandas(mine, "lang string, bucket int, places array<int>, gains array<long>"), "collocation-shards")
+    bits = spark.sparkContext.broadcast(candidate_filter(mined, support, filter_bits))
 
     def count(batches):
-        own = np.frombuffer(bits.value, "<u4")
+        own = np.frombuffer(bits.value, "u1")
 
         def passes(hashes, _):
-            place = np.mod(hashes.view("int64"), FILTER_BITS)
-            return (own[place >> 5] >> (place & 31).astype("u4")) & np.uint32(1) == 1
+            place = filter_place(hashes, filter_bits)
+            return (own[place >> 3] >> (place & 7).astype("u1")) & np.uint8(1) == 1
 
         def give(name, shard):
-            rows = [pd.DataFrame({"phrase": shard.words_at(at, length), "size": length, "f": c}) for length, _, c, at in shard.phrases(longest, passes)]
-            n_words = int(np.count_nonzero(shard.ids))
-            rows.append(pd.DataFrame({"phrase": pd.Series([None], dtype=object), "size": 0, "f": [n_words]}))
-            return pd.concat(rows).assign(lang=name)[["lang", "phrase", "size", "f"]]
-
-        return shards(batches, give)
-
-    counted = texts.mapInPandas(count, "lang string, phrase string, size int, f long")
-    summed = counted.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f"))
-    return materialize(summed.filter((F.col("f") >= support) | (F.col("size") == 0)), "collocation-counts")
+            rows = [([-1], [[""]], [[0]])]
+            for length, hashes, counts, at in shard.phrases(longest, passes):
+                bucket = (hashes >> np.uint64(40)).astype("int64") % BUCKETS
+                order = np.argsort(bucket, kind="stable")
+                own, starts = np.unique(bucket[order], return_index=True)
+                if len(own):
+                    phrases = np.array(shard.words_at(at[order], length), dtype=object)
+                    rows.append((own, np.split(phrases, starts[1:]), np.split(counts[order], starts[1:])))
+            rows[0][2][0][0] = int(np.count_nonzero(shard.ids))
+            bucket, phrases, counts = ([x for r in rows for x in r[i]] for i in range(3))
+            return pd.DataFrame({"lang": name, "bucket": bucket, "phrases": phrases, "counts": counts})
+
+        return shards(batches, give, shard_words)
+
+    def add(batches):
+        for (name, bucket), rows in _by_key(batches, ["lang", "bucket"]):
+            total: dict[str, int] = {}
+            for row in rows:
+                for phrase, f in zip(row.phrases, row.counts):
+                    total[phrase] = total.get(phrase, 0) + int(f)
+            found = [(name, None, 0, total[""])] if bucket < 0 else [(name, p, p.count(" ") + 1, f) for p, f in total.items() if f >= support]
+            yield pd.DataFrame(found, columns=["lang", "phrase", "size", "f"])
+
+    counted = texts.mapInPandas(count, "lang string, bucket int, phrases array<string>, counts array<long>")
+    dealt = counted.repartition(shuffle_partitions(spark), "lang", "bucket").sortWithinPartitions("lang", "bucket")
+    return materialize(dealt.mapInPandas(add, "lang string, phrase string, size int, f long"), "collocation-counts")
 
 
 def collocations(
-    docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, top: int = TOP, covered_percent: int = COVERED_PERCENT, text: str = "text", lang: str = "lang"
+    docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, top: int = TOP, covered_percent: int = COVERED_PERCENT, text: str = "text", lang: str = "lang", **sizes: int
 ) -> DataFrame:
-    """lang, rank, phrase, a, l, r, n, score: each language's best phrases of 2 to longest words.
+    """lang, rank, phrase, a, l, r, n, score: each language's best phrases of 2 to longest words. sizes: shard_words and filter_bits of phrase_counts.
 
     score = floor(1000 * a * n / (l * r)) at the cut where that is least (the first of equal ones). A phrase that lies
     within a longer one with covered_percent of its occurrences is left out.
     """
-    known = phrase_counts(docs, support, longest, text, lang)
+    known = phrase_counts(docs, support, longest, text, lang, **sizes)
     totals = known.filter("size = 0").select("lang", F.col("f").alias("n"))
     parts = known.filter("size > 0").select("lang", F.col("phrase").alias("part"), F.col("f").alias("part_f"))
     found = known.filter("size > 1").select("lang", "phrase", "size", F.col("f").alias("a"), F.split("phrase", " ").alias("w"))
