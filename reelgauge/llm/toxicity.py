@@ -2,22 +2,23 @@
 
 The kernel of two words sums over their common subsequences of ``ORDER`` letters, gaps allowed,
 each weighted by DECAY to the power of the stretches it spans, and is normed to 1 for equal words; an
-inserted or dropped character thus lowers it only a little; the normed value is squared, and 0 for words that
-share few letter pairs. A sentence compares with a landmark by
-its best unit: its words (lower case, punctuation off) and the heads of words, and letters set apart by blanks put
-together. Landmarks are heads that a family of words shares and words that mark toxic training documents, by
-presence or by use twice or more in one document, unlike one another. Multiplied by K_ZZ^-1/2 the comparisons are the Nystroem features of a sentence, on which a
-linear machine (squared hinge loss) is trained: against the sentences of clean documents stands
-from each toxic document the sentence that the machine finds worst, re-picked in each round, and
-clean sentences with a landmark put in that has a strange or a doubled letter (landmarks that clean documents hold too are not). A document has two
-scores, each mapped to 0..1 by a logistic fit: its worst sentence, and the sum of the best kernels of all its units, so that
-words which clean documents hold now and then count by their repetition. The larger one is its score.
-
-The fit takes at most FIT_ROWS labelled rows of each class, picked by hash; of their clean sentences at most FIT_SENTENCES,
-drawn at random, stand against the toxic ones in the sentence machine (the worst sentence of every clean document stands there in any case). Nothing else is bounded. Every whole text is scored; labels, lang, source and doc_id are no inputs. Null and empty
-texts have no sentence and score as one without any likeness. Without rows of both classes to
+inserted or dropped character thus lowers it only a little; the normed value is squared. A text is the bag of its
+units: words (lower case, punctuation off), the heads of words, and letters set apart by blanks put together.
+Landmarks are heads that a family of words shares and words that mark toxic training documents, by
+presence or by use twice or more in one document, unlike one another. With each landmark a text has two values: its
+best kernel, and the logarithm of one more than the sum of its kernels, so that words which clean texts hold
+now and then count by their repetition. Both, multiplied by K_ZZ^-1/2, are the Nystroem features of the text. One linear machine (squared hinge
+loss) is trained on them: labelled documents, the sentences of clean documents that are like a landmark, and insults with a strange or a
+doubled letter, of landmarks that clean documents hardly hold. A logistic fit maps its value to 0..1.
+
+K_ZZ is the whole kernel, so it is positive semidefinite. For a text only kernels of FLOOR (best) and HIT (sums) or more count,
+and they are computed where the word has SHARED of the landmark's letter pairs.
+
+The fit takes at most FIT_ROWS labelled rows of each class, picked by hash, chooses at most LANDMARKS landmarks of them and draws at most FIT_SENTENCES
+of their sentences. Nothing else is bounded. Every whole text is scored; labels, lang, source and doc_id are no inputs. Null and empty
+texts have no unit and score as one without any likeness. Without rows of both classes to
 learn from, every score is 0. A null doc_id, repeated rows and extra columns make no difference:
-one row out for each row in.
+one row out for each row in, none for an empty table. A very long text is scored whole, at about a hundred bytes a word.
 """
 
 from __future__ import annotations
@@ -42,13 +43,16 @@ HEADS = range(3, 9)  # lengths of the heads of words that are counted as familie
 SURE = 9.0  # least log likelihood gain of a landmark over the share of toxic documents
 COPIES = 8  # documents with the same least hash of words of this many letters count once for the choice
 OFTENER = 4.0  # and how much oftener toxic documents hold it than clean ones
-HIT = 0.6  # kernels from here on add to a document's sum
+FLOOR = 0.5  # kernels from here on count as a text's best
+HIT = 0.6  # and from here on add to its sum
+SHARED = 0.4
+RIDGE = 1.0
 UNLIKE = 0.7  # a landmark's kernel with those chosen before it stays below this
 CLEAN_LANDMARKS = 0
 POWER = 2  # an integer power of a kernel is a kernel; it sets near words further off from chance likeness
 FIT_ROWS = 1000
-HARD = 10.0  # weight of the sentence of each clean document that the last round found worst
 FIT_SENTENCES = 60_000
+SENTENCE_WEIGHT = 0.1  # of a sentence or a disguised landmark, in documents
 TOXIC_AT = 0.5
 WINDOW = 24  # longer units are compared by overlapping windows of this many characters
 CACHED_UNITS = 150_000
@@ -124,7 +128,7 @@ class WordKernel:
     A kernel is computed where the word has SHARED of the landmark's letter pairs (at distance one or two); elsewhere it counts as 0.
     """
 
-    def __init__(self, landmarks: list[str], order: int = ORDER, decay: float = DECAY, shared: float = 0.4):
+    def __init__(self, landmarks: list[str], order: int = ORDER, decay: float = DECAY, shared: float = SHARED):
         self.landmarks, self.order, self.decay = landmarks, order, decay
         if not landmarks:
             return
@@ -178,18 +182,17 @@ class WordKernel:
 
 
 class ToxicityModel:
-    """slope and shift map the worst sentence, sum_slope and sum_shift the log of the sum of best kernels."""
+    """weights: of the best kernels and of the logarithms of sums, landmark by landmark; slope and shift map the machine's value."""
 
-    def __init__(self, landmarks: list[str], whiten: np.ndarray, weights: np.ndarray, bias: float, slope: float, shift: float, sum_slope: float = 0.0, sum_shift: float = -30.0):
-        self.landmarks, self.weights, self.bias, self.slope, self.shift = landmarks, whiten @ weights, bias, slope, shift
-        self.sum_slope, self.sum_shift = sum_slope, sum_shift
+    def __init__(self, landmarks: list[str], weights: np.ndarray, bias: float, slope: float, shift: float):
+        self.landmarks, self.weights, self.bias, self.slope, self.shift = landmarks, weights, bias, slope, shift
         self._reset()
 
     def _reset(self):
         self.kernel, self.tokens, self.forms, self.matrix, self.used = None, {}, {}, None, 0
 
     def __getstate__(self):
-        return {k: getattr(self, k) for k in ("landmarks", "weights", "bias", "slope", "shift", "sum_slope", "sum_shift")}
+        return {k: getattr(self, k) for k in ("landmarks", "weights", "bias", "slope", "shift")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -216,40 +219,31 @@ class ToxicityModel:
             best = np.maximum.reduceat(rows, np.r_[0, np.cumsum(counts)[:-1]])
             while self.used + len(todo) > len(self.matrix):
                 self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
-            self.matrix[self.used : self.used + len(todo)] = best
+            self.matrix[self.used : self.used + len(todo)] = np.where(best >= FLOOR, best, 0)
             self.forms.update(zip(todo, range(self.used, self.used + len(todo))))
             self.used += len(todo)
         self.tokens.update((t, self.forms[f]) for t, f in zip(new, forms))
 
-    def sentence_rows(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-        """Per text, the best kernels of each of its sentences: (sentences, landmarks); and the sum of the best kernels of its units."""
-        cut = [[u for u in (sentence_units(s) for s in SENTENCE.split(t)) if u] for t in texts]
-        self.likeness([u for sentences in cut for u in sentences])
-        best = self.matrix[: self.used].max(1)
-        best[best < HIT] = 0
-        out, sums = [], np.zeros(len(texts))
-        for i, sentences in enumerate(cut):
-            if not sentences:
-                out.append(np.zeros((0, len(self.landmarks)), "float32"))
-                continue
-            at = np.fromiter(map(self.tokens.__getitem__, chain.from_iterable(sentences)), "int64")
-            sums[i] = best[at].sum(dtype=float)
-            starts = np.r_[0, np.cumsum([len(s) for s in sentences])[:-1]]
-            parts = []
-            for a in range(0, len(starts), 512):  # a very long text goes in runs of sentences
-                lo = starts[a]
-                hi = starts[a + 512] if a + 512 < len(starts) else len(at)
-                parts.append(np.maximum.reduceat(self.matrix[at[lo:hi]], starts[a : a + 512] - lo))
-            out.append(np.concatenate(parts))
-        return out, sums
+    def values(self, texts: list[str]) -> np.ndarray:
+        """Per text its best kernels, and the logarithms of the sums: (texts, 2 * landmarks)."""
+        cut = [sentence_units(t) for t in texts]
+        self.likeness(cut)
+        like = self.matrix[: self.used].any(1)
+        n = len(self.landmarks)
+        out = np.zeros((len(texts), 2 * n))
+        for i, units in enumerate(cut):
+            at = np.fromiter(map(self.tokens.__getitem__, units), "int64", len(units))
+            hits = self.matrix[at[like[at]]] if len(at) else self.matrix[:0]
+            if len(hits):
+                out[i, :n] = hits.max(0)
+                out[i, n:] = np.log1p(np.where(hits >= HIT, hits, 0).sum(0, dtype=float))
+        return out
 
     def score(self, texts: list[str]) -> np.ndarray:
         if not self.landmarks:
             return np.zeros(len(texts))
-        rows, sums = self.sentence_rows(texts)
-        worst = np.array([(r @ self.weights).max(initial=0.0 if not len(r) else -np.inf) + self.bias for r in rows], float)
-        either = np.maximum(self.slope * worst + self.shift, self.sum_slope * np.log1p(sums) + self.sum_shift)
-        return 1 / (1 + np.exp(-np.clip(either, -30, 30)))
+        value = self.values(texts) @ self.weights + self.bias
+        return 1 / (1 + np.exp(-np.clip(self.slope * value + self.shift, -30, 30)))
 
 
 def _slices(texts: list[str], most: int = 3_000_000) -> Iterator[list[str]]:
@@ -317,7 +311,7 @@ def disguised(word: str) -> list[str]:
     return [v for i in range(1, len(word)) for v in (f"{word[:i]}0{word[i:]}", word[:i] + word[i - 1 :])]
 
 
-def _linear_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, rounds: int = 25) -> tuple[np.ndarray, float]:
+def _linear_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RIDGE, rounds: int = 25) -> tuple[np.ndarray, float]:
     """Squared hinge loss by Newton steps over the rows inside the margin."""
     x1 = np.c_[x, np.ones(len(x))]
     w = np.zeros(x1.shape[1])
@@ -345,44 +339,33 @@ def _logistic(f: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, fl
     return float(w[0]), float(w[1])
 
 
-def fit_rows(texts: list[str], y: np.ndarray, rounds: int = 4) -> ToxicityModel:
+def fit_rows(texts: list[str], y: np.ndarray) -> ToxicityModel:
     landmarks, marked = choose_landmarks(texts, y) if len(set(y)) == 2 else ([], [])
     if not landmarks:
-        return ToxicityModel([], np.zeros((0, 0)), np.zeros(0), 0.0, 1.0, 0.0)
-    alone = np.array([z in marked or not marked for z in landmarks])  # one use says much; the others count by the sum only
-    kzz = WordKernel(landmarks).rows(landmarks).astype(float)[np.ix_(alone, alone)]
+        return ToxicityModel([], np.zeros(0), 0.0, 1.0, 0.0)
+    whole = WordKernel(landmarks, shared=0.0)
+    kzz = whole.rows(landmarks).astype(float)
     values, vectors = np.linalg.eigh((kzz + kzz.T) / 2)
     keep = values > 1e-6
-    whiten = np.zeros((len(landmarks), keep.sum()))
-    whiten[alone] = vectors[:, keep] / np.sqrt(values[keep])
-    probe = ToxicityModel(landmarks, whiten, np.zeros(keep.sum()), 0.0, 1.0, 0.0)
-    parts = [probe.sentence_rows(part) for part in _slices(texts)]
-    rows = [r for part, _ in parts for r in part]
-    sums = np.log1p(np.concatenate([s for _, s in parts]))
-    features = [r @ whiten for r in rows]
-    toxic = [f for f, label in zip(features, y) if label == 1 and len(f)]
-    start = [r[:, alone] for r, label in zip(rows, y) if label == 1 and len(r)]
-    clean = np.concatenate([f for f, label in zip(features, y) if label == 0 and len(f)] or [np.zeros((1, whiten.shape[1]))])
-    if len(clean) > FIT_SENTENCES:
-        clean = clean[np.random.default_rng(3).permutation(len(clean))[:FIT_SENTENCES]]
-    picks = [int(r.max(1).argmax()) for r in start]
-    gapped = WordKernel(landmarks).rows([w for z, own in zip(landmarks, alone) if own for w in disguised(z)])
-    plain = np.concatenate([r for r, label in zip(rows, y) if label == 0 and len(r)] or [np.zeros((1, len(landmarks)), "float32")])
-    around = plain[np.random.default_rng(5).integers(0, len(plain), len(gapped))]
-    gapped = np.maximum(gapped, around) @ whiten  # each disguised landmark inside a clean sentence
-    spared = [f for f, label in zip(features, y) if label == 0 and len(f)]
-    hard = np.zeros((0, whiten.shape[1]))
-    for _ in range(rounds):
-        positive = np.concatenate([np.stack([f[i] for f, i in zip(toxic, picks)]) if toxic else np.zeros((0, whiten.shape[1])), gapped])
-        x = np.r_[positive, clean, hard]
-        target = np.r_[np.ones(len(positive)), -np.ones(len(clean) + len(hard))]
-        weight = np.r_[np.full(len(positive), len(clean) / max(1, len(positive)) / 4), np.ones(len(clean)), np.full(len(hard), HARD)]
-        w, b = _linear_svm(x, target, np.maximum(weight, 1e-3))
-        picks = [int((f @ w).argmax()) for f in toxic]
-        hard = np.stack([f[int((f @ w).argmax())] for f in spared]) if spared else hard
-    worst = np.array([(f @ w).max(initial=0.0 if not len(f) else -np.inf) + b for f in features])
-    slope, shift = _logistic(worst, y)
-    return ToxicityModel(landmarks, whiten, w, b, slope, shift, *_logistic(sums, y))
+    root = vectors[:, keep] / np.sqrt(values[keep])
+    n = len(landmarks)
+    nystroem = lambda v: np.c_[v[:, :n] @ root, v[:, n:] @ root]
+    probe = ToxicityModel(landmarks, np.zeros(2 * n), 0.0, 1.0, 0.0)
+    documents = np.concatenate([probe.values(part) for part in _slices(texts)])
+    sentences = [s for t, label in zip(texts, y) if label == 0 for s in SENTENCE.split(t) if s.strip()]
+    if len(sentences) > FIT_SENTENCES:
+        sentences = [sentences[i] for i in np.random.default_rng(3).permutation(len(sentences))[:FIT_SENTENCES]]
+    clean = np.concatenate([probe.values(part) for part in _slices(sentences)] or [np.zeros((0, 2 * n))])
+    clean = clean[clean.any(1)]
+    kernels = whole.rows([w for z in marked for w in disguised(z)]).astype(float).reshape(-1, n)
+    gapped = np.c_[np.where(kernels >= FLOOR, kernels, 0), np.log1p(np.where(kernels >= HIT, kernels, 0))]
+    x = nystroem(np.r_[documents, clean, gapped])
+    target = np.r_[np.where(y == 1, 1.0, -1.0), -np.ones(len(clean)), np.ones(len(gapped))]
+    weight = np.r_[np.ones(len(y)), np.full(len(clean) + len(gapped), SENTENCE_WEIGHT)]
+    w, b = _linear_svm(x, target, weight)
+    slope, shift = _logistic(nystroem(documents) @ w + b, y)
+    r = root.shape[1]
+    return ToxicityModel(landmarks, np.r_[root @ w[:r], root @ w[r:]], b, slope, shift)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = FIT_ROWS, label: str = "toxic") -> ToxicityModel:
