@@ -152,14 +152,40 @@ def write_token_files(
     )
 
 
-def _array(filesystem, path: str, dtype: str) -> np.ndarray:
-    """The whole file as an array: mapped if it lies on a mounted folder, else read."""
-    from pyarrow import fs
+class Numbers:
+    """A flat file of numbers, of which ranges are taken: mapped if it lies on a mounted folder, else read range by range."""
+
+    def __init__(self, filesystem, path: str, dtype: str):
+        from pyarrow import fs
+
+        self.dtype, self.file, self.mapped = np.dtype(dtype), None, None
+        if isinstance(filesystem, fs.LocalFileSystem):
+            self.mapped = np.memmap(path, dtype, "r") if os.path.getsize(path) else np.empty(0, dtype)
+        else:
+            self.file = filesystem.open_input_file(path)
+
+    def __len__(self) -> int:
+        return len(self.mapped) if self.file is None else self.file.size() // self.dtype.itemsize
+
+    def take(self, a: int, b: int) -> np.ndarray:
+        if self.file is None:
+            return self.mapped[a:b]
+        self.file.seek(a * self.dtype.itemsize)
+        return np.frombuffer(self.file.read((b - a) * self.dtype.itemsize), self.dtype)
+
+
+READ_TOKENS = 4_000_000
+READ_DOCS = 4096
+
 
-    if isinstance(filesystem, fs.LocalFileSystem):
-        return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.empty(0, dtype)
-    with filesystem.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype)
+def _runs(ends: np.ndarray, start: int) -> Iterator[tuple[int, int]]:
+    """Documents (from, to) of at most READ_TOKENS ids together, one at least; ends: where each ends."""
+    a = 0
+    while a < len(ends):
+        first = start if a == 0 else int(ends[a - 1])
+        b = max(a + 1, int(np.searchsorted(ends, first + READ_TOKENS, "right")))
+        yield a, b
+        a = b
 
 
 def read_token_files(manifest: DataFrame, folder: str, dtype: str = "<u4", with_ids: bool = False) -> DataFrame:
@@ -169,22 +195,24 @@ def read_token_files(manifest: DataFrame, folder: str, dtype: str = "<u4", with_
         filesystem, root = _open_folder(folder)
         for batch in batches:
             for row in batch.itertuples():
-                ids, offsets, docs = (_array(filesystem, f"{root}/{row.file}.{kind}", t) for kind, t in (("ids", dtype), ("offsets", "<i8"), ("docs", "<i8")))
-                for a in range(0, len(docs), 4096):
-                    b = min(a + 4096, len(docs))
-                    spans = [ids[offsets[i] : offsets[i + 1]].astype("<u4") for i in range(a, b)]
-                    out = pd.DataFrame(
-                        {
-                            "doc_id": pd.array(docs[a:b], "Int64"),
-                            "start": row.first_token + offsets[a:b],
-                            "n_tokens": np.diff(offsets[a : b + 1]),
-                            "ids_crc32": np.array([zlib.crc32(s.tobytes()) for s in spans], "int64"),
-                        }
-                    )
-                    out.loc[np.arange(a, b) < row.n_null, "doc_id"] = pd.NA
-                    if with_ids:
-                        out["ids"] = [s.astype("int64") for s in spans]
-                    yield out
+                ids, offsets, docs = (Numbers(filesystem, f"{root}/{row.file}.{kind}", t) for kind, t in (("ids", dtype), ("offsets", "<i8"), ("docs", "<i8")))
+                for at in range(0, len(docs), READ_DOCS):
+                    own, places = docs.take(at, min(at + READ_DOCS, len(docs))), offsets.take(at, min(at + READ_DOCS, len(docs)) + 1)
+                    for a, b in _runs(places[1:], int(places[0])):
+                        held = ids.take(int(places[a]), int(places[b]))
+                        spans = [held[x:y].astype("<u4") for x, y in zip(places[a:b] - places[a], places[a + 1 : b + 1] - places[a])]
+                        out = pd.DataFrame(
+                            {
+                                "doc_id": pd.array(own[a:b], "Int64"),
+                                "start": row.first_token + places[a:b],
+                                "n_tokens": np.diff(places[a : b + 1]),
+                                "ids_crc32": np.array([zlib.crc32(s.tobytes()) for s in spans], "int64"),
+                            }
+                        )
+                        out.loc[np.arange(at + a, at + b) < row.n_null, "doc_id"] = pd.NA
+                        if with_ids:
+                            out["ids"] = [s.astype("int64") for s in spans]
+                        yield out
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
     parts = shuffle_partitions(manifest.sparkSession)

@@ -119,3 +119,18 @@ def test_embedding_recall_against_brute_force(spark):
     links = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df).collect()}
     found = np.array([links[i] for i in range(3000)])
     assert (found <= near.sum(1)).all() and found.sum() >= 0.97 * near.sum()
+
+
+def test_token_files_are_read_by_ranges_off_a_mounted_folder(monkeypatch, tmp_path):
+    from pyarrow import fs
+
+    (tmp_path / "x.ids").write_bytes(np.arange(1000, dtype="<u2").tobytes())
+    (tmp_path / "none.ids").write_bytes(b"")
+    far = fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem())  # not a plain local one
+    for files, root in ((far, ""), (fs.LocalFileSystem(), f"{tmp_path}/")):
+        numbers = token_files.Numbers(files, f"{root}x.ids", "<u2")
+        assert len(numbers) == 1000 and numbers.take(10, 13).tolist() == [10, 11, 12] and not len(numbers.take(5, 5))
+        assert len(token_files.Numbers(files, f"{root}none.ids", "<u2")) == 0
+    monkeypatch.setattr(token_files, "READ_TOKENS", 10)
+    ends = np.array([3, 3, 9, 40, 41, 55])
+    assert list(token_files._runs(ends, 0)) == [(0, 3), (3, 4), (4, 5), (5, 6)] and list(token_files._runs(ends[:0], 0)) == []
