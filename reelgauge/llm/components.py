@@ -15,8 +15,9 @@ def _mark(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """edges (a long, b long, any order and repeats) -> node, component: the smallest node it can reach.
 
-    Only nodes with an edge to another node appear. Each round is two aggregations with a join
-    back to the edges, so that a hub's edges never have to meet in one task; the rounds grow
+    Only nodes with an edge to another node appear. Each round is two aggregations, which combine a hub's edges before they
+    are shuffled, with a join back to the edges, in which a hub's edges go to one task unless the adaptive skew rule
+    splits them (it is on by default, from 256 MB a partition). The rounds grow
     with the logarithm of the longest chain. Each round is written to the shared folder.
     """
     stars = materialize(

@@ -4,7 +4,8 @@
 measures it names, into a single projection over the documents: no shuffle, no Python.
 
 Null or blank text: all counts 0, base_failed true, kept false. A null doc_id, repeated rows and
-extra columns pass through without effect: each input row gives one output row.
+extra columns pass through without effect: each input row gives one output row, and an empty table none. A very
+long text is taken whole; its words and windows are arrays of one row, at about a hundred bytes a word.
 """
 
 from __future__ import annotations
