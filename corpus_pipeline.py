@@ -2,8 +2,11 @@
 
 quality classifier -> near duplicates -> repeated passages -> source mix -> SentencePiece digests.
 Near duplicates are documents whose five-word shingles reach a Jaccard similarity of 0.8; the
-smallest doc_id of a group stays. The mix repeats rows. Empty input gives empty output with the
-same columns; null texts are scored, mixed and encoded as empty ones.
+smallest doc_id of a group stays. Rows that share an id stand for themselves, by id and text; of rows equal in both one
+stays. Rows with a null id link with nothing and stay, and null texts are scored, mixed and encoded as empty ones. A passage
+that repeats in what is left is cut from all rows that hold it; a row of which nothing is left goes. The
+mix repeats rows. Columns of any other name go through unchanged, whatever their names. Texts are taken whole, however long. Empty
+input gives empty output with the same columns.
 """
 
 from __future__ import annotations
@@ -70,5 +73,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + name.split()[0].lower())
+        docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + name.split()[0].lower())  # each stage's own tables stay until drop_scratch
     return STAGES[-1][1](spark, docs, sf_dir)

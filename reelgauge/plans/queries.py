@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
@@ -511,8 +513,7 @@ def _artefacts(t: Bound):
 
 
 def _loaded(t: Bound):
-    keep = ("run_name", "experiment_no", "protocol", "category", "family", "model_name", "dataset_scope", "loss_mode", "epochs_observed", "epochs_configured", "batch_size", "test_acc", "test_f1", "test_samples", "test_real_samples")
-    return runs.assemble_runs(*_artefacts(t)).select(*keep)
+    return runs.assemble_runs(*_artefacts(t)).select(*_LOADED)
 
 
 _LOADED_SQL = """SELECT run_name, experiment_no, protocol, category, CASE WHEN family = '' THEN 'some family' ELSE family END AS family, model_name, 'all' AS dataset_scope, loss_mode, CAST(test_real_samples % 7 + 1 AS INT) AS epochs_observed,
@@ -520,6 +521,28 @@ CAST(NULL AS INT) AS epochs_configured, 32 AS batch_size, test_acc, test_f1, CAS
 FROM {manifest}"""
 
 
+def _run_documents(t: Bound):
+    """The artefacts of each run as the files of its folder: two JSON documents, a split summary and a history."""
+    summaries, configs, histories, split = _artefacts(t)
+    document = lambda df, name: df.select(F.concat_ws("/", "run_dir", F.lit(name)).alias("path"), F.to_json(F.struct(*[c for c in df.columns if c != "run_dir"])).alias("content"))
+    epochs = histories.groupBy("run_dir").agg(F.max("epoch").alias("n"))  # epochs are 1 to n
+    lines = F.array_join(F.concat(F.array(F.lit("epoch,val_f1")), F.transform(F.sequence(F.lit(1), "n"), lambda i: F.concat_ws(",", i.cast("string"), F.lit("0.5")))), "\n")
+    history = epochs.select(F.concat_ws("/", "run_dir", F.lit("history.csv")).alias("path"), lines.alias("content"))
+    parts = [document(summaries, "final_summary.json"), document(configs, "config.json"), document(split, "split_summary.json"), history]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _loaded_folders(t: Bound):
+    """Runs read back from their folders."""
+    root = scratch_dir(t.spark, "run-folders")
+    placed = _run_documents(t).select(F.concat(F.lit(f"{root}/"), "path").alias("path"), F.col("content").cast("binary").alias("content"))
+    placed.mapInPandas(_write_files, "path string").write.parquet(f"{root}-listing")
+    return artifacts.load_runs(t.spark, root).select(*_LOADED)
+
+
+_LOADED = ("run_name", "experiment_no", "protocol", "category", "family", "model_name", "dataset_scope", "loss_mode", "epochs_observed", "epochs_configured", "batch_size", "test_acc", "test_f1", "test_samples", "test_real_samples")
+
+
 def _manifest_csv(t: Bound):
     path = scratch_dir(t.spark, "run-manifest")
     artifacts.write_manifest(runs.assemble_runs(*_artefacts(t)).select(*runs.MANIFEST_COLUMNS).withColumn("relative_dir", F.regexp_replace("relative_dir", "-[0-9]+$", "")), path)
@@ -586,6 +609,7 @@ def _history_rows(t: Bound):
 
 _RUNS = [
     Query("load_runs", _loaded, _LOADED_SQL, "test_acc test_f1"),
+    Query("load_run_folders", _loaded_folders, _LOADED_SQL, "test_acc test_f1"),
     Query("load_history", lambda t: _history_rows(t).select("run_dir", "epoch", "val_f1", "lr", "train_loss"), "SELECT run AS run_dir, epoch, val_f1, CAST(NULL AS DOUBLE) AS lr, CAST(NULL AS DOUBLE) AS train_loss FROM {history}", "val_f1"),
     Query("load_history_all", lambda t: _history_rows(t).select("run_dir", "epoch", "val_f1", "lr", "train_loss"), "SELECT run AS run_dir, epoch, val_f1, CAST(NULL AS DOUBLE) AS lr, CAST(NULL AS DOUBLE) AS train_loss FROM {history}", "val_f1"),
     Query("load_predictions", lambda t: artifacts.usable_predictions(t.predictions).select("path", "run", "label", "pred_label"), "SELECT path, run, label, pred_label FROM {predictions}"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import parent
+from ..operators.runs import assemble_runs
 from . import headed_csv
 
 TEXT_FIELDS = "run_name string, experiment_no string, category string, model_name string, dataset_scope string, loss_mode string"
@@ -58,6 +59,12 @@ def read_history(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("run_dir", *[value(c).try_cast("int" if c == "epoch" else "double").alias(c) for c in HISTORY])
 
 
+def load_runs(spark: SparkSession, root: str) -> DataFrame:
+    """The runs below root, from their folders' files: summary, config and history must be there, the split summary may be."""
+    read = lambda name, schema: read_documents(spark, root, name, schema)
+    return assemble_runs(read("final_summary.json", SUMMARY), read_configs(spark, root), read_history(spark, root), read("split_summary.json", SPLIT_SUMMARY))
+
+
 def usable_predictions(frame: DataFrame) -> DataFrame | None:
     """The frame if it has the required columns, else nothing."""
     return frame if set(PREDICTION) <= set(frame.columns) else None
@@ -110,7 +117,7 @@ def parse_extraction_manifest(raw: DataFrame, text: str = "value") -> DataFrame:
 
 
 def append_bad_media(log: DataFrame, path: str) -> None:
-    """Adds events to a JSON-lines log: the first of each path, and none of a path that the log holds already. One writer at a time."""
+    """Adds events to a JSON-lines log: the first of each path, and none of a path that the log holds already. One writer at a time; streaming.bad_media.SessionLog is for many."""
     spark = log.sparkSession
     first = first_bad_media(log).filter("path is not null and path <> ''").select("ts", "path", "stage", "detail", "backend", "mode", "seq_len")
     spark.createDataFrame([], first.schema).write.mode("append").json(path)  # so that there is a log to read

@@ -174,3 +174,13 @@ def test_repair_that_was_killed_has_the_same_tally(spark, tmp_path):
     assert tally == (12, 0, 2) and not list(data.iterdir())
     assert tuple(audit.repair_tally(audit.apply_repair(plan, ledger)).first()) == tally  # nothing is left to do
     assert audit.apply_repair(plan, ledger).count() == 14
+
+
+def test_scratch_tables_go_when_they_are_dropped(spark):
+    from reelgauge.sources.scratch import drop_scratch, scratch_dir
+
+    a, b = scratch_dir(spark, "one"), scratch_dir(spark, "two")
+    for path in (a, b):
+        spark.range(3).write.parquet(path)
+    assert drop_scratch(spark, keep=(b,)) >= 1 and not files.exists(spark, a) and spark.read.parquet(b).count() == 3
+    assert drop_scratch(spark) == 1 and not files.exists(spark, b) and drop_scratch(spark) == 0
