@@ -43,16 +43,17 @@ HEADS = range(3, 9)  # lengths of the heads of words that are counted as familie
 SURE = 9.0  # least log likelihood gain of a landmark over the share of toxic documents
 COPIES = 8  # documents with the same least hash of words of this many letters count once for the choice
 OFTENER = 4.0  # and how much oftener toxic documents hold it than clean ones
-FLOOR = 0.5  # kernels from here on count as a text's best
+FLOOR = 0.3  # kernels from here on count as a text's best
 HIT = 0.6  # and from here on add to its sum
 SHARED = 0.4
-RIDGE = 1.0
+RIDGE = 0.1
 UNLIKE = 0.7  # a landmark's kernel with those chosen before it stays below this
 CLEAN_LANDMARKS = 0
 POWER = 2  # an integer power of a kernel is a kernel; it sets near words further off from chance likeness
 FIT_ROWS = 1000
 FIT_SENTENCES = 60_000
-SENTENCE_WEIGHT = 0.1  # of a sentence or a disguised landmark, in documents
+SENTENCE_WEIGHT = 0.1  # of a clean sentence, in documents
+INSULT_WEIGHT = 0.3  # of a landmark that clean documents hardly hold, or of a disguise of it, standing alone
 TOXIC_AT = 0.5
 WINDOW = 24  # longer units are compared by overlapping windows of this many characters
 CACHED_UNITS = 150_000
@@ -357,11 +358,11 @@ def fit_rows(texts: list[str], y: np.ndarray) -> ToxicityModel:
         sentences = [sentences[i] for i in np.random.default_rng(3).permutation(len(sentences))[:FIT_SENTENCES]]
     clean = np.concatenate([probe.values(part) for part in _slices(sentences)] or [np.zeros((0, 2 * n))])
     clean = clean[clean.any(1)]
-    kernels = whole.rows([w for z in marked for w in disguised(z)]).astype(float).reshape(-1, n)
+    kernels = whole.rows([w for z in marked for w in (z, *disguised(z))]).astype(float).reshape(-1, n)
     gapped = np.c_[np.where(kernels >= FLOOR, kernels, 0), np.log1p(np.where(kernels >= HIT, kernels, 0))]
     x = nystroem(np.r_[documents, clean, gapped])
     target = np.r_[np.where(y == 1, 1.0, -1.0), -np.ones(len(clean)), np.ones(len(gapped))]
-    weight = np.r_[np.ones(len(y)), np.full(len(clean) + len(gapped), SENTENCE_WEIGHT)]
+    weight = np.r_[np.ones(len(y)), np.full(len(clean), SENTENCE_WEIGHT), np.full(len(gapped), INSULT_WEIGHT)]
     w, b = _linear_svm(x, target, weight)
     slope, shift = _logistic(nystroem(documents) @ w + b, y)
     r = root.shape[1]

@@ -69,6 +69,6 @@ def test_gapped_and_inserted_letters_are_caught():
     clean = [plain() for _ in range(120)]
     insult = lambda w: (lambda t: t[:100] + f" {w} " + t[100:])(plain())
     model = toxicity.fit_rows(clean + [insult("worthless") for _ in range(40)], np.repeat([0, 1], [120, 40]))
-    for form in ("worthless", "WORTHLESS!", "wor0thless", "worthlesss", "wo-rth-less", "w o r t h l e s s", "worth*less"):
+    for form in ("worthless", "WORTHLESS!", "wor0thless", "worthlesss", "wo-rth-less", "w o r t h l e s s", "worth*less", "woorthless"):
         assert (model.score([insult(form) for _ in range(10)]) >= toxicity.TOXIC_AT).all(), form
     assert (model.score([plain() for _ in range(60)]) < toxicity.TOXIC_AT).all()
