@@ -66,23 +66,17 @@ def unit_form(token: str) -> str:
     return MARKS.sub("", token.lower())
 
 
-LETTERS_APART = re.compile(r"(?:^|\s)\S\s+\S\s+\S(?:\s|$)")
+LETTERS_APART = re.compile("1{3,}")
 
 
 def sentence_units(sentence: str) -> list[str]:
     """Tokens, and each run of three or more one-letter tokens as one unit more."""
     tokens = sentence.split()
-    if not LETTERS_APART.search(sentence):
+    lengths = list(map(len, tokens))
+    if lengths.count(1) < 3:
         return tokens
-    out, run = list(tokens), []
-    for t in [*tokens, "  "]:
-        if len(t) == 1:
-            run.append(t)
-        elif run:
-            if len(run) >= 3:
-                out.append("".join(run))
-            run = []
-    return out
+    marks = "".join(["1" if n == 1 else "0" for n in lengths])
+    return tokens + ["".join(tokens[run.start() : run.end()]) for run in LETTERS_APART.finditer(marks)]
 
 
 def windows(form: str) -> list[str]:
