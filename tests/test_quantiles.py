@@ -11,10 +11,10 @@ from reelgauge.operators.quantiles import quantiles
 FRACTIONS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
 
 
-@pytest.mark.parametrize("few", [1, 7, 50_000])
+@pytest.mark.parametrize("few", [3, 50_000])
 def test_quantiles(spark, few):
     rng = random.Random(few)
-    rows = [("a", rng.gauss(0, 1) * 10 ** rng.randint(-3, 12)) for _ in range(4000)] + [("b", float(rng.randint(0, 5))) for _ in range(500)] + [("c", 3.5), ("d", None), (None, 1.0), (None, 4.0)]
+    rows = [("a", rng.gauss(0, 1) * 10 ** rng.randint(-3, 12)) for _ in range(1500)] + [("b", float(rng.randint(0, 5))) for _ in range(500)] + [("c", 3.5), ("d", None), (None, 1.0), (None, 4.0)]
     rows += [("e", x) for x in (float("inf"), float("-inf"), 1.0, 2.0, 5e-324, -1.7e308, 1.7e308)]
     df = spark.createDataFrame(rows, "g string, v double")
     want = {r.g: (list(r.q), list(r.d)) for r in df.filter("v is not null").groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, FRACTIONS))).alias("q"), *[F.array(*[F.expr(f"percentile_disc({f}) within group (order by v)") for f in FRACTIONS]).alias("d")]).collect()}
