@@ -5,12 +5,12 @@ aside, the short ones are heap-merged, and the documents that occur often enough
 the long lists by binary probes until the required overlap is reached or missed.
 
 To search locally, linked documents must meet in a task. Two sets that link differ in at most
-(1 - t) / (1 + t) * (|x| + |y|) shingles. Cut by hash into more segments than that, they agree in a segment at
-least. So every set emits one 64-bit signature per segment (for its size class, and the next one
-where a larger partner could lie there), and sets that share a signature are searched together, in
-a group with the smallest id among them. A signature of an empty segment says nothing; spare
-segments make up for a few empty ones, and a set with more of them than spares emits those also. No
-link is lost. Texts that share a passage can share a signature too, so before any text is fetched
+(1 - t) / (1 + t) * (|x| + |y|) shingles, so cut by hash into m segments they agree in all but so many at least. Every set
+emits 64-bit signatures of its segments (for its size class, and the next one where a larger partner could lie
+there): of one more than it can differ in from any partner, those that hold the most shingles. That order follows from what
+the segments hold, so of those in which two sets agree both emit the last one, and no link is lost. Sets that share a
+signature are searched together, in a group with the smallest id among them. Segments of no or one shingle, which texts
+that merely share a passage often have in common, are mostly left out so. Some such texts still share a signature, so before any text is fetched
 the groups are sifted by sketches: counts of a set's hashes in a few cells, which show how many
 shingles two sets differ in at least. What could link under that bound stays together; the rest goes.
 
@@ -91,22 +91,20 @@ def shingle_sets(texts: Texts, k: int) -> list[np.ndarray]:
 
 
 class SizeClasses:
-    """Segments per size class for links at num / den."""
+    """Size classes for links at num / den, with as many segments as sets of the class can differ in, and two."""
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
         self.ratio = max(RATIO, 1.01 * den / num)  # partners lie in the same or the next class
         self.bounds = [1, 2]
-        self.segments: list[tuple[int, int]] = []
 
     def reach(self, size: int) -> None:
-        while self.bounds[-1] <= size or len(self.segments) < len(self.bounds) - 1:
-            if len(self.segments) < len(self.bounds) - 1:
-                differ = 2 * (self.bounds[len(self.segments) + 1] - 1) * (self.den - self.num) // (self.den + self.num)
-                spare = 1 + differ // 16
-                self.segments.append((differ + 1 + spare, spare) if differ else (0, 0))
-            else:
-                self.bounds.append(max(self.bounds[-1] + 1, -int(-self.bounds[-1] * self.ratio // 1)))
+        while self.bounds[-1] <= size:
+            self.bounds.append(max(self.bounds[-1] + 1, -int(-self.bounds[-1] * self.ratio // 1)))
+
+    def differ(self, a: int, b: int) -> int:
+        """Shingles that linked sets of these sizes can differ in."""
+        return (a + b) * (self.den - self.num) // (self.den + self.num)
 
     def of(self, size: int) -> list[int]:
         self.reach(2 * size + 2)
@@ -115,18 +113,20 @@ class SizeClasses:
 
     def signatures(self, hashes: np.ndarray) -> np.ndarray:
         out = []
-        for c in self.of(len(hashes)):
-            m, spare = self.segments[c]
-            if not m:
+        n = len(hashes)
+        for c in self.of(n):
+            largest = self.bounds[c + 1] - 1
+            most = self.differ(n, min(n * self.den // self.num, largest))
+            if not most:
                 continue  # only equal sets can link in this class
+            m = self.differ(largest, largest) + 2
             segment = ((hashes >> np.uint64(20)) % np.uint64(m)).astype("int64")
             order = np.argsort(segment, kind="stable")
             own, starts = np.unique(segment[order], return_index=True)
-            sums = np.add.reduceat(mix(hashes[order] + _M2), starts)
-            out.append(mix(sums + mix(own.astype("uint64") + np.uint64(c << 40))))
-            if m - len(own) > spare:
-                empty = np.setdiff1d(np.arange(m), own).astype("uint64")
-                out.append(mix(mix(empty + np.uint64(c << 40)) + _M1))
+            sums = np.zeros(m, "uint64")
+            sums[own] = np.add.reduceat(mix(hashes[order] + _M2), starts)
+            signed = mix(sums + mix(np.arange(m, dtype="uint64") + np.uint64(c << 40)))
+            out.append(signed[np.lexsort((signed, np.bincount(segment, minlength=m)))[-most - 1 :]])
         return np.concatenate(out) if out else np.empty(0, "uint64")
 
     def sketches(self, hashes: np.ndarray) -> list[dict]:
