@@ -116,6 +116,15 @@ def test_a_small_filter_changes_nothing(spark):
     assert sorted(map(tuple, collocations.collocations(df, 4, filter_bits=2048).collect())) == brute_phrases(rows, 4)
 
 
+def test_shards_of_support_one_hand_back_no_phrases_of_rare_parts(spark, monkeypatch):
+    rng, given, made = random.Random(3), [], collocations.candidate_filter
+    rows = [(" ".join(["the same words here", *(f"w{rng.randrange(50_000)}" for _ in range(100))]), "x") for _ in range(60)]
+    df = spark.createDataFrame([(i, t, lang, 1, 1, 1) for i, (t, lang) in enumerate(rows)], DOCS)
+    monkeypatch.setattr(collocations, "candidate_filter", lambda mined, *a: given.append(sum(len(r.gains) for r in mined.collect())) or made(mined, *a))
+    assert sorted(map(tuple, collocations.collocations(df, 40, shard_words=100).collect())) == brute_phrases(rows, 40)
+    assert sum(given) < 3 * 60 * 104
+
+
 # ---------------------------------------------------------------- languages
 
 
