@@ -1,11 +1,14 @@
 """Runs are read from their folders, each folder in one place."""
 
 import json
+import os
 
 import pytest
 
 from reelgauge.plans import queries
+from reelgauge.plans.bindings import Bound
 from reelgauge.sources import artifacts
+from reelgauge.sources.scratch import scratch_dir
 
 CONFIG = {"run_name": "", "category": "Spatial", "family": "some_net", "epochs": "9", "batch_size": "4"}
 
@@ -51,3 +54,14 @@ def test_shares_of_folders_make_up_all_runs(spark, sf_dir, monkeypatch, share):
     got = queries.QUERIES["load_run_folders"].run(spark, sf_dir)
     n = spark.read.parquet(f"{sf_dir}/part.parquet").count()
     assert got.count() == n == got.select("run_name").distinct().count()
+
+
+def test_folders_of_a_share_are_gone_before_the_next(spark, sf_dir, monkeypatch):
+    made = []
+    monkeypatch.setattr(queries, "_RUNS_A_SHARE", 30)
+    monkeypatch.setattr(queries, "scratch_dir", lambda *a: made.append(scratch_dir(*a)) or made[-1])
+    rows = queries.QUERIES["load_run_folders"].run(spark, sf_dir).select("run_name", "test_samples").collect()
+    manifest = Bound(spark, sf_dir).manifest.collect()
+    assert {tuple(r) for r in rows} == {(m.run_name, m.test_real_samples + m.test_fake_samples if m.best_val_f1 is not None else None) for m in manifest}
+    left = [f for top in made for d, _, names in os.walk(top.removeprefix("file://")) for f in names if f == "config.json"]
+    assert not left
